@@ -35,51 +35,52 @@ def url_scheme(url: Column) -> Column:
 
 def url_origin(url: Column) -> Column:
     """scheme://host[:port] without the default port."""
-    scheme, port = url_scheme(url), _part(url, 3)
-    default = ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443"))
-    port = F.when(default | (port == ":"), F.lit("")).otherwise(port)
-    return F.concat(scheme, F.lit("://"), url_host(url), port)
+    port = F.concat(url_scheme(url), _part(url, 3))
+    port = F.regexp_replace(port, r"^http:80\z|^https:443\z|^https?:?\z|^https?(?=:)", "")
+    return F.concat(url_scheme(url), F.lit("://"), url_host(url), port)
 
 
 def _fold_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
     def step(acc: Column, seg: Column) -> Column:
-        up = F.lower(seg).isin("..", "%2e%2e", ".%2e", "%2e.")
-        here = F.lower(seg).isin(".", "%2e")
-        shorter = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - F.lit(1))).otherwise(acc)
+        up = seg.rlike(r"(?i)^(?:\.|%2e){2}\z")
+        here = seg.rlike(r"(?i)^(?:\.|%2e)\z")
+        shorter = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - F.lit(1), F.lit(1)))
         return F.when(up, shorter).when(here, acc).otherwise(F.concat(acc, F.array(seg)))
 
     def fold(p: Column) -> Column:
-        segments = F.split(p, "/", -1)
-        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+        kept = F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step)
         # A path that ends in a dot segment names a folder.
         tail = F.when(p.rlike(r"(?i)/(?:\.|%2e){1,2}\z"), F.lit("/")).otherwise(F.lit(""))
         joined = F.concat(F.array_join(kept, "/"), tail)
-        return F.when(joined == "", F.lit("/")).otherwise(joined)
+        return F.when(p.rlike(r"(?i)/(?:\.|%2e)"), F.regexp_replace(joined, r"^\z", "/")).otherwise(p)
 
-    return F.when(path.rlike(r"(?i)/(?:\.|%2e)"), let(path, fold)).otherwise(path)
+    return let(path, fold)
 
 
-def _encode_path(path: Column) -> Column:
-    for ch, code in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D")):
-        path = F.when(path.contains(ch), F.replace(path, F.lit(ch), F.lit(code))).otherwise(path)
-    return path
+_PATH_CODES = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"))
+
+
+def _encode(text: Column, codes: tuple[tuple[str, str], ...]) -> Column:
+    for ch, code in codes:
+        text = F.replace(text, F.lit(ch), F.lit(code))
+    return text
+
+
+def _clean(url: Column) -> Column:
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
 
 
 def normalize_url(url: Column, keep_fragment: bool = False) -> Column:
     """Serialised form of an absolute http(s) URL, null when it is none."""
     def build(u: Column) -> Column:
-        path = F.translate(_part(u, 4), "\\", "/")
-        path = F.when(path == "", F.lit("/")).otherwise(path)
-        query = F.replace(F.replace(_part(u, 5), F.lit(" "), F.lit("%20")), F.lit('"'), F.lit("%22"))
-        query = F.when(query == "?", F.lit("?")).otherwise(query)
-        out = F.concat(url_origin(u), _encode_path(_fold_dots(path)), query)
+        path = F.regexp_replace(F.translate(_part(u, 4), "\\", "/"), r"^\z", "/")
+        pieces = [url_origin(u), _encode(_fold_dots(path), _PATH_CODES), _encode(_part(u, 5), _PATH_CODES[:4])]
         if keep_fragment:
-            out = F.concat(out, F.replace(_part(u, 6), F.lit(" "), F.lit("%20")))
-        return F.when(url_host(u) != "", out)
+            pieces.append(_encode(_part(u, 6), _PATH_CODES[:5]))
+        return F.when(_part(u, 2) != "", F.concat(*pieces))
 
-    cleaned = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    return let(cleaned, build)
+    return let(_clean(url), build)
 
 
 def resolve_url(ref: Column, base: Column, keep_fragment: bool = False) -> Column:
@@ -102,8 +103,7 @@ def resolve_url(ref: Column, base: Column, keep_fragment: bool = False) -> Colum
 
         return let(base, on)
 
-    cleaned = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    return normalize_url(let(cleaned, absolute), keep_fragment)
+    return normalize_url(let(_clean(ref), absolute), keep_fragment)
 
 
 def is_ipv4(host: Column) -> Column:
@@ -139,10 +139,10 @@ def is_scannable(url: Column) -> Column:
 
 def report_name(url: Column) -> Column:
     """File name of a page's report."""
-    path = F.regexp_replace(normalize_url(url), r"^https?://[^/]*/?|\?.*\z|#.*\z", "")
-    path = F.translate(F.regexp_replace(path, r"/\z", ""), "/", "_")
-    host = url_host(url)
-    name = F.when(path == "", F.concat(F.lit("recon_"), host, F.lit(".json"))).otherwise(
-        F.concat(F.lit("recon_"), host, F.lit("_"), path, F.lit(".json"))
-    )
-    return F.coalesce(F.when(host != "", name), F.lit("recon_scan_results.json"))
+    def name(plain: Column) -> Column:
+        path = F.regexp_replace(plain, r"^https?://[^/]*/?|/?(?:\?.*)?\z", "")
+        return F.concat(
+            F.lit("recon_"), url_host(plain),
+            F.regexp_replace(F.translate(path, "/", "_"), r"^(?=.)", "_"), F.lit(".json"))
+
+    return F.coalesce(let(normalize_url(url), name), F.lit("recon_scan_results.json"))

@@ -172,8 +172,8 @@ def _(spark, folder):
 
 
 @query("n1_decode_pages", """
-    SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-        '&nbsp;', chr(160)), '&#39;', ''''), '&copy;', '©'), '&amp;', '&') AS decoded FROM pages""")
+    SELECT page_id, regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+        '&amp;?', '&', 'g') AS decoded FROM pages""")
 def _(spark, folder):
     return P.read_pages(spark, folder).select("page_id", X.decode_text(F.col("html")).alias("decoded"))
 
@@ -251,12 +251,14 @@ def _(spark, folder):
 
 # -- match engine -------------------------------------------------------------
 
+_SENTENCE = R.Rule("sentence", "Text", r"([a-z]+)[.]\s+([A-Z][a-z]+)", "g", 2)
+
+
 @query("m1_m3_matches_with_position", f"""
     SELECT page_id, source, match, finding, "index", line, "column", match_ord
-    FROM ({O.matches(_DOCUMENTS, [R.Rule('sentence', 'Text', r'([a-z]+)[.]\\s+([A-Z][a-z]+)', 'g', 2)])})""")
+    FROM ({O.matches(_DOCUMENTS, [_SENTENCE])})""")
 def _(spark, folder):
-    rule = R.Rule("sentence", "Text", r"([a-z]+)[.]\s+([A-Z][a-z]+)", "g", 2)
-    return M.match_rule(_documents(spark, folder), rule).select(
+    return M.match_rule(_documents(spark, folder), _SENTENCE).select(
         "page_id", "source", "match", "finding", "index", "line", "column", "match_ord")
 
 
@@ -418,3 +420,494 @@ def _(spark, folder):
 @query("full_scan_pages", O.occurrences(_PAGE_SOURCES, R.full_rules()))
 def _(spark, folder):
     return E.occurrences(_page_sources(spark, folder), R.full_rules())
+
+
+# -- enrichment ---------------------------------------------------------------
+
+def _npm(spark: SparkSession, folder: str) -> DataFrame:
+    return E.npm_packages(corpus(spark, folder, "web_scripts"))
+
+
+_NPM = O.occurrences(O.corpus("web_scripts"), R.category_rules(R.NPM_PACKAGES))
+
+
+@query("j1_dependency_confusion", f"""
+    SELECT page_id, 'Dependency Confusion' AS category, display_key, source, "index" FROM ({_NPM})
+    WHERE display_key IN (SELECT package FROM ({O.corpus('registry')}) WHERE status = 404)""")
+def _(spark, folder):
+    return J.dependency_confusion(_npm(spark, folder), corpus(spark, folder, "registry")).select(
+        "page_id", "category", "display_key", "source", "index")
+
+
+def _maps(spark: SparkSession, folder: str) -> DataFrame:
+    return E.source_maps(corpus(spark, folder, "map_scripts")).drop("map_url")
+
+
+_MAPS = O.occurrences(O.corpus("map_scripts"), R.category_rules(R.SOURCE_MAPS))
+# Every script of the corpus qualifies; only an absolute known map suppresses a guess.
+_GUESSES = f"""SELECT page_id, source || '.map' AS map_url FROM ({O.corpus('map_scripts')}) s
+    WHERE NOT EXISTS (SELECT 1 FROM ({_MAPS}) m WHERE m.page_id = s.page_id AND m.display_key = s.source || '.map')"""
+_VALID = f"""SELECT g.page_id, map_url FROM ({_GUESSES}) g JOIN ({O.corpus('fetched_maps')}) f ON f.url = map_url
+    WHERE status = 200 AND NOT contains(lower(coalesce(content_type, '')), 'text/html')
+        AND (coalesce(content_length, 0) = 0 OR content_length BETWEEN 50 AND 52428800)"""
+
+
+def _valid_maps(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    guesses = J.guess_maps(corpus(spark, folder, "map_scripts"), found)
+    return J.validate_maps(guesses, corpus(spark, folder, "fetched_maps"))
+
+
+@query("j2_guess_maps", _GUESSES)
+def _(spark, folder):
+    return J.guess_maps(corpus(spark, folder, "map_scripts"), _maps(spark, folder))
+
+
+@query("j3_validate_maps", _VALID)
+def _(spark, folder):
+    return _valid_maps(spark, folder, _maps(spark, folder))
+
+
+_MERGED = ("page_id", "category", "display_key", "source", "rule_id", "index", "secret_length", "line", "column")
+
+
+@query("j4_merge_maps", f"""
+    SELECT page_id, category, display_key, source, rule_id, "index", secret_length, line, "column" FROM ({_MAPS})
+    UNION ALL SELECT page_id, 'Source Maps', map_url, 'Heuristic (Guessed)', 'guessed-source-map', 0, 0, 0, 0 FROM ({_VALID})""")
+def _(spark, folder):
+    found = materialize(_maps(spark, folder), "maps")
+    return J.merge_maps(found, _valid_maps(spark, folder, found)).select(*_MERGED)
+
+
+_MANIFESTS = f"""SELECT page_id, build_id, prefix || '/_next/static/' || build_id || '/_buildManifest.js' AS manifest_url
+    FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'b' || page_id ELSE 'b' || (page_id % 10) END AS build_id,
+            CASE WHEN page_id % 6 = 1 THEN 'https://cdn.example.com' ELSE {O.origin('url')} END AS prefix
+          FROM pages WHERE page_id % 6 IN (0, 1, 5))"""
+
+
+@query("j5_next_manifests", _MANIFESTS)
+def _(spark, folder):
+    return J.next_manifests(corpus(spark, folder, "next_pages"))
+
+
+_ROUTES = f"""SELECT DISTINCT manifest_url, route_ord, route FROM (
+    SELECT manifest_url, unnest(routes) AS route, unnest(range(len(routes))) AS route_ord
+    FROM (SELECT url AS manifest_url, regexp_extract_all(body, '"(/[^"]*)"[ ]*:', 1) AS routes
+          FROM ({O.corpus('fetched_manifests')}) WHERE status = 200)
+    WHERE manifest_url IN (SELECT manifest_url FROM ({_MANIFESTS})))
+    WHERE NOT starts_with(route, '/_') AND NOT contains(route, '[...')"""
+
+
+@query("j6_next_routes", _ROUTES)
+def _(spark, folder):
+    return J.next_routes(J.next_manifests(corpus(spark, folder, "next_pages")), corpus(spark, folder, "fetched_manifests"))
+
+
+_PAGE_ENDPOINTS = O.occurrences(_PAGE_SOURCES, _BARE)
+
+
+@query("j7_merge_routes", f"""
+    SELECT page_id, category, display_key, source, "index", line, "column" FROM ({_PAGE_ENDPOINTS})
+    UNION ALL SELECT DISTINCT page_id, 'Endpoints', route, manifest_url, 0, 1, 1
+    FROM ({_MANIFESTS}) m JOIN ({_ROUTES}) r USING (manifest_url)
+    WHERE NOT EXISTS (SELECT 1 FROM ({_PAGE_ENDPOINTS}) e WHERE e.page_id = m.page_id AND e.display_key = r.route)""")
+def _(spark, folder):
+    found = materialize(E.occurrences(_page_sources(spark, folder), _BARE), "endpoints")
+    manifests = J.next_manifests(corpus(spark, folder, "next_pages"))
+    routes = J.next_routes(manifests, corpus(spark, folder, "fetched_manifests"))
+    return J.merge_routes(found, manifests, routes).select(
+        "page_id", "category", "display_key", "source", "index", "line", "column")
+
+
+def _map_urls(spark: SparkSession, folder: str) -> DataFrame:
+    maps = corpus(spark, folder, "map_scripts").select(F.concat("source", F.lit(".map")).alias("map_url"))
+    lost = maps.select(F.concat("map_url", F.lit(".lost")).alias("map_url"))
+    return maps.unionByName(lost)
+
+
+# 2 + 3 rows per good map: its last src/a, the shared library and the missing file.
+_FILES = f"""
+    SELECT map_url, source_path, content, origin FROM (
+        SELECT url AS map_url, 'src/a' || k || '.js' AS source_path, 'code ' || k AS content, 'embedded' AS origin, status, k
+        FROM (SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k
+              FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map'))
+        UNION ALL SELECT url, '../lib/b.js', 'shared', 'fetched', status, k FROM (
+            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map'))
+        UNION ALL SELECT url, 'src/ui/d.js', 'Skipping missing source file: https://cdn.example.com/js/src/ui/d.js (Status: 404)',
+            'missing', status, k FROM (
+            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map')))
+    WHERE status = 200 AND k % 13 > 1"""
+_FAILED = f"""
+    SELECT url AS map_url, 'rebuild.error.log' AS source_path, CASE WHEN status = 404 THEN 'Error: HTTP status 404'
+        ELSE 'Error: the source map is invalid or lists no sources' END AS content, 'error' AS origin
+    FROM ({O.corpus('fetched_maps')})
+    WHERE contains(url, '.js.map') AND (status = 404 OR CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) % 13 <= 1)
+    UNION ALL SELECT source || '.map.lost', 'rebuild.error.log', 'Error: the source map was not fetched', 'error'
+    FROM ({O.corpus('map_scripts')})"""
+
+
+def _rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    return J.rebuild_sources(_map_urls(spark, folder), corpus(spark, folder, "fetched_maps"))
+
+
+@query("j8_rebuild_sources", f"{_FILES} UNION ALL {_FAILED}")
+def _(spark, folder):
+    return _rebuilt(spark, folder)
+
+
+@query("j9_source_tree", f"""
+    WITH nodes AS (
+        SELECT map_url, array_to_string(p[1:n], '/') AS path, array_to_string(p[1:n - 1], '/') AS parent, p[n] AS name,
+            n AS depth, bool_or(n < len(p)) AS is_folder
+        FROM (SELECT map_url, string_split(source_path, '/') AS p, unnest(range(1, len(string_split(source_path, '/')) + 1)) AS n
+              FROM ({_FILES})) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY map_url, parent, depth ORDER BY is_folder DESC, name) AS position FROM nodes""")
+def _(spark, folder):
+    files = _rebuilt(spark, folder)
+    return J.source_tree(files.where(F.col("source_path") != J.ERROR_PATH))
+
+
+# -- aggregations -------------------------------------------------------------
+
+_WEB_RULES = R.full_rules()
+_WEB = O.occurrences(O.corpus("web_scripts"), _WEB_RULES)
+
+
+def _web(spark: SparkSession, folder: str) -> DataFrame:
+    return E.occurrences(corpus(spark, folder, "web_scripts"), _WEB_RULES)
+
+
+def _endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    return E.occurrences(_page_sources(spark, folder), _BARE)
+
+
+@query("a1_group_findings", f"""
+    SELECT page_id, category, display_key, 0 AS part, len(l) AS n, l[1] AS first_index, l[-1] AS last_index, list_sum(l)::BIGINT AS index_sum
+    FROM (SELECT page_id, category, display_key, list("index" ORDER BY source_ord, rule_ord, match_ord) AS l
+          FROM ({_PAGE_ENDPOINTS}) GROUP BY ALL)""")
+def _(spark, folder):
+    grouped = A.group_findings(_endpoints(spark, folder))
+    at = F.transform("occurrences", lambda o: o["index"])
+    return grouped.select(
+        "page_id", "category", "display_key", "part", F.size(at).alias("n"), F.element_at(at, 1).alias("first_index"),
+        F.element_at(at, -1).alias("last_index"),
+        F.aggregate(at, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("index_sum"))
+
+
+@query("a2_unique_occurrences", f"""
+    SELECT page_id, category, display_key, source, "index", line, "column" FROM (
+        SELECT *, row_number() OVER (PARTITION BY page_id, category, display_key, source, "index"
+            ORDER BY source_ord DESC, rule_ord DESC, match_ord DESC) AS k
+        FROM ({_PAGE_ENDPOINTS} UNION ALL SELECT * REPLACE (9 AS line, 1 AS source_ord) FROM ({_PAGE_ENDPOINTS}) WHERE "index" % 2 = 0))
+    WHERE k = 1""")
+def _(spark, folder):
+    found = materialize(_endpoints(spark, folder), "endpoints")
+    again = found.where(F.col("index") % 2 == 0).withColumn("line", F.lit(9)).withColumn("source_ord", F.lit(1))
+    return A.unique_occurrences(found.unionByName(again)).select(
+        "page_id", "category", "display_key", "source", "index", "line", "column")
+
+
+@query("a3_section_counts", f"SELECT page_id, category, count(DISTINCT display_key) AS n_keys FROM ({_WEB}) GROUP BY ALL")
+def _(spark, folder):
+    return A.section_counts(_web(spark, folder))
+
+
+_TOKENS = O.occurrences(O.corpus("token_scripts"), _FULL_SECRETS)
+
+
+@query("a4_secrets_by_rule", f"""
+    SELECT page_id, rule_id, count(*) AS n_secrets FROM (
+        SELECT page_id, display_key, first(rule_id ORDER BY source_ord, rule_ord, match_ord) AS rule_id
+        FROM ({_TOKENS}) GROUP BY ALL) GROUP BY ALL""")
+def _(spark, folder):
+    return A.secrets_by_rule(E.full_secrets(corpus(spark, folder, "token_scripts")))
+
+
+@query("a5_page_totals", f"""
+    SELECT page_id, sum(n)::BIGINT AS total FROM (
+        SELECT page_id, count(DISTINCT category || chr(0) || display_key) AS n FROM ({_WEB})
+        WHERE category <> 'Potential NPM Packages' GROUP BY page_id
+        UNION ALL SELECT page_id, count(DISTINCT source) FROM ({O.corpus('web_scripts')})
+        WHERE source <> 'Main HTML Document' GROUP BY page_id) GROUP BY page_id""")
+def _(spark, folder):
+    return A.page_totals(_web(spark, folder), corpus(spark, folder, "web_scripts"))
+
+
+_STATUS_RULE = [R.Rule("long-word", R.SECRETS, r"[A-Za-z]{14,}", "g", 0, 3.2, description="long word")]
+
+
+@query("a6_page_status", f"""
+    SELECT p.page_id, p.url, coalesce(n, 0) AS n_findings, CASE WHEN coalesce(n, 0) > 0 THEN 'found' ELSE 'clean' END AS status
+    FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n
+        FROM ({O.secret_findings(_PAGE_SOURCES, _STATUS_RULE)}) GROUP BY page_id) f USING (page_id)""")
+def _(spark, folder):
+    return A.page_status(E.secret_findings(_page_sources(spark, folder), _STATUS_RULE), P.read_pages(spark, folder))
+
+
+@query("a7_section_items", f"SELECT DISTINCT page_id, category, display_key AS item FROM ({_WEB})")
+def _(spark, folder):
+    return A.section_items(_web(spark, folder))
+
+
+@query("a8_retain_passive", f"""
+    WITH s AS ({_FULL_SOURCES}), f AS ({O.matches('SELECT * FROM s', [R.Rule('load', 'Text', 'load[(]', 'g', 0)])})
+    SELECT page_id, source, length(content) AS n_chars FROM s
+    WHERE (kind <> 'external' AND page_id IN (SELECT page_id FROM f))
+        OR (kind = 'external' AND (page_id, source) IN (SELECT (page_id, source) FROM f))""")
+def _(spark, folder):
+    sources = _full_sources(spark, folder)
+    found = M.match_rule(sources, R.Rule("load", "Text", "load[(]", "g", 0))
+    return A.retain_sources(sources, found).select("page_id", "source", F.length("content").alias("n_chars"))
+
+
+@query("a8_retain_full", f"""
+    WITH s AS ({_FULL_SOURCES}), f AS ({O.matches('SELECT * FROM s', [R.Rule('chunk', 'Text', 'chunk/[02]', 'g', 0)])})
+    SELECT page_id, source, CASE WHEN kind <> 'external' OR (page_id, source) IN (SELECT (page_id, source) FROM f)
+        THEN length(content) END AS n_chars FROM s""")
+def _(spark, folder):
+    sources = _full_sources(spark, folder)
+    found = M.match_rule(sources, R.Rule("chunk", "Text", "chunk/[02]", "g", 0))
+    return A.retain_sources(sources, found, P.FULL).select("page_id", "source", F.length("content").alias("n_chars"))
+
+
+@query("a9_rollup", f"""
+    SELECT category, host, rule_id, level::INT AS level, n_occurrences, n_pages FROM (
+        SELECT category, host, rule_id, grouping_id(category, host, rule_id) AS level, count(*) AS n_occurrences,
+            count(DISTINCT page_id) AS n_pages
+        FROM (SELECT *, {O.host('url')} AS host FROM ({_PAGE_ENDPOINTS})) GROUP BY ROLLUP (category, host, rule_id))""")
+def _(spark, folder):
+    return A.rollup_findings(_endpoints(spark, folder))
+
+
+# -- store and streams --------------------------------------------------------
+
+_EVENTS = "SELECT event_id, ts, user_id AS tab_id FROM events"
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("tab_id"))
+
+
+_GAP_MS = 3_600_000
+
+
+@query("t2_debounce", f"""
+    SELECT event_id, tab_id FROM (
+        SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS follower FROM ({_EVENTS}))
+    WHERE follower IS NULL OR follower - epoch_us(ts) >= {_GAP_MS * 1000}""")
+def _(spark, folder):
+    return S.debounce(_events(spark, folder), gap_ms=_GAP_MS).select("event_id", "tab_id")
+
+
+def _stream_of(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream of files."""
+    path = f"{shared_dir(spark, name)}/in"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all it has and read what it wrote."""
+    root = shared_dir(stream.sparkSession, name)
+    (stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("t1_scan_stream", f"""
+    SELECT page_id, id, source, line, "column", secret FROM ({O.secret_findings(O.corpus('token_scripts'), R.strict_rules())})""")
+def _(spark, folder):
+    texts = corpus(spark, folder, "token_scripts")
+    return _drain(E.secret_findings(_stream_of(spark, texts, "texts")), "scan").select(
+        "page_id", "id", "source", "line", "column", "secret")
+
+
+@query("t1_t4_scan_into_store", f"""
+    SELECT 'passive_scan|' || url AS key, url, 'complete' AS status, 0 AS n_findings FROM pages WHERE {_SCANNABLE}""")
+def _(spark, folder):
+    root = shared_dir(spark, "store")
+    run = jobs.run_scan(
+        jobs.stream_pages(spark, folder, "pages.parquet"), f"{root}/findings", f"{root}/results", f"{root}/checkpoint")
+    run.awaitTermination()
+    return jobs.current_results(spark, f"{root}/results").select("key", "url", "status", "n_findings")
+
+
+# A stream closes a burst once its watermark has passed, so the last burst of
+# each tab within the lateness stays open; both sides leave those out.
+_OPEN = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE - INTERVAL 1 HOUR"
+
+
+@query("t2_debounce_stream", f"""
+    SELECT event_id, tab_id FROM (
+        SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS follower FROM ({_EVENTS}))
+    WHERE (follower IS NULL OR follower - epoch_us(ts) >= {_GAP_MS * 1000}) AND ts < {_OPEN}""")
+def _(spark, folder):
+    stream = jobs.debounce_stream(_stream_of(spark, _events(spark, folder), "events"), gap_ms=_GAP_MS)
+    fired = _drain(stream, "debounce")
+    last = _events(spark, folder).agg(F.max("ts").alias("_last"))
+    limit = F.col("_last") - F.expr("INTERVAL 10 MINUTES") - F.expr("INTERVAL 1 HOUR")
+    return fired.join(F.broadcast(last), F.col("ts") < limit).select("event_id", "tab_id")
+
+
+@query("t3_skip_scanned", f"""
+    SELECT DISTINCT tab_id, url FROM ({O.corpus('nav_events')}) WHERE {_SCANNABLE}
+        AND url NOT IN (SELECT url FROM ({O.corpus('nav_events')}) WHERE event_id % 7 = 0)""")
+def _(spark, folder):
+    events = corpus(spark, folder, "nav_events")
+    store = events.where(F.col("event_id") % 7 == 0).select("url", F.lit("complete").alias("status"))
+    return S.skip_scanned(events, store).select("tab_id", "url")
+
+
+@query("t3_first_scans_stream", f"SELECT DISTINCT tab_id, url FROM ({O.corpus('nav_events')})")
+def _(spark, folder):
+    # One batch, and a lateness that spans it: every pair comes out once.
+    events = corpus(spark, folder, "nav_events")
+    stream = jobs.first_scans(_stream_of(spark, events, "visits"), lateness="3650 days")
+    return _drain(stream, "first").select("tab_id", "url")
+
+
+_STORE = O.corpus("results_store")
+
+
+@query("t4_upsert_results", f"""
+    SELECT key, url, status, n_findings, timestamp_ms FROM (
+        SELECT key, max(coalesce(timestamp_ms, -1)) AS newest FROM ({_STORE}) GROUP BY key)
+    JOIN (SELECT DISTINCT ON (key, coalesce(timestamp_ms, -1)) *, coalesce(timestamp_ms, -1) AS newest FROM (
+        SELECT * FROM ({_STORE}) WHERE timestamp_ms IS NOT NULL)) USING (key, newest)
+    WHERE status <> 'failed'""")
+def _(spark, folder):
+    rows = corpus(spark, folder, "results_store").where(F.col("timestamp_ms").isNotNull())
+    half = F.col("n_findings") % 2 == 0
+    return S.upsert_results(rows.where(half), rows.where(~half)).select("key", "url", "status", "n_findings", "timestamp_ms")
+
+
+_AGE = 10_000_000
+
+
+@query("t5_expire_results", f"""
+    SELECT key, timestamp_ms FROM ({_STORE})
+    WHERE NOT (starts_with(key, 'passive_scan') AND coalesce({_NOW} - timestamp_ms > {_AGE}, FALSE))""")
+def _(spark, folder):
+    return S.expire_results(corpus(spark, folder, "results_store"), _NOW, _AGE).select("key", "timestamp_ms")
+
+
+@query("t5_purge", f"SELECT key, timestamp_ms FROM ({_STORE}) WHERE NOT starts_with(key, 'passive_scan')")
+def _(spark, folder):
+    return S.expire_results(corpus(spark, folder, "results_store"), _NOW, S.PURGE_ALL).select("key", "timestamp_ms")
+
+
+@query("t5_read_results", f"SELECT key, timestamp_ms FROM ({_STORE}) WHERE {_NOW} - timestamp_ms <= {_AGE}")
+def _(spark, folder):
+    return S.read_results(corpus(spark, folder, "results_store"), _NOW, _AGE).select("key", "timestamp_ms")
+
+
+@query("t6_migrate_store", f"""
+    SELECT key, status, coalesce(timestamp_ms, {_NOW}) AS timestamp_ms FROM ({_STORE}) WHERE starts_with(key, 'passive_scan')""")
+def _(spark, folder):
+    return S.migrate_store(corpus(spark, folder, "results_store"), _NOW).select("key", "status", "timestamp_ms")
+
+
+@query("t7_recent_pages", f"""
+    SELECT url, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_used FROM ({O.corpus('nav_events')}) GROUP BY url ORDER BY max(ts) DESC, url LIMIT 100""")
+def _(spark, folder):
+    return S.recent_pages(corpus(spark, folder, "nav_events")).select(
+        "url", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_used"))
+
+
+_SCANS = """SELECT event_id, user_id AS tab_id, ts AS started_at, ts + INTERVAL 2 HOUR AS finished_at FROM events WHERE event_type <> 'error'"""
+
+
+def _scans_and_closings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    events = _table(spark, folder, "events").withColumnRenamed("user_id", "tab_id")
+    scans = events.where(F.col("event_type") != "error").select(
+        "event_id", "tab_id", F.col("ts").alias("started_at"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("finished_at"))
+    return scans, events.where(F.col("event_type") == "error").select("tab_id", F.col("ts").alias("closed_at"))
+
+
+@query("t8_drop_cancelled", f"""
+    SELECT event_id FROM ({_SCANS}) s LEFT JOIN (
+        SELECT user_id AS tab_id, max(ts) AS closed_at FROM events WHERE event_type = 'error' GROUP BY user_id) c USING (tab_id)
+    WHERE NOT coalesce(closed_at BETWEEN started_at AND finished_at, FALSE)""")
+def _(spark, folder):
+    return S.drop_cancelled(*_scans_and_closings(spark, folder)).select("event_id")
+
+
+@query("t9_evict_tab", f"""
+    SELECT DISTINCT tab_id || '|' || url AS key FROM ({O.corpus('nav_events')})
+    WHERE tab_id NOT IN (SELECT user_id FROM events WHERE value > 95)""")
+def _(spark, folder):
+    keys = corpus(spark, folder, "nav_events").select(S.session_key(F.col("tab_id"), F.col("url")).alias("key")).distinct()
+    closed = _table(spark, folder, "events").where(F.col("value") > 95).select(F.col("user_id").alias("tab_id"))
+    return S.evict_tab(keys, closed)
+
+
+_BUDGET = 4000
+
+
+@query("t10_budget", f"""
+    SELECT page_id, source, CASE WHEN n <= {_BUDGET} THEN length(content) END AS n_chars,
+        CASE WHEN n > {_BUDGET} THEN 'QUOTA_EXCEEDED' END AS error
+    FROM ({_PAGE_SOURCES}) JOIN (SELECT page_id, octet_length(encode(to_json(map([source], [content]))::VARCHAR)) - 1 AS n
+        FROM ({_PAGE_SOURCES})) USING (page_id)""")
+def _(spark, folder):
+    sources = _page_sources(spark, folder)
+    none = E.occurrences(sources.where(F.lit(False)), _BARE).select("page_id", "display_key", "source", "index")
+    return S.apply_budget(sources, none, _BUDGET).select(
+        "page_id", "source", F.length("content").alias("n_chars"), "error")
+
+
+# -- sinks --------------------------------------------------------------------
+
+@query("k1_reports", f"""
+    SELECT page_id, 'recon_' || {O.host('url')} AS report_host, 0 AS part, count(*) AS n_occurrences, count(DISTINCT display_key) AS n_keys,
+        any_value(length(html)) AS n_text
+    FROM pages LEFT JOIN ({_PAGE_ENDPOINTS}) e USING (page_id, url) GROUP BY page_id, url""")
+def _(spark, folder):
+    root = shared_dir(spark, "reports")
+    K.write_reports(
+        K.page_reports(P.read_pages(spark, folder), _endpoints(spark, folder), _page_sources(spark, folder)), root)
+    stored = spark.read.schema("page_id bigint, report_name string, part int, report string").json(root)
+    parsed = F.from_json(
+        "report", "struct<findings:map<string,map<string,array<struct<index:int>>>>,sources:map<string,string>>")
+    keys = F.try_element_at(F.col("r.findings"), F.lit(R.ENDPOINTS))
+    return stored.withColumn("r", parsed).select(
+        "page_id", F.regexp_extract("report_name", r"^(recon_[^_]+?)(?:_.*)?\.json\z", 1).alias("report_host"), "part",
+        F.aggregate(F.map_values(keys), F.lit(0).cast("bigint"), lambda n, o: n + F.size(o)).alias("n_occurrences"),
+        F.size(keys).cast("bigint").alias("n_keys"),
+        F.length(F.try_element_at(F.col("r.sources"), F.lit("HTML Document"))).alias("n_text"))
+
+
+@query("k2_report_name", f"""
+    SELECT page_id, CASE WHEN page_id % 10 = 9 THEN 'recon_scan_results.json' WHEN path = '' THEN 'recon_' || h || '.json'
+        ELSE 'recon_' || h || '_' || replace(path, '/', '_') || '.json' END AS report_name
+    FROM (SELECT page_id, {O.host('url')} AS h, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        url, '^https?://[^/?#]*', ''), '[?#].*$', ''), '^/', ''), '/$', '') AS path FROM pages)""")
+def _(spark, folder):
+    url = F.when(F.col("page_id") % 10 == 9, "not-a-valid-url").otherwise(F.col("url"))
+    return P.read_pages(spark, folder).select("page_id", U.report_name(url).alias("report_name"))
+
+
+@query("k3_source_dumps", f"""
+    SELECT map_url, 0 AS part, count(*) AS file_count, regexp_extract(map_url, '[^/]*$') || '-dump.json' AS dump_name,
+        max(content) FILTER (WHERE origin = 'embedded') AS code, '2024-01-01T00:00:00.000Z' AS extracted_at
+    FROM ({_FILES}) GROUP BY map_url""")
+def _(spark, folder):
+    root = shared_dir(spark, "dumps")
+    K.write_source_dump(K.source_dumps(_rebuilt(spark, folder), F.lit("2024-01-01").cast("timestamp")), root)
+    stored = spark.read.schema("map_url string, part int, file_count bigint, dump_name string, dump string").json(root)
+    parsed = F.from_json("dump", "struct<metadata:struct<extractedAt:string,fileCount:bigint>,sources:map<string,string>>")
+    path = F.concat(F.lit("src/a"), F.regexp_extract("map_url", r"/js/([0-9]+)\.", 1), F.lit(".js"))
+    return stored.withColumn("d", parsed).select(
+        "map_url", "part", F.col("d.metadata.fileCount").alias("file_count"), "dump_name",
+        F.try_element_at(F.col("d.sources"), path).alias("code"), F.col("d.metadata.extractedAt").alias("extracted_at"))
+
+
+@query("k4_findings_table", f"""
+    SELECT page_id, id, source, line, "column", sha256(secret) AS secret_sha256, length(secret) AS secret_length,
+        CASE WHEN length(secret) > 12 THEN left(secret, 4) || '...' END AS secret_hint, 'Potential Secrets' AS category
+    FROM ({O.secret_findings(O.corpus('token_scripts'), R.strict_rules())})""")
+def _(spark, folder):
+    root = shared_dir(spark, "findings")
+    K.write_findings(E.secret_findings(corpus(spark, folder, "token_scripts")), root)
+    return spark.read.parquet(root).select(
+        "page_id", "id", "source", "line", "column", "secret_sha256", "secret_length", "secret_hint", "category")

@@ -120,7 +120,7 @@ CORPORA = {
             'self.__BUILD_MANIFEST={"/":["a.js"],"/n' || n_nationkey || '" : [],"/_app":[],"/p/[...slug]":[],"/x/[[...y]]":[],"sortedPages":["/","/q"]}' AS body
         FROM <nation>""",
     "nav_events": """
-        SELECT event_id, ts, user_id AS tab_id, CAST(event_id % 3 AS INT) AS frame_id,
+        SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS tab_id, CAST(event_id % 3 AS INT) AS frame_id,
             CASE event_id % 4 WHEN 0 THEN 'https://chromewebstore.google.com/x' WHEN 1 THEN 'about:blank'
                 ELSE 'https://site' || (user_id % 50) || '.example.com/p' || (event_id % 10) END AS url
         FROM <events>""",

@@ -22,6 +22,8 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     alone: its splits already outnumber the cores, and a shuffle of the texts
     would cost more than the imbalance.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if not keys or estimated_bytes(df) > cores * BALANCED_BYTES_PER_CORE:
         return df

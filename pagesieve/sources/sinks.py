@@ -34,7 +34,10 @@ def page_reports(pages: DataFrame, found: DataFrame, sources: DataFrame) -> Data
     # A key that was cut itself continues in a part of its own.
     by_category = by_category.withColumn("part", F.col("part") + F.col("_key_part") * F.lit(1 << 16))
     findings = by_category.groupBy("page_id", "part").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "keys")))).alias("findings"))
+        F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("category", "keys")),
+            lambda a, b: F.when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0),
+        )).alias("findings"))
     texts = split_large(
         sources.select("page_id", "source", "content"), ["page_id"], ["source"], TEXTS_PER_REPORT
     ).groupBy("page_id", "part").agg(

@@ -42,16 +42,16 @@ def rows_of(columns, rows):
     return sorted(columns), Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def difference(df, con, sql) -> str | None:
+def difference(df, con, sql) -> tuple[str | None, int]:
     names, left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     other, right = rows_of([d[0] for d in cur.description], cur.fetchall())
     if names != other:
-        return f"columns {names} against {other}"
+        return f"columns {names} against {other}", 0
     if left != right:
         return (f"{sum(left.values())} against {sum(right.values())} rows; "
-                f"only Spark: {list((left - right).items())[:3]}; only SQL: {list((right - left).items())[:3]}")
-    return None
+                f"only Spark: {list((left - right).items())[:3]}; only SQL: {list((right - left).items())[:3]}"), 0
+    return None, sum(left.values())
 
 
 if __name__ == "__main__":
@@ -72,8 +72,7 @@ if __name__ == "__main__":
         try:
             df = fn(spark, folder)
             if name in catalog.ORACLE:
-                diff = difference(df, con, catalog.ORACLE[name])
-                n = df.count() if diff is None else ""
+                diff, n = difference(df, con, catalog.ORACLE[name])
             else:
                 diff, n = None, f"{df.count()} (rows only)"
         except Exception as err:  # noqa: BLE001
