@@ -834,10 +834,10 @@ def _(spark, folder):
 
 @query("t9_evict_tab", f"""
     SELECT DISTINCT tab_id || '|' || url AS key FROM ({O.corpus('nav_events')})
-    WHERE tab_id NOT IN (SELECT user_id FROM events WHERE value > 95)""")
+    WHERE tab_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)""")
 def _(spark, folder):
     keys = corpus(spark, folder, "nav_events").select(S.session_key(F.col("tab_id"), F.col("url")).alias("key")).distinct()
-    closed = _table(spark, folder, "events").where(F.col("value") > 95).select(F.col("user_id").alias("tab_id"))
+    closed = _table(spark, folder, "events").where(F.col("event_id") % 97 == 0).select(F.col("user_id").alias("tab_id"))
     return S.evict_tab(keys, closed)
 
 

@@ -102,7 +102,7 @@ CORPORA = {
         FROM <orders>""",
     "registry": """
         SELECT DISTINCT '@corp' || (c_custkey % 25) || '/lib' || c_custkey AS package,
-            CASE WHEN c_custkey % 3 = 0 THEN 404 ELSE 200 END AS status
+            CASE WHEN c_custkey % 4 = 0 THEN 404 ELSE 200 END AS status
         FROM <customer> WHERE c_custkey % 5 <> 1""",
     "next_pages": """
         SELECT page_id, url, '<html><script id="__NEXT_DATA__" type="application/json">' || CASE page_id % 6
