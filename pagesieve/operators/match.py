@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,11 +175,15 @@ def _text_keys(sources: DataFrame) -> list[str]:
     return [c for c in sources.columns if c != "content"]
 
 
+def _spread_texts(sources: DataFrame, keep: list[str]) -> DataFrame:
+    return spread(scannable_text(sources), [c for c in ("page_id", "source") if c in keep])
+
+
 def match_rule(sources: DataFrame, rule: Rule, limit: int | None = None) -> DataFrame:
     """All non-overlapping matches of one rule, in text order."""
     check_rules([rule])
-    texts = scannable_text(sources)
     keep = _text_keys(sources)
+    texts = _spread_texts(sources, keep)
     if rule.has_lead:
         texts = texts.where(_rule_lead(F.col("content"), rule))
     none = F.lit(rule.method_group).cast("int")
@@ -216,27 +220,46 @@ def _by_first(patterns: Sequence[str]) -> str:
     return "|".join(heads + sorted(other))
 
 
+def _begins_with(pattern: str) -> Callable[[Column], Column]:
+    return lambda start: start.rlike(rf"(?is)^(?:{pattern})")
+
+
+def _names_any(low: Column, names: str) -> Column:
+    """Cheap first test for one of the names of an assignment lead."""
+    heads = list(dict.fromkeys(re.match("[a-z]+", name).group() for name in _alternatives(names)))
+    test = low.contains(heads[0])
+    for head in heads[1:]:
+        test = test | low.contains(head)
+    return test
+
+
 def candidates(content: Column, rules: Sequence[Rule]) -> Column:
     """Ordinals of the rules whose leads appear in ``content``.
 
-    Leads of one kind share a regex; a rule's own lead is looked at only in the rare text where the joint one is found.
+    Leads of one kind share a regex, and a rule's own lead is looked at only
+    where the joint one is found.
     """
     numbered = list(enumerate(rules))
-    families = (
-        ([(i, r.word) for i, r in numbered if r.word], word_lead),
-        ([(i, r.assigned) for i, r in numbered if r.assigned], assigned_lead),
-    )
+    words = [(i, r.word) for i, r in numbered if r.word]
+    assigned = [(i, r.assigned) for i, r in numbered if r.assigned]
     texts = [(i, r) for i, r in numbered if r.text]
     always = [i for i, r in numbered if not r.has_lead]
     none = F.array().cast("array<int>")
 
+    def words_of(starts: Column) -> Column:
+        own = F.array(*[F.when(F.exists(starts, _begins_with(p)), F.lit(i)) for i, p in words])
+        return F.when(F.size(starts) > 0, own).otherwise(none)
+
     def gather(low: Column) -> Column:
         parts = [F.array(*[F.lit(i) for i in always]) if always else none]
-        for members, lead in families:
-            if members:
-                joint = content.rlike(lead(_by_first([p for _, p in members])))
-                own = F.array(*[F.when(content.rlike(lead(p)), F.lit(i)) for i, p in members])
-                parts.append(F.when(joint, own).otherwise(none))
+        if words:
+            joint = word_lead(_by_first([p for _, p in words]))
+            parts.append(let(F.regexp_extract_all(content, F.lit(joint), F.lit(1)), words_of))
+        if assigned:
+            joint = assigned_lead(_by_first([p for _, p in assigned]))
+            own = F.array(*[
+                F.when(_names_any(low, p) & content.rlike(assigned_lead(p)), F.lit(i)) for i, p in assigned])
+            parts.append(F.when(content.rlike(joint), own).otherwise(none))
         by_text: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, r in texts:
             by_text[r.text].append(i)
@@ -279,7 +302,7 @@ def scan(sources: DataFrame, rules: Sequence[Rule], limit: int | None = None) ->
     """
     check_rules(rules)
     keep = _text_keys(sources)
-    texts = spread(scannable_text(sources), [c for c in ("page_id", "url", "source") if c in keep])
+    texts = _spread_texts(sources, keep)
     # Exploded where it is computed: a named column would be filtered on first
     # and the filter would work the leads out a second time.
     pairs = texts.select(*keep, "content", F.explode(candidates(F.col("content"), rules)).alias("rule_ord"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions.dialect import to_java
 from pagesieve.functions.text import decode_entities, decode_text, let, with_doctype
 from pagesieve.functions.urls import is_scannable, resolve_url
+from pagesieve.sources.layout import spread
 
 MAX_CONTENT_BYTES = 5 * 1024 * 1024
 
@@ -124,6 +125,7 @@ def extract_sources(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = T
     html = F.col("html")
     if mode == FULL and add_doctype:
         html = with_doctype(html)
+    pages = spread(pages, ["page_id"])
     # The order of the scan: passive begins with the page, full ends with it.
     html_ord = 0 if mode == PASSIVE else (1 << 30)
 
@@ -152,7 +154,7 @@ def script_refs(pages: DataFrame) -> DataFrame:
     def refs(tags: Column) -> Column:
         return F.filter(F.transform(tags, lambda t: _src(t["attrs"])), lambda s: F.coalesce(s, F.lit("")) != "")
 
-    found = pages.select(
+    found = spread(pages, ["page_id"]).select(
         "page_id", "url", base_url(F.col("html"), F.col("url")).alias("_base"),
         F.posexplode(let(_script_tags(F.col("html")), refs)).alias("ref_ord", "_src"))
     return found.select(
