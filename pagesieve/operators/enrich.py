@@ -129,14 +129,6 @@ def merge_routes(found: DataFrame, manifests: DataFrame, routes: DataFrame) -> D
     return found.unionByName(rows, allowMissingColumns=True)
 
 
-def _map_files(maps: DataFrame, fetched: DataFrame) -> DataFrame:
-    bodies = fetched.select(F.col("url").alias("map_url"), "status", "body")
-    parsed = F.from_json("body", "struct<sources:array<string>,sourcesContent:array<string>>")
-    usable = F.col("status").between(200, 299)
-    return maps.select("map_url").distinct().join(bodies, "map_url", "left").select(
-        "map_url", F.col("status"), usable.alias("_ok"), F.when(usable, parsed).alias("_map"))
-
-
 def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
     """Original sources of source maps: ``map_url, source_path, content, origin``.
 
@@ -144,42 +136,49 @@ def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
     fetch failed is named as missing, one without any record is left out.  A
     map that cannot be used gives one row under ``ERROR_PATH``.
     """
-    files = _map_files(maps, fetched)
+    answers = fetched.select(F.col("url").alias("map_url"), "status", "body")
+    files = maps.select("map_url").distinct().join(answers, "map_url", "left")
+    ok = F.col("status").between(200, 299)
+    parsed = F.when(ok, F.from_json("body", "struct<sources:array<string>,sourcesContent:array<string>>"))
 
     def entries(m: Column) -> Column:
         listed = F.transform(m["sources"], lambda path, i: F.struct(
-            path.alias("path"), i.alias("pos"), F.get(m["sourcesContent"], i).alias("text")))
+            path.alias("path"), i.alias("pos"), F.coalesce(F.get(m["sourcesContent"], i), F.lit("")).alias("text")))
         ranked = F.array_sort(F.filter(listed, lambda e: e["path"].isNotNull()))
         # Of equal paths the last one stands.
         return let(ranked, lambda r: F.filter(r, lambda e, i: ~F.coalesce(
             F.get(r, i + F.lit(1))["path"] == e["path"], F.lit(False))))
 
-    good = files.where(F.col("_map.sources").isNotNull()).select(
-        "map_url", F.explode(entries(F.col("_map"))).alias("_e"))
-    text = F.col("_e.text")
-    embedded = good.where(F.coalesce(text, F.lit("")) != "").select(
-        "map_url", F.col("_e.path").alias("source_path"), text.alias("content"), F.lit("embedded").alias("origin"))
+    reason = (
+        F.when(F.col("status").isNull(), F.lit("Error: the source map was not fetched"))
+        .when(~ok, F.concat(F.lit("Error: HTTP status "), F.col("status").cast("string")))
+        .otherwise(F.lit("Error: the source map is invalid or lists no sources")))
+    error = F.array(F.struct(
+        F.lit(ERROR_PATH).alias("source_path"), reason.alias("content"), F.lit("error").alias("origin")))
+
+    def in_map(m: Column) -> Column:
+        kept = F.filter(entries(m), lambda e: e["text"] != "")
+        rows = F.transform(kept, lambda e: F.struct(
+            e["path"].alias("source_path"), e["text"].alias("content"), F.lit("embedded").alias("origin")))
+        return F.when(m["sources"].isNotNull(), rows).otherwise(error)
+
+    def elsewhere(m: Column) -> Column:
+        return F.transform(F.filter(entries(m), lambda e: e["text"] == ""), lambda e: e["path"])
+
+    embedded = files.select("map_url", F.inline(let(parsed, in_map)))
 
     # Kept apart from the embedded files, which would all meet on a null key.
-    wanted = good.where(F.coalesce(text, F.lit("")) == "").select(
-        "map_url", F.col("_e.path").alias("source_path"),
-        resolve_url(F.col("_e.path"), F.col("map_url")).alias("_file"))
-    answers = fetched.select(F.col("url").alias("_file"), F.col("status").alias("_status"), F.col("body").alias("_body"))
-    ok = F.col("_status").between(200, 299)
+    wanted = files.select("map_url", F.explode(let(parsed, elsewhere)).alias("source_path")).withColumn(
+        "_file", resolve_url(F.col("source_path"), F.col("map_url")))
+    bodies = fetched.select(F.col("url").alias("_file"), F.col("status").alias("_status"), F.col("body").alias("_body"))
+    got = F.col("_status").between(200, 299)
     missing = F.concat(
         F.lit("Skipping missing source file: "), F.col("_file"), F.lit(" (Status: "), F.col("_status").cast("string"),
         F.lit(")"))
-    looked_up = wanted.join(answers, "_file").select(
-        "map_url", "source_path", F.when(ok, F.coalesce("_body", F.lit(""))).otherwise(missing).alias("content"),
-        F.when(ok, "fetched").otherwise("missing").alias("origin"))
-
-    reason = (
-        F.when(F.col("status").isNull(), F.lit("Error: the source map was not fetched"))
-        .when(~F.col("_ok"), F.concat(F.lit("Error: HTTP status "), F.col("status").cast("string")))
-        .otherwise(F.lit("Error: the source map is invalid or lists no sources")))
-    errors = files.where(F.col("_map.sources").isNull()).select(
-        "map_url", F.lit(ERROR_PATH).alias("source_path"), reason.alias("content"), F.lit("error").alias("origin"))
-    return embedded.unionByName(looked_up).unionByName(errors)
+    looked_up = wanted.join(bodies, "_file").select(
+        "map_url", "source_path", F.when(got, F.coalesce("_body", F.lit(""))).otherwise(missing).alias("content"),
+        F.when(got, "fetched").otherwise("missing").alias("origin"))
+    return embedded.unionByName(looked_up)
 
 
 def source_tree(rebuilt: DataFrame) -> DataFrame:

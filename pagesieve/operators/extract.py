@@ -18,6 +18,7 @@ from pagesieve.functions.text import (
 )
 from pagesieve.functions.urls import base_domain, current_hostname, resolve_url, url_host
 from pagesieve.operators.match import clean_group, entropy_filter, scan
+from pagesieve.sources.pages import EXTERNAL_ORD, decode_sources, drop_too_large, size_gate, usable_response
 
 # One more than the nominal thousand: the count is compared after it is raised.
 PASSIVE_MATCH_CAP = 1001
@@ -34,14 +35,47 @@ def secret_findings(
     entropy filter.  Of the two workers this mirrors one caps at
     ``PASSIVE_MATCH_CAP`` and one does not; nothing is capped by default.
     """
-    matches = entropy_filter(scan(sources, R.strict_rules() if rules is None else rules, max_matches))
+    return _as_findings(
+        sources, entropy_filter(scan(sources, R.strict_rules() if rules is None else rules, max_matches)))
+
+
+def _as_findings(sources: DataFrame, matches: DataFrame) -> DataFrame:
     large = F.col("is_too_large") if "is_too_large" in sources.columns else F.lit(False)
-    extra = [c for c in ("url", "source_ord") if c in sources.columns]
+    extra = [c for c in ("url", "source_ord") if c in matches.columns]
     return matches.select(
         "page_id", *extra, F.col("rule_id").alias("id"), "description", F.col("finding").alias("secret"),
         "source", large.alias("is_source_too_large"), "line", "column", "rule_ord", "match_ord")
 
 
+def _texts_of(refs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Each usable script that some page refers to, once."""
+    used = refs.select(F.col("script_url").alias("source")).distinct()
+    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+        F.col("url").alias("source"), F.col("body").alias("content"))
+    return bodies.join(used, "source", "left_semi")
+
+
+def _to_pages(matches: DataFrame, refs: DataFrame) -> DataFrame:
+    """Matches in scripts, repeated for every page that refers to the script."""
+    places = refs.select(
+        "page_id", "url", F.col("script_url").alias("source"),
+        (F.col("ref_ord") + F.lit(EXTERNAL_ORD)).alias("source_ord"))
+    return matches.join(places, "source")
+
+
+def script_findings(
+    refs: DataFrame, fetched: DataFrame, rules: Sequence[R.Rule] | None = None, max_matches: int | None = None,
+) -> DataFrame:
+    """What ``secret_findings`` gives for attached scripts, at less cost.
+
+    Popular scripts belong to very many pages.  Each is scanned once and only
+    its findings, which are few and small, are joined to the pages.
+    """
+    texts = size_gate(_texts_of(refs, fetched))
+    matches = entropy_filter(scan(texts, R.strict_rules() if rules is None else rules, max_matches))
+    return _as_findings(texts, _to_pages(matches, refs))
+
+
 def _related(finding: Column, url: Column) -> Column:
     host = url_host(url)
     current, base = current_hostname(host), base_domain(host)
@@ -58,7 +92,16 @@ def occurrences(sources: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
     ``content``; the text should be decoded already.
     """
     keep = [c for c in ("page_id", "url", "source", "source_ord", "content") if c in sources.columns]
-    matches = clean_group(scan(sources.select(*keep), rules))
+    return _validated(clean_group(scan(sources.select(*keep), rules)))
+
+
+def script_occurrences(refs: DataFrame, fetched: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
+    """What ``occurrences`` gives for attached scripts; each is scanned once."""
+    texts = decode_sources(drop_too_large(_texts_of(refs, fetched)))
+    return _validated(_to_pages(clean_group(scan(texts, rules)), refs))
+
+
+def _validated(matches: DataFrame) -> DataFrame:
     category, finding = F.col("category"), F.col("finding")
     floor = F.col("entropy_floor")
     valid = (

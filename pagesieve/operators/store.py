@@ -70,7 +70,7 @@ def skip_scanned(pages: DataFrame, store: DataFrame, force: bool = False) -> Dat
     if force:
         return todo
     done = store.where(F.col("status") == "complete").select("url")
-    return todo.dropDuplicates(keys).join(done, "url", "left_anti")
+    return todo.dropDuplicates(keys).join(done, "url", "left_anti").select(*pages.columns)
 
 
 def upsert_results(store: DataFrame, batch: DataFrame) -> DataFrame:

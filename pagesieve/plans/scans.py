@@ -39,12 +39,14 @@ def passive_scan(
     excluded_rule_ids: Sequence[str] = (), max_matches: int | None = None,
 ) -> PassiveScan:
     wanted = P.scannable(pages, exclusions)
-    sources = P.extract_sources(wanted, P.PASSIVE)
+    rules = R.strict_rules(excluded_rule_ids)
+    local = P.size_gate(P.extract_sources(wanted, P.PASSIVE))
+    found, sources = extract.secret_findings(local, rules, max_matches), local
     if fetched is not None:
-        sources = P.attach_scripts(sources, P.script_refs(wanted), fetched)
-    sources = P.size_gate(sources)
-    findings = materialize(
-        extract.secret_findings(sources, R.strict_rules(excluded_rule_ids), max_matches), "findings")
+        refs = P.script_refs(wanted)
+        found = found.unionByName(extract.script_findings(refs, fetched, rules, max_matches))
+        sources = P.size_gate(P.attach_scripts(local.drop("n_bytes", "is_too_large"), refs, fetched))
+    findings = materialize(found, "findings")
     return PassiveScan(
         sources, findings, aggregate.page_status(findings, wanted), aggregate.retain_sources(sources, findings))
 
@@ -61,11 +63,15 @@ def full_scan(
     parameters: Sequence[str] = R.DEFAULT_PARAMETERS, guess_source_maps: bool = False,
 ) -> FullScan:
     """Everything the on-demand report shows, for every page of a corpus."""
-    sources = P.extract_sources(pages, P.FULL)
+    rules = R.full_rules(parameters)
+    sources = P.decode_sources(P.drop_too_large(P.extract_sources(pages, P.FULL)))
+    found = extract.occurrences(sources, rules)
     if fetched is not None:
-        sources = P.attach_scripts(sources, P.script_refs(pages), fetched)
-    sources = materialize(P.decode_sources(P.drop_too_large(sources)), "sources")
-    found = materialize(extract.occurrences(sources, R.full_rules(parameters)), "occurrences")
+        refs = P.script_refs(pages)
+        found = found.unionByName(extract.script_occurrences(refs, fetched, rules))
+        scripts = P.attach_scripts(sources.where(F.lit(False)), refs, fetched)
+        sources = sources.unionByName(P.decode_sources(P.drop_too_large(scripts)))
+    found = materialize(found, "occurrences")
 
     if fetched is not None:
         if guess_source_maps:

@@ -21,6 +21,9 @@ PASSIVE, FULL = "passive", "full"
 HTML_SOURCE = {PASSIVE: "HTML Document", FULL: "Main HTML Document"}
 INLINE_PREFIX = "Inline Script #"
 
+# External scripts come after inline ones and before the page of a full scan.
+EXTERNAL_ORD, LAST_ORD = 1 << 20, 1 << 30
+
 # Scripts are found the way an HTML parser finds them: comments and elements
 # whose content is plain text are stepped over, the first close tag ends a
 # script, and a script that is never closed runs to the end.
@@ -127,7 +130,7 @@ def extract_sources(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = T
         html = with_doctype(html)
     pages = spread(pages, ["page_id"])
     # The order of the scan: passive begins with the page, full ends with it.
-    html_ord = 0 if mode == PASSIVE else (1 << 30)
+    html_ord = 0 if mode == PASSIVE else LAST_ORD
 
     def inline(tags: Column) -> Column:
         def is_inline(tag: Column) -> Column:
@@ -169,14 +172,14 @@ def usable_response(status: Column, body: Column) -> Column:
 def attach_scripts(sources: DataFrame, refs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Add the bodies of external scripts that were fetched with success.
 
-    Popular scripts are referenced by many pages; the join key is skewed on the
-    side of the references only, which adaptive execution splits.
+    Every page gets its own copy of a script.  To find what popular scripts
+    hold, ``extract.script_findings`` scans each of them once instead.
     """
     bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
         F.col("url").alias("script_url"), F.col("body").alias("content"))
     scripts = refs.join(bodies, "script_url").select(
         "page_id", "url", F.col("script_url").alias("source"), F.lit("external").alias("kind"),
-        (F.col("ref_ord") + F.lit(1 << 20)).alias("source_ord"), "content")
+        (F.col("ref_ord") + F.lit(EXTERNAL_ORD)).alias("source_ord"), "content")
     return sources.unionByName(scripts)
 
 
