@@ -37,14 +37,19 @@ def split_large(rows: DataFrame, keys: list[str], spread_by: list[str], per_part
     return numbered.withColumn("part", F.coalesce(part, F.lit(0))).drop("_n")
 
 
+_FIELDS = ("source", "rule_id", "index", "secret_length", "line", "column", "http_method")
+
+
+def in_scan_order() -> Column:
+    """Aggregate: the occurrences of a group as an array, in the order of the scan."""
+    rows = F.sort_array(F.collect_list(F.struct(_order().alias("ord"), *[F.col(f) for f in _FIELDS])))
+    return F.transform(rows, lambda o: F.struct(*[o[f].alias(f) for f in _FIELDS]))
+
+
 def group_findings(found: DataFrame, per_part: int = OCCURRENCES_PER_PART) -> DataFrame:
     """Occurrences as an array under page, category and key, in scan order."""
-    fields = ("source", "rule_id", "index", "secret_length", "line", "column", "http_method")
     parts = split_large(found, list(_KEY), ["source", "index", "rule_ord"], per_part)
-    collected = parts.groupBy(*_KEY, "part").agg(
-        F.sort_array(F.collect_list(F.struct(_order().alias("ord"), *[F.col(f) for f in fields]))).alias("_o"))
-    return collected.select(
-        *_KEY, "part", F.transform("_o", lambda o: F.struct(*[o[f].alias(f) for f in fields])).alias("occurrences"))
+    return parts.groupBy(*_KEY, "part").agg(in_scan_order().alias("occurrences"))
 
 
 def unique_occurrences(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesieve import rules as R
 from pagesieve.functions.urls import report_name
-from pagesieve.operators.aggregate import group_findings, split_large
+from pagesieve.operators.aggregate import in_scan_order, split_large
 from pagesieve.operators.enrich import ERROR_PATH
 
 OCCURRENCES_PER_REPORT = 100_000
@@ -25,14 +25,12 @@ def page_reports(pages: DataFrame, found: DataFrame, sources: DataFrame) -> Data
     A page with more than a report can hold is written as several parts, which
     add up to the whole; every other page has the single part 0.
     """
-    shown = found.where(F.col("category") != R.NPM_PACKAGES)
-    keyed = split_large(
-        group_findings(shown).withColumnRenamed("part", "_key_part"),
-        ["page_id"], ["category", "display_key", "_key_part"], OCCURRENCES_PER_REPORT)
-    by_category = keyed.groupBy("page_id", "part", "_key_part", "category").agg(
+    shown = split_large(
+        found.where(F.col("category") != R.NPM_PACKAGES), ["page_id"],
+        ["category", "display_key", "source", "index"], OCCURRENCES_PER_REPORT)
+    by_key = shown.groupBy("page_id", "part", "category", "display_key").agg(in_scan_order().alias("occurrences"))
+    by_category = by_key.groupBy("page_id", "part", "category").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("display_key", "occurrences")))).alias("keys"))
-    # A key that was cut itself continues in a part of its own.
-    by_category = by_category.withColumn("part", F.col("part") + F.col("_key_part") * F.lit(1 << 16))
     findings = by_category.groupBy("page_id", "part").agg(
         F.map_from_entries(F.array_sort(
             F.collect_list(F.struct("category", "keys")),
