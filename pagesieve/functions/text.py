@@ -59,16 +59,25 @@ def column_of(content: Column, index: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for null and empty text."""
+    """Bits per character; 0 for null and empty text.
+
+    Each step takes all copies of the first remaining character out of the
+    text, so the text shrinks quickly and is never counted per distinct
+    character at full length.
+    """
     def bits(t: Column) -> Column:
         total = F.length(t).cast("double")
 
-        def add(acc: Column, ch: Column) -> Column:
-            share = (F.length(t) - F.length(F.replace(t, ch, F.lit("")))) / total
-            return acc - share * F.log2(share)
+        def take(acc: Column, _: Column) -> Column:
+            def without(rest: Column) -> Column:
+                share = (F.length(acc["rest"]) - F.length(rest)) / total
+                return F.struct(rest.alias("rest"), (acc["bits"] - share * F.log2(share)).alias("bits"))
+
+            less = F.replace(acc["rest"], F.substring(acc["rest"], 1, 1), F.lit(""))
+            return F.when(acc["rest"] == "", acc).otherwise(let(less, without))
 
-        chars = F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
-        return F.aggregate(chars, F.lit(0.0), add)
+        start = F.struct(t.alias("rest"), F.lit(0.0).alias("bits"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), start, take, lambda acc: acc["bits"])
 
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(let(text, bits))
 

@@ -21,6 +21,7 @@ from pagesieve.session import shared_dir
 from pagesieve.sources import pages as P
 from pagesieve.sources import sinks as K
 from pagesieve.sources.corpora import corpus
+from pagesieve.sources.layout import spread
 from pagesieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,7 +265,7 @@ def _(spark, folder):
 
 @query("m4_entropy", f"SELECT doc_id, round({O.entropy('text')}, 6) AS entropy FROM documents")
 def _(spark, folder):
-    return _table(spark, folder, "documents").select(
+    return spread(_table(spark, folder, "documents"), ["doc_id"]).select(
         "doc_id", F.round(X.shannon_entropy(F.col("text")), 6).alias("entropy"))
 
 
@@ -864,8 +865,8 @@ def _(spark, folder):
     FROM pages LEFT JOIN ({_PAGE_ENDPOINTS}) e USING (page_id, url) GROUP BY page_id, url""")
 def _(spark, folder):
     root = shared_dir(spark, "reports")
-    K.write_reports(
-        K.page_reports(P.read_pages(spark, folder), _endpoints(spark, folder), _page_sources(spark, folder)), root)
+    found = materialize(_endpoints(spark, folder), "endpoints")
+    K.write_reports(K.page_reports(P.read_pages(spark, folder), found, _page_sources(spark, folder)), root)
     stored = spark.read.schema("page_id bigint, report_name string, part int, report string").json(root)
     parsed = F.from_json(
         "report", "struct<findings:map<string,map<string,array<struct<index:int>>>>,sources:map<string,string>>")
