@@ -17,7 +17,8 @@ PROTECTED_PREFIXES = (
     "https://addons.mozilla.org",
 )
 
-_HTTP = r"(?i)^(https?):[/\\]*(?:[^/\\?#@]*@)?(\[[^\]]*\]|[^/\\?#:]*)(:[0-9]*)?([^?#]*)(\?[^#]*)?(#.*)?\z"
+# Groups: scheme, user info, host, port, path, query, fragment.
+_HTTP = r"(?i)^(https?):[/\\]*((?:[^/\\?#@]*@)?)(\[[^\]]*\]|[^/\\?#:]*)(:[0-9]*)?([^?#]*)(\?[^#]*)?(#.*)?\z"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -26,18 +27,22 @@ def _part(url: Column, group: int) -> Column:
 
 def url_host(url: Column) -> Column:
     """Host of an http(s) URL in lower case, '' for anything else."""
-    return F.lower(_part(url, 2))
+    return F.lower(_part(url, 3))
 
 
 def url_scheme(url: Column) -> Column:
     return F.lower(_part(url, 1))
 
 
+def _authority(url: Column, user: bool) -> Column:
+    port = F.concat(url_scheme(url), _part(url, 4))
+    port = F.regexp_replace(port, r"^http:80\z|^https:443\z|^https?:?\z|^https?(?=:)", "")
+    return F.concat(url_scheme(url), F.lit("://"), *([_part(url, 2)] if user else []), url_host(url), port)
+
+
 def url_origin(url: Column) -> Column:
     """scheme://host[:port] without the default port."""
-    port = F.concat(url_scheme(url), _part(url, 3))
-    port = F.regexp_replace(port, r"^http:80\z|^https:443\z|^https?:?\z|^https?(?=:)", "")
-    return F.concat(url_scheme(url), F.lit("://"), url_host(url), port)
+    return _authority(url, user=False)
 
 
 def _fold_dots(path: Column) -> Column:
@@ -74,11 +79,11 @@ def _clean(url: Column) -> Column:
 def normalize_url(url: Column, keep_fragment: bool = False) -> Column:
     """Serialised form of an absolute http(s) URL, null when it is none."""
     def build(u: Column) -> Column:
-        path = F.regexp_replace(F.translate(_part(u, 4), "\\", "/"), r"^\z", "/")
-        pieces = [url_origin(u), _encode(_fold_dots(path), _PATH_CODES), _encode(_part(u, 5), _PATH_CODES[:4])]
+        path = F.regexp_replace(F.translate(_part(u, 5), "\\", "/"), r"^\z", "/")
+        pieces = [_authority(u, user=True), _encode(_fold_dots(path), _PATH_CODES), _encode(_part(u, 6), _PATH_CODES[:4])]
         if keep_fragment:
-            pieces.append(_encode(_part(u, 6), _PATH_CODES[:5]))
-        return F.when(_part(u, 2) != "", F.concat(*pieces))
+            pieces.append(_encode(_part(u, 7), _PATH_CODES[:5]))
+        return F.when(_part(u, 3) != "", F.concat(*pieces))
 
     return let(_clean(url), build)
 
@@ -87,18 +92,18 @@ def resolve_url(ref: Column, base: Column, keep_fragment: bool = False) -> Colum
     """Absolute http(s) URL that ``ref`` means on the page ``base``, else null."""
     def absolute(r: Column) -> Column:
         def on(b: Column) -> Column:
-            path = _part(b, 4)
+            path = _part(b, 5)
             folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
             folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-            page = F.concat(url_origin(b), F.when(path == "", F.lit("/")).otherwise(path))
+            page = F.concat(_authority(b, user=True), F.when(path == "", F.lit("/")).otherwise(path))
             return (
                 F.when(r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), r)
                 .when(r.rlike(r"^[/\\]{2}"), F.concat(url_scheme(b), F.lit(":"), r))
-                .when(r.rlike(r"^[/\\]"), F.concat(url_origin(b), r))
-                .when(r == "", F.concat(page, _part(b, 5)))
+                .when(r.rlike(r"^[/\\]"), F.concat(_authority(b, user=True), r))
+                .when(r == "", F.concat(page, _part(b, 6)))
                 .when(r.startswith("?"), F.concat(page, r))
-                .when(r.startswith("#"), F.concat(page, _part(b, 5), r))
-                .otherwise(F.concat(url_origin(b), folder, r))
+                .when(r.startswith("#"), F.concat(page, _part(b, 6), r))
+                .otherwise(F.concat(_authority(b, user=True), folder, r))
             )
 
         return let(base, on)

@@ -21,7 +21,7 @@ RESULT_BUDGET_BYTES = 30 * 1024 * 1024
 DEBOUNCE_MS = 100
 QUOTA_EXCEEDED = "QUOTA_EXCEEDED"
 
-_BUCKET_MS = 60 * 60 * 1000
+_BUCKET_MS = 60 * 1000
 
 
 def cache_key(prefix: str, url: Column) -> Column:
@@ -44,23 +44,22 @@ def millis(ts: Column) -> Column:
 def debounce(events: DataFrame, key: str = "tab_id", gap_ms: int = DEBOUNCE_MS) -> DataFrame:
     """Events that no other event of their key follows within ``gap_ms``.
 
-    A key is cut into hours so that a busy one is not sorted in a single task.
-    Events just after an hour begins are shown to the hour before as well,
-    where they only serve as followers.
+    A key is cut into minutes, or longer spells if the gap is longer, so that a
+    busy one is not sorted in a single task.  Events just after a spell begins
+    are shown to the spell before as well, where they only serve as followers.
     """
-    if gap_ms > _BUCKET_MS:
-        raise ValueError("the gap must not exceed an hour")
+    spell_us = max(_BUCKET_MS, gap_ms) * 1000
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    hour = F.floor(micros / F.lit(_BUCKET_MS * 1000)).cast("bigint")
-    early = micros - hour * F.lit(_BUCKET_MS * 1000) < F.lit(gap_ms * 1000)
-    shown_in = F.when(early, F.array(hour, hour - F.lit(1))).otherwise(F.array(hour))
-    placed = events.withColumn("_us", micros).withColumn("_hour", hour).select(
+    spell = F.floor(micros / F.lit(spell_us)).cast("bigint")
+    early = micros - spell * F.lit(spell_us) < F.lit(gap_ms * 1000)
+    shown_in = F.when(early, F.array(spell, spell - F.lit(1))).otherwise(F.array(spell))
+    placed = events.withColumn("_us", micros).withColumn("_spell", spell).select(
         "*", F.explode(shown_in).alias("_bucket"))
     later = W.partitionBy(key, "_bucket").orderBy("_us", "event_id")
     follower = F.lead("_us").over(later)
     fires = follower.isNull() | (follower - F.col("_us") >= F.lit(gap_ms * 1000))
     return placed.withColumn("_fires", fires).where(
-        F.col("_fires") & (F.col("_bucket") == F.col("_hour"))).select(*events.columns)
+        F.col("_fires") & (F.col("_bucket") == F.col("_spell"))).select(*events.columns)
 
 
 def skip_scanned(pages: DataFrame, store: DataFrame, force: bool = False) -> DataFrame:

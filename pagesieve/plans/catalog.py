@@ -747,7 +747,7 @@ def _(spark, folder):
     fired = _drain(stream, "debounce")
     last = _events(spark, folder).agg(F.max("ts").alias("_last"))
     limit = F.col("_last") - F.expr("INTERVAL 10 MINUTES") - F.expr("INTERVAL 1 HOUR")
-    return fired.join(F.broadcast(last), F.col("ts") < limit).select("event_id", "tab_id")
+    return fired.where(F.col("ts") < last.select(limit).scalar()).select("event_id", "tab_id")
 
 
 @query("t3_skip_scanned", f"""

@@ -13,7 +13,7 @@ from pagesieve.operators.enrich import ERROR_PATH
 OCCURRENCES_PER_REPORT = 100_000
 # A text is at most 5 MiB once past the size gate, so a part stays under 256 MiB.
 TEXTS_PER_REPORT = 50
-FILES_PER_DUMP = 50
+FILES_PER_DUMP = 5000
 
 _OCC = "struct<source:string,rule_id:string,index:int,secret_length:int,line:int,column:int,http_method:string>"
 _FINDINGS = f"map<string,map<string,array<{_OCC}>>>"
@@ -57,7 +57,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
 def source_dumps(rebuilt: DataFrame, extracted_at: Column | None = None) -> DataFrame:
     """One JSON dump per source map with its rebuilt files; failed maps have none."""
     files = split_large(
-        rebuilt.where(F.col("source_path") != ERROR_PATH), ["map_url"], ["source_path"], FILES_PER_DUMP * 100)
+        rebuilt.where(F.col("source_path") != ERROR_PATH), ["map_url"], ["source_path"], FILES_PER_DUMP)
     grouped = files.groupBy("map_url", "part").agg(
         F.count(F.lit(1)).alias("file_count"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_path", "content")))).alias("sources"))

