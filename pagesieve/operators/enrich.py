@@ -116,6 +116,13 @@ def next_routes(manifests: DataFrame, fetched: DataFrame) -> DataFrame:
     return found.where(~route.startswith("/_") & ~route.contains("[..."))
 
 
+def manifest_sources(manifests: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Fetched build manifests as sources of their pages, for the report."""
+    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+        F.col("url").alias("source"), F.col("body").alias("content"))
+    return manifests.select("page_id", F.col("manifest_url").alias("source")).join(bodies, "source")
+
+
 def merge_routes(found: DataFrame, manifests: DataFrame, routes: DataFrame) -> DataFrame:
     """Endpoints with the routes added that the page did not show itself."""
     per_page = manifests.join(routes, "manifest_url").select(

@@ -85,7 +85,9 @@ def full_scan(
         found = found.unionByName(enrich.dependency_confusion(packages, registry).select(*found.columns))
     found = found.where(F.col("category") != R.NPM_PACKAGES)
 
-    kept = aggregate.retain_sources(sources, found, P.FULL)
+    kept = aggregate.retain_sources(sources, found, P.FULL).select("page_id", "source", "content")
+    if fetched is not None:
+        kept = kept.unionByName(enrich.manifest_sources(manifests, fetched))
     return FullScan(sources, found, sinks.page_reports(pages, found, kept))
 
 

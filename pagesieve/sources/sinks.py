@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve import rules as R
+from pagesieve.functions.text import let
 from pagesieve.functions.urls import report_name
 from pagesieve.operators.aggregate import in_scan_order, split_large
 from pagesieve.operators.enrich import ERROR_PATH
+from pagesieve.sources.pages import HTML_SOURCE
 
 OCCURRENCES_PER_REPORT = 100_000
 # A text is at most 5 MiB once past the size gate, so a part stays under 256 MiB.
@@ -19,6 +21,21 @@ _OCC = "struct<source:string,rule_id:string,index:int,secret_length:int,line:int
 _FINDINGS = f"map<string,map<string,array<{_OCC}>>>"
 
 
+def _script_sections(texts: DataFrame) -> DataFrame:
+    """The script inventories, which a report lists as keys without occurrences."""
+    source = F.col("source")
+    section = F.when(source.startswith("Inline Script"), R.INLINE_SCRIPTS).otherwise(R.EXTERNAL_SCRIPTS)
+    return texts.where(~source.isin(*HTML_SOURCE.values())).select(
+        "page_id", "part", section.alias("category"), source.alias("display_key")
+    ).distinct().withColumn("occurrences", F.array().cast(f"array<{_OCC}>"))
+
+
+def _last_of_each(rows: Column) -> Column:
+    """Of entries with one key, in order, the last; a page may load a script twice."""
+    return F.filter(rows, lambda e, i: ~F.coalesce(
+        F.get(rows, i + F.lit(1))["source"] == e["source"], F.lit(False)))
+
+
 def page_reports(pages: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
     """One JSON report per page: findings by category and key, and the texts.
 
@@ -28,7 +45,9 @@ def page_reports(pages: DataFrame, found: DataFrame, sources: DataFrame) -> Data
     shown = split_large(
         found.where(F.col("category") != R.NPM_PACKAGES), ["page_id"],
         ["category", "display_key", "source", "index"], OCCURRENCES_PER_REPORT)
-    by_key = shown.groupBy("page_id", "part", "category", "display_key").agg(in_scan_order().alias("occurrences"))
+    texts = split_large(sources.select("page_id", "source", "content"), ["page_id"], ["source"], TEXTS_PER_REPORT)
+    by_key = shown.groupBy("page_id", "part", "category", "display_key").agg(
+        in_scan_order().alias("occurrences")).unionByName(_script_sections(texts))
     by_category = by_key.groupBy("page_id", "part", "category").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("display_key", "occurrences")))).alias("keys"))
     findings = by_category.groupBy("page_id", "part").agg(
@@ -36,10 +55,9 @@ def page_reports(pages: DataFrame, found: DataFrame, sources: DataFrame) -> Data
             F.collect_list(F.struct("category", "keys")),
             lambda a, b: F.when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0),
         )).alias("findings"))
-    texts = split_large(
-        sources.select("page_id", "source", "content"), ["page_id"], ["source"], TEXTS_PER_REPORT
-    ).groupBy("page_id", "part").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "content")))).alias("sources"))
+    by_source = F.sort_array(F.collect_list(F.struct("source", "content")))
+    texts = texts.groupBy("page_id", "part").agg(
+        F.map_from_entries(let(by_source, _last_of_each)).alias("sources"))
     joined = findings.join(texts, ["page_id", "part"], "full_outer")
     named = pages.select("page_id", report_name(F.col("url")).alias("report_name"))
     body = F.struct(

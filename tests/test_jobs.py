@@ -206,7 +206,7 @@ def test_budget_drops_texts_of_large_pages_only(texts, spark):
     assert out == {0: S.QUOTA_EXCEEDED, 1: None}
 
 
-PAGE = """<html><script src="/js/app.js"></script><script>api.get("/inline")</script>
+PAGE = """<html><script src="/js/app.js"></script><script src="/js/app.js"></script><script>api.get("/inline")</script>
 %s</html>""" % (NEXT % '{"buildId":"b1"}')
 APP = 'import x from "@corp/kit"; import y from "@corp/pub"; go("https://cdn.e.com/z"); client.post("/app");'
 
@@ -235,6 +235,10 @@ def test_full_scan_of_a_corpus(spark):
     assert len(reports) == 3
     report = json.loads(reports[0].report)
     assert "/r1" in report["findings"]["Endpoints"] and "https://e.com/js/app.js" in report["sources"]
+    manifest = "https://e.com/_next/static/b1/_buildManifest.js"
+    assert set(report["findings"]["External Scripts"]) == {"https://e.com/js/app.js", manifest}
+    assert report["findings"]["Inline Scripts"] == {"Inline Script #1": [], "Inline Script #2": []}
+    assert manifest in report["sources"]
 
 
 def test_scripts_scanned_once_give_what_attached_copies_give(spark, texts):
@@ -246,7 +250,7 @@ def test_scripts_scanned_once_give_what_attached_copies_give(spark, texts):
     columns = E.occurrences(attached, rules).columns
     a = sorted(map(str, E.occurrences(attached, rules).select(*columns).collect()))
     b = sorted(map(str, E.script_occurrences(refs, answers, rules).select(*columns).collect()))
-    assert a == b and len(a) == 3 * 5
+    assert a == b and len(a) == 3 * 2 * 5
 
 
 def test_passive_scan_counts_rows(spark):
