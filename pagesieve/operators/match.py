@@ -327,6 +327,6 @@ def clean_group(matches: DataFrame) -> DataFrame:
     return matches.withColumn("finding", js_trim(F.col("finding"))).where(F.col("finding") != "")
 
 
-def cap_matches(matches: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame:
+def cap_matches(matches: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` candidates per source and rule, first ones first."""
     return matches.where(F.col("match_ord") < limit)

@@ -67,7 +67,7 @@ def test_scripted_boundaries_follow_ecmascript(texts):
 def test_limit_counts_candidates(texts):
     rows = M.match_rule(texts(["a b c d e"]), WORDS, limit=3).collect()
     assert [r.match_ord for r in rows] == [0, 1, 2]
-    capped = M.cap_matches(M.match_rule(texts(["a b c d e"]), WORDS), 2, ["page_id"])
+    capped = M.cap_matches(M.match_rule(texts(["a b c d e"]), WORDS), 2)
     assert capped.count() == 2
 
 
