@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,11 +32,14 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for checkpoints and tables that must outlive an executor.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``; only
-    where none is named, as on one machine, a temporary folder stands in.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
+    session whose tasks run in the driver's own process may leave that unset and
+    gets a temporary folder; on a cluster executors would not share one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"pagesieve-{name}-")
     token = os.urandom(8).hex()
     return f"{root.rstrip('/')}/pagesieve-{name}-{token}"
