@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import line_dedup, packing, resharding
+from pagesieve.llm import decontamination, line_dedup, packing, private_data, resharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,22 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(d.parts) END AS B
     CASE WHEN d.text IS NULL THEN NULL ELSE md5(k.text) END AS text_md5
 FROM lines d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op10_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a passage."""
+    return decontamination.matches(
+        spark.read.parquet(_path(folder, "documents")), spark.read.parquet(_path(folder, "benchmark")))
+
+
+@query
+def op8_bootstrapped_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: the fixed kinds and what contexts reveal."""
+    found = private_data.private_spans(spark.read.parquet(_path(folder, "documents")))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{private_data.KINDS[k]}")
+
+    counts = map(count, range(len(private_data.KINDS)))
+    return found.select("doc_id", *counts, "base_sha256", private_data.spans_text("spans").alias("spans"))
