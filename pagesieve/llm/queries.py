@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, line_dedup, packing, private_data, resharding
+from pagesieve.llm import decontamination, line_dedup, packing, private_data, quality, resharding, warc
+from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +99,29 @@ def op8_bootstrapped_private_data(spark: SparkSession, folder: str) -> DataFrame
 
     counts = map(count, range(len(private_data.KINDS)))
     return found.select("doc_id", *counts, "base_sha256", private_data.spans_text("spans").alias("spans"))
+
+
+@query
+def op9_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, and whether it is accepted."""
+    done = quality.judge(spark.read.parquet(_path(folder, "documents")))
+    return done.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).alias("accepted"))
+
+
+@query
+def op1_dictionary_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = f"{shared_dir(spark, 'warc')}/archives"
+    warc.write_archives(spark.read.parquet(_path(folder, "pages")), path)
+    return warc.read_archives(spark, path, payload=False).drop("url", "payload")
+
+
+ORACLE["op1_dictionary_warc"] = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+    CASE WHEN f.first IS NULL OR f.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON f.digest = p.digest
+"""
