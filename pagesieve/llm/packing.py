@@ -9,8 +9,11 @@ independently, so the work spreads over tasks and no task sees more than a group
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,9 @@ SEQUENCE_TOKENS = 2048
 END_ID = 1
 #: Pieces a group holds on average; more make less padding and longer tasks.
 GROUP_PIECES = 4096
-#: Words whose ids a task remembers.
-CACHE_WORDS = 200_000
+#: Parts of texts whose ids a worker remembers, about 170 MB.
+CACHE_WORDS = 800_000
+_DOUBLE_SPACE = re.compile(r"\s ")
 _PIECES = "_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,22 +49,39 @@ def text_parts(text: str) -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes, with the ids of frequent parts remembered."""
+    """Token ids of whole texts as little-endian bytes, with the ids of parts remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by the part without the space it starts with
+
+    def _learn(self, parts: list[str], known: dict[str, bytes], space: str) -> dict[str, bytes]:
+        missing = list(set(parts).difference(known))
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            missing = list(set(parts))
+        found = self.tokenizer.encode_batch_fast([space + part for part in missing], add_special_tokens=False)
+        for part, own in zip(missing, found):
+            known[part] = np.array(own.ids, "<u4").tobytes()
+        return known
 
     def ids(self, text: str) -> bytes:
-        parts = text_parts(text)
-        missing = [part for part in dict.fromkeys(parts) if part not in self.known]
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known, missing = {}, list(dict.fromkeys(parts))
-        for part, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        if text[:1] == " " or _DOUBLE_SPACE.search(text):
+            parts = text_parts(text)
+            return b"".join(map(self._learn(parts, self.known, "").__getitem__, parts))
+        first, *parts = text.split(" ")
+        head = self._learn([first], self.known, "")[first]
+        return head + b"".join(map(self._learn(parts, self.spaced, " ").__getitem__, parts))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, kept from task to task; it runs on the task's own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def first_fit_decreasing(lengths: list[int], room: int) -> list[int]:
@@ -91,12 +112,12 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS) -> Da
     """One row for each piece of each row of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        ids_of = encoder(tokenizer).ids
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for row, doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
-                ids = encoder.ids(text or "") + end
+                ids = ids_of(text or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, tokens):
                     piece = ids[4 * start:4 * (start + tokens)]
