@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, line_dedup, packing, private_data, quality, resharding, warc
+from pagesieve.llm import decontamination, jaccard_groups, line_dedup, packing, private_data, quality, resharding, warc
 from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
     CASE WHEN f.first <> page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f ON f.digest = p.digest
 """
+
+
+@query
+def op5_token_group_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """The shingle set size and the component of every document."""
+    return jaccard_groups.components(spark.read.parquet(_path(folder, "documents"))).drop("text_key")
