@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, jaccard_groups, line_dedup, packing, private_data, quality, resharding, warc
+from pagesieve.llm import decontamination, jaccard_groups, line_dedup, neighbours, packing, private_data, quality, resharding, warc
 from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ FROM p LEFT JOIN f ON f.digest = p.digest
 def op5_token_group_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """The shingle set size and the component of every document."""
     return jaccard_groups.components(spark.read.parquet(_path(folder, "documents"))).drop("text_key")
+
+
+@query
+def op2_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of each embedding whose id is divisible by 20."""
+    return neighbours.nearest(spark.read.parquet(_path(folder, "embeddings")))
