@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ BLOCKS = 16
 #: Two texts of similarity 0.75 differ in 22 of 128 bits on average, with a deviation of 4.
 RADIUS = 40
 #: Bytes of benchmark text that a task holds at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 2 << 20
 MATCHES = "doc_id long, item_id long, similarity double, start_word long, end_word long, n_windows long"
 
 
@@ -47,17 +46,11 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1)
 
 
-def _near_bytes(radius: int) -> np.ndarray:
-    """All differences of a block of eight bits within a radius."""
-    return np.array([sum(1 << b for b in bits) for r in range(min(radius, 8) + 1) for bits in combinations(range(8), r)])
-
-
 class Items:
     """The benchmark items of one part, indexed."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], radius: int) -> None:
         self.radius = radius
-        self.near = _near_bytes(radius // BLOCKS)
         self.ids, self.words, self.bags = [], [], []
         for (_, words), item in zip(word_hashes(texts), ids):
             if len(words):
@@ -70,10 +63,11 @@ class Items:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.lengths = sorted(set(self.words))
-        # per length: the items, and for each block and value of it those whose block has it
+        # per length: the items, and for each block and value of it which of them differ by few enough bits there
         self.of_length = {n: np.flatnonzero(np.array(self.words) == n) for n in self.lengths}
+        values = np.arange(256, dtype=np.uint8)[None, :, None]
         self.blocks = {
-            n: [[own[self.prints[own, b] == v] for v in range(256)] for b in range(BLOCKS)] for n, own in self.of_length.items()}
+            n: np.bitwise_count(self.prints[own].T[:, None, :] ^ values) <= radius // BLOCKS for n, own in self.of_length.items()}
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which shingles occur in some item."""
@@ -84,15 +78,15 @@ class Items:
             out[maybe] = self.shingles[at] == hashes[maybe]
         return out
 
-    def candidates(self, length: int, prints: np.ndarray) -> list[np.ndarray]:
-        """For each fingerprint the items of a length within the radius."""
-        tables, out = self.blocks[length], []
-        for own in prints:
-            found = [tables[b][v] for b in range(BLOCKS) for v in own[b] ^ self.near]
-            near = np.unique(np.concatenate(found))
-            apart = np.bitwise_count(self.prints[near] ^ own).sum(axis=1)
-            out.append(near[apart <= self.radius])
-        return out
+    def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint and an item of a length within the radius."""
+        near = np.zeros((len(prints), len(self.of_length[length])), bool)
+        for b in range(BLOCKS):
+            near |= self.blocks[length][b][prints[:, b]]
+        at, item = np.nonzero(near)
+        item = self.of_length[length][item]
+        apart = np.bitwise_count(self.prints[item] ^ prints[at]).sum(axis=1)
+        return at[apart <= self.radius], item[apart <= self.radius]
 
     def matches(self, words: np.ndarray, similarity: float) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, end) of every similar window of a document."""
@@ -117,14 +111,14 @@ class Items:
                 part = hashes[k][run[0]:run[-1] + m]
                 sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(part), axis=0, dtype=np.int32)])
                 prints = fingerprints(sums[run - run[0] + m] - sums[run - run[0]])
-                for start, near in zip(run.tolist(), self.candidates(length, prints)):
-                    if not len(near):
-                        continue
-                    own, n = np.unique(hashes[k][start:start + m], return_counts=True)
-                    for i in near.tolist():
-                        found = weighted_similarity(own, n, *self.bags[i])
-                        if found >= similarity:
-                            yield i, found, start, start + window
+                last = -1
+                for at, i in zip(*(x.tolist() for x in self.candidates(length, prints))):
+                    start = int(run[at])
+                    if start != last:
+                        last, (own, n) = start, np.unique(hashes[k][start:start + m], return_counts=True)
+                    found = weighted_similarity(own, n, *self.bags[i])
+                    if found >= similarity:
+                        yield i, found, start, start + window
 
 
 def weighted_similarity(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> float:
