@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, jaccard_groups, line_dedup, neighbours, packing, private_data, quality, resharding, warc
+from pagesieve.llm import decontamination, jaccard_groups, line_dedup, neighbours, packing, private_data, quality, resharding, toxicity, warc
 from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,13 @@ def op5_token_group_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op2_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of each embedding whose id is divisible by 20."""
     return neighbours.nearest(spark.read.parquet(_path(folder, "embeddings")))
+
+
+@query
+def op3_recurrent_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = spark.read.parquet(_path(folder, "documents"))
+    network = toxicity.fit(docs, spark.read.parquet(_path(folder, "labels")))
+    return toxicity.scored(docs, network).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
