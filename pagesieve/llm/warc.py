@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesieve.llm.common import bounded, materialize
+
 DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = 0x184D2A50
 EMPTY_FRAME = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
@@ -151,7 +153,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
              .where("n > 1").select(F.col("digest").alias("known"), "refers", F.lit(True).alias("equal")))
     size = rows.agg(F.sum("bytes")).first()[0] or 0
     first = F.col("page_id").eqNullSafe(F.col("refers"))
-    joined = rows.join(known, F.col("digest") == F.col("known"), "left").select(
+    # payloads that repeat are few next to all; while they are, the pages are not shuffled to find them
+    joined = rows.join(bounded(materialize(known, "payloads")), F.col("digest") == F.col("known"), "left").select(
         "page_id", "url", F.when(F.col("equal").isNull() | first, F.col("html")).alias("html"), "digest", "bytes", "refers",
         F.coalesce("equal", F.lit(False)).alias("equal"), first.alias("first"))
     (joined.repartition(int(size // archive_bytes) + 1, "page_id").sortWithinPartitions("page_id")
