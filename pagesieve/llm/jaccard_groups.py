@@ -18,10 +18,12 @@ popular passages come last in the order and do not bring documents together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,21 +130,37 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "grp", "text")
 
 
+def packed(text: str) -> bytes:
+    """A text from which ``unpacked`` makes the tokens again: a third of their size, as they don't compress."""
+    return zstandard.ZstdCompressor(level=3).compress(text.encode())
+
+
+@lru_cache(maxsize=4)
+def _unpacked(data: bytes) -> np.ndarray:
+    text = zstandard.ZstdDecompressor().decompress(data).decode()
+    return distinct(shingles(next(words for _, words in word_hashes([text])), SHINGLE_WORDS))
+
+
+def unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    return _unpacked(value.as_py())
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the ``wanted`` classes (sid, rep)."""
+    """(sid, tokens) of the ``wanted`` classes (sid, rep), packed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, out, sets = batch.column(0).to_pylist(), [], []
-            for at, words in word_hashes(batch.column(2).to_pylist()):
+            sids, out, sets, texts = batch.column(0).to_pylist(), [], [], batch.column(2).to_pylist()
+            for at, words in word_hashes(texts):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 if len(tokens) and set_id(tokens) == sids[at]:
                     out.append(sids[at])
-                    sets.append(tokens.tobytes())
+                    sets.append(packed(texts[at]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["sid", "tokens"])
 
-    found = _of(docs, wanted.withColumn("grp", F.lit(0))).mapInArrow(read, "sid long, tokens binary")
-    return materialize(found.dropDuplicates(["sid"]), "sets")
+    found = materialize(_of(docs, wanted.withColumn("grp", F.lit(0))).mapInArrow(read, "sid long, tokens binary"), "sets")
+    # repeated rows may stand for one class
+    return found if found.count() <= wanted.count() else materialize(found.dropDuplicates(["sid"]), "sets")
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -176,13 +194,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y)]
+            keep = [similar(unpacked(x), unpacked(y), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(test, "a long, b long")
+    # only the sets move that have to meet: those of the first sides, and those of the second
+    pairs = bounded(pairs)
+    left = sets.join(pairs, sets.sid == pairs.a).select("a", "b", F.col("tokens").alias("x"))
+    ends = pairs.select(F.col("b").alias("sid")).distinct()
+    right = sets.join(bounded(materialize(ends, "ends")), "sid", "left_semi").select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
 def _within(a: str, b: str, percent: int) -> str:
@@ -222,28 +242,30 @@ def crossing_pairs(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks:
     every = sets.union(more)
 
     def unite(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for batch in batches for x in batch.column(2)]
+        parts = [unpacked(x) for batch in batches for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()),
-             pa.array([distinct(np.concatenate(parts)).tobytes()], pa.binary())], ["other", "part", "tokens"])
+             pa.array([distinct(np.concatenate(parts)).tobytes()], pa.binary())], ["other", "part", "held"])
 
-    unions = (members.join(every, members.member == every.sid).select("other", "part", "tokens")
-              .groupBy("other", "part").applyInArrow(unite, "other long, part long, tokens binary"))
+    own = bounded(members)
+    unions = (every.join(own, own.member == every.sid).select("other", "part", "tokens")
+              .groupBy("other", "part").applyInArrow(unite, "other long, part long, held binary"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                100 * overlap(own, np.frombuffer(u.as_buffer(), np.uint64)) >= percent * len(own)
-                for own, u in ((np.frombuffer(t.as_buffer(), np.uint64), u) for t, u in zip(batch.column(5), batch.column(6)))]
+            keep = []
+            for tokens, held in zip(batch.column(5), batch.column(6)):
+                tokens = unpacked(tokens)
+                keep.append(100 * overlap(tokens, np.frombuffer(held.as_buffer(), np.uint64)) >= percent * len(tokens))
             yield batch.select(["sid", "grp", "n", "other", "part"]).filter(pa.array(keep, pa.bool_()))
 
-    opened = (met.join(unions.withColumnRenamed("tokens", "held"), "other").join(every, "sid")
+    opened = (every.join(bounded(met), "sid").join(unions, "other")
               .select("sid", "grp", "n", "other", "part", "tokens", "held")
               .mapInArrow(bound, "sid long, grp long, n long, other long, part long"))
     pairs = (opened.join(members, ["other", "part"]).where(_within("n", "size", percent))
              .select(F.col("sid").alias("a"), F.col("member").alias("b"), F.col("grp").alias("a_grp"), F.col("other").alias("b_grp")))
     pairs = materialize(pairs, "pairs")
-    return pairs.join(verified(pairs.select("a", "b"), every, percent), ["a", "b"])
+    return pairs.join(verified(materialize(pairs.select("a", "b").distinct(), "opened"), every, percent), ["a", "b"])
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
