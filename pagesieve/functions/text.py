@@ -185,7 +185,8 @@ def decode_text(text: Column) -> Column:
 
 
 def has_doctype(html: Column) -> Column:
-    return F.substring(F.ltrim(html), 1, 200).rlike(r"(?i)^\s*<!doctype\b")
+    """White space and comments of any length may stand before the type."""
+    return F.lower(html).contains("<!doctype") & html.rlike(r"(?is)\A(?:\s++|<!--(?:-?>|.*?--!?>))*+<!doctype\b")
 
 
 def with_doctype(html: Column) -> Column:

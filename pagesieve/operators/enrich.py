@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pagesieve import rules as R
 from pagesieve.functions.text import let
 from pagesieve.functions.urls import normalize_url, resolve_url, url_host, url_origin
-from pagesieve.sources.pages import usable_response
+from pagesieve.sources.pages import latest_response, usable_response
 
 # Sizes in bytes a probed source map may state.
 MAP_MIN_BYTES, MAP_MAX_BYTES = 50, 50 * 1024 * 1024
@@ -106,7 +106,7 @@ def next_manifests(pages: DataFrame) -> DataFrame:
 
 def next_routes(manifests: DataFrame, fetched: DataFrame) -> DataFrame:
     """Routes named by fetched build manifests, internal and catch-all ones left out."""
-    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+    bodies = latest_response(fetched).where(usable_response(F.col("status"), F.col("body"))).select(
         F.col("url").alias("manifest_url"), "body")
     routes = F.regexp_extract_all(F.col("body"), F.lit(r'"(/[^"]*)"[\s]*:'), F.lit(1))
     found = bodies.join(
@@ -118,7 +118,7 @@ def next_routes(manifests: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def manifest_sources(manifests: DataFrame, fetched: DataFrame) -> DataFrame:
     """Fetched build manifests as sources of their pages, for the report."""
-    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+    bodies = latest_response(fetched).where(usable_response(F.col("status"), F.col("body"))).select(
         F.col("url").alias("source"), F.col("body").alias("content"))
     return manifests.select("page_id", F.col("manifest_url").alias("source")).join(bodies, "source")
 
@@ -143,6 +143,7 @@ def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
     fetch failed is named as missing, one without any record is left out.  A
     map that cannot be used gives one row under ``ERROR_PATH``.
     """
+    fetched = latest_response(fetched)
     answers = fetched.select(F.col("url").alias("map_url"), "status", "body")
     files = maps.select("map_url").distinct().join(answers, "map_url", "left")
     ok = F.col("status").between(200, 299)

@@ -18,7 +18,7 @@ from pagesieve.functions.text import (
 )
 from pagesieve.functions.urls import base_domain, current_hostname, resolve_url, url_host
 from pagesieve.operators.match import clean_group, entropy_filter, scan
-from pagesieve.sources.pages import EXTERNAL_ORD, decode_sources, drop_too_large, size_gate, usable_response
+from pagesieve.sources.pages import EXTERNAL_ORD, decode_sources, drop_too_large, size_gate, latest_response, usable_response
 
 # One more than the nominal thousand: the count is compared after it is raised.
 PASSIVE_MATCH_CAP = 1001
@@ -50,7 +50,7 @@ def _as_findings(sources: DataFrame, matches: DataFrame) -> DataFrame:
 def _texts_of(refs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Each usable script that some page refers to, once."""
     used = refs.select(F.col("script_url").alias("source")).distinct()
-    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+    bodies = latest_response(fetched).where(usable_response(F.col("status"), F.col("body"))).select(
         F.col("url").alias("source"), F.col("body").alias("content"))
     return bodies.join(used, "source", "left_semi")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesieve.functions.text import js_trim, let, line_breaks, shannon_entropy
-from pagesieve.rules import Rule, assigned_lead, word_lead
+from pagesieve.rules import LEAD_WINDOW, Rule, assigned_lead, word_lead
 from pagesieve.sources.layout import spread
 
 # Noncharacters, which Unicode keeps out of interchanged text.  A text that
@@ -40,6 +40,8 @@ def check_rules(rules: Sequence[Rule]) -> None:
     for rule in rules:
         if re.compile(rule.pattern).search("") is not None:
             raise ValueError(f"rule {rule.rule_id or rule.category!r} matches the empty string")
+        if rule.word and re._parser.parse(rule.word).getwidth()[1] > LEAD_WINDOW:
+            raise ValueError(f"the word lead of rule {rule.rule_id or rule.category!r} may need more than {LEAD_WINDOW} characters")
 
 
 def _replacement(rule: Rule) -> str:

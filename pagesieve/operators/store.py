@@ -76,10 +76,11 @@ def upsert_results(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Current rows after ``batch``: the newest per key, failed ones removed."""
     rows = store.unionByName(batch)
     rest = [c for c in rows.columns if c != "key"]
-    # Later states win where two rows carry one time.
+    # Later states win where two rows carry one time, then more findings; a row
+    # without a time is older than any other.
     rank = F.when(F.col("status") == "scanning", 0).otherwise(1)
-    newest = rows.groupBy("key").agg(
-        F.max_by(F.struct(*rest), F.struct(F.coalesce("timestamp_ms", F.lit(-1)), rank)).alias("_row"))
+    place = F.struct(F.coalesce("timestamp_ms", F.lit(-1)), rank, "n_findings", "status")
+    newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), place).alias("_row"))
     return newest.select("key", "_row.*").where(F.col("status") != "failed")
 
 

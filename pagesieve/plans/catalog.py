@@ -96,7 +96,7 @@ def _(spark, folder):
     SELECT page_id, source, kind, source_ord, length(content) AS n_chars, md5(content) AS content_md5 FROM (
         {O.sources(O.corpus('site_pages'), 'passive')}
         UNION ALL SELECT r.page_id, r.url, script_url, 'external', ref_ord + {1 << 20}, body
-        FROM ({O.script_refs(O.corpus('site_pages'))}) r JOIN ({O.corpus('fetched_scripts')}) f ON f.url = script_url
+        FROM ({O.script_refs(O.corpus('site_pages'))}) r JOIN ({O.responses('fetched_scripts')}) f ON f.url = script_url
         WHERE status BETWEEN 200 AND 299 AND body <> '')""")
 def _(spark, folder):
     pages = corpus(spark, folder, "site_pages")
@@ -396,7 +396,7 @@ def _(spark, folder):
 _FULL_SOURCES = f"""SELECT page_id, url, source, kind, source_ord, content FROM (
     {O.sources(O.corpus('site_pages'), 'full')}
     UNION ALL SELECT r.page_id, r.url, script_url, 'external', ref_ord + {1 << 20}, body
-    FROM ({O.script_refs(O.corpus('site_pages'))}) r JOIN ({O.corpus('fetched_scripts')}) f ON f.url = script_url
+    FROM ({O.script_refs(O.corpus('site_pages'))}) r JOIN ({O.responses('fetched_scripts')}) f ON f.url = script_url
     WHERE status BETWEEN 200 AND 299 AND body <> '')"""
 
 
@@ -448,7 +448,7 @@ _MAPS = O.occurrences(O.corpus("map_scripts"), R.category_rules(R.SOURCE_MAPS))
 # Every script of the corpus qualifies; only an absolute known map suppresses a guess.
 _GUESSES = f"""SELECT page_id, source || '.map' AS map_url FROM ({O.corpus('map_scripts')}) s
     WHERE NOT EXISTS (SELECT 1 FROM ({_MAPS}) m WHERE m.page_id = s.page_id AND m.display_key = s.source || '.map')"""
-_VALID = f"""SELECT g.page_id, map_url FROM ({_GUESSES}) g JOIN ({O.corpus('fetched_maps')}) f ON f.url = map_url
+_VALID = f"""SELECT g.page_id, map_url FROM ({_GUESSES}) g JOIN ({O.responses('fetched_maps', 'HEAD')}) f ON f.url = map_url
     WHERE status = 200 AND NOT contains(lower(coalesce(content_type, '')), 'text/html')
         AND (coalesce(content_length, 0) = 0 OR content_length BETWEEN 50 AND 52428800)"""
 
@@ -493,7 +493,7 @@ def _(spark, folder):
 _ROUTES = f"""SELECT DISTINCT manifest_url, route_ord, route FROM (
     SELECT manifest_url, unnest(routes) AS route, unnest(range(len(routes))) AS route_ord
     FROM (SELECT url AS manifest_url, regexp_extract_all(body, '"(/[^"]*)"[ ]*:', 1) AS routes
-          FROM ({O.corpus('fetched_manifests')}) WHERE status = 200)
+          FROM ({O.responses('fetched_manifests')}) WHERE status = 200)
     WHERE manifest_url IN (SELECT manifest_url FROM ({_MANIFESTS})))
     WHERE NOT starts_with(route, '/_') AND NOT contains(route, '[...')"""
 
@@ -530,17 +530,17 @@ _FILES = f"""
     SELECT map_url, source_path, content, origin FROM (
         SELECT url AS map_url, 'src/a' || k || '.js' AS source_path, 'code ' || k AS content, 'embedded' AS origin, status, k
         FROM (SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k
-              FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map'))
+              FROM ({O.responses('fetched_maps')}) WHERE contains(url, '.js.map'))
         UNION ALL SELECT url, '../lib/b.js', 'shared', 'fetched', status, k FROM (
-            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map'))
+            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.responses('fetched_maps')}) WHERE contains(url, '.js.map'))
         UNION ALL SELECT url, 'src/ui/d.js', 'Skipping missing source file: https://cdn.example.com/js/src/ui/d.js (Status: 404)',
             'missing', status, k FROM (
-            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.corpus('fetched_maps')}) WHERE contains(url, '.js.map')))
+            SELECT *, CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) AS k FROM ({O.responses('fetched_maps')}) WHERE contains(url, '.js.map')))
     WHERE status = 200 AND k % 13 > 1"""
 _FAILED = f"""
     SELECT url AS map_url, 'rebuild.error.log' AS source_path, CASE WHEN status = 404 THEN 'Error: HTTP status 404'
         ELSE 'Error: the source map is invalid or lists no sources' END AS content, 'error' AS origin
-    FROM ({O.corpus('fetched_maps')})
+    FROM ({O.responses('fetched_maps')})
     WHERE contains(url, '.js.map') AND (status = 404 OR CAST(regexp_extract(url, '/js/([0-9]+)[.]', 1) AS BIGINT) % 13 <= 1)
     UNION ALL SELECT source || '.map.lost', 'rebuild.error.log', 'Error: the source map was not fetched', 'error'
     FROM ({O.corpus('map_scripts')})"""
@@ -733,21 +733,14 @@ def _(spark, folder):
     return jobs.current_results(spark, f"{root}/results").select("key", "url", "status", "n_findings")
 
 
-# A stream closes a burst once its watermark has passed, so the last burst of
-# each tab within the lateness stays open; both sides leave those out.
-_OPEN = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE - INTERVAL 1 HOUR"
-
-
 @query("t2_debounce_stream", f"""
     SELECT event_id, tab_id FROM (
         SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS follower FROM ({_EVENTS}))
-    WHERE (follower IS NULL OR follower - epoch_us(ts) >= {_GAP_MS * 1000}) AND ts < {_OPEN}""")
+    WHERE follower IS NULL OR follower - epoch_us(ts) >= {_GAP_MS * 1000}""")
 def _(spark, folder):
-    stream = jobs.debounce_stream(_stream_of(spark, _events(spark, folder), "events"), gap_ms=_GAP_MS)
-    fired = _drain(stream, "debounce")
-    last = _events(spark, folder).agg(F.max("ts").alias("_last"))
-    limit = F.col("_last") - F.expr("INTERVAL 10 MINUTES") - F.expr("INTERVAL 1 HOUR")
-    return fired.where(F.col("ts") < last.select(limit).scalar()).select("event_id", "tab_id")
+    events = _events(spark, folder)
+    ended = events.unionByName(jobs.closing_event(events, _GAP_MS))
+    return _drain(jobs.debounce_stream(_stream_of(spark, ended, "events"), gap_ms=_GAP_MS), "debounce").select("event_id", "tab_id")
 
 
 @query("t3_skip_scanned", f"""
@@ -772,12 +765,12 @@ _STORE = O.corpus("results_store")
 
 @query("t4_upsert_results", f"""
     SELECT key, url, status, n_findings, timestamp_ms FROM (
-        SELECT key, max(coalesce(timestamp_ms, -1)) AS newest FROM ({_STORE}) GROUP BY key)
-    JOIN (SELECT DISTINCT ON (key, coalesce(timestamp_ms, -1)) *, coalesce(timestamp_ms, -1) AS newest FROM (
-        SELECT * FROM ({_STORE}) WHERE timestamp_ms IS NOT NULL)) USING (key, newest)
-    WHERE status <> 'failed'""")
+        SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(timestamp_ms, -1) DESC,
+            CASE WHEN status = 'scanning' THEN 0 ELSE 1 END DESC, n_findings DESC NULLS LAST, status DESC NULLS LAST) AS place
+        FROM ({_STORE}))
+    WHERE place = 1 AND status <> 'failed'""")
 def _(spark, folder):
-    rows = corpus(spark, folder, "results_store").where(F.col("timestamp_ms").isNotNull())
+    rows = corpus(spark, folder, "results_store")
     half = F.col("n_findings") % 2 == 0
     return S.upsert_results(rows.where(half), rows.where(~half)).select("key", "url", "status", "n_findings", "timestamp_ms")
 

@@ -132,10 +132,15 @@ def script_tags(pages: str) -> str:
               WHERE lower(left(el, 7)) = '<script')"""
 
 
+def responses(name: str, method: str = "GET") -> str:
+    """What was recorded by a method, each record once; no URL of the corpora has two that differ."""
+    return f"SELECT DISTINCT * FROM ({corpus(name)}) WHERE method = '{method}'"
+
+
 def sources(pages: str, mode: str) -> str:
     name = "HTML Document" if mode == "passive" else "Main HTML Document"
     html = "html" if mode == "passive" else (
-        "CASE WHEN regexp_matches(left(ltrim(html), 200), '(?i)^\\s*<!doctype') THEN html "
+        "CASE WHEN regexp_matches(html, '(?is)^(?:\\s|<!--.*?-->)*<!doctype') THEN html "
         "ELSE '<!DOCTYPE html>' || chr(10) || html END")
     order = 0 if mode == "passive" else 1 << 30
     inline = "src = ''" if mode == "passive" else "NOT has_src"

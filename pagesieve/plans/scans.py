@@ -36,16 +36,17 @@ class PassiveScan:
 
 def passive_scan(
     pages: DataFrame, fetched: DataFrame | None = None, exclusions: Sequence[str] = (),
-    excluded_rule_ids: Sequence[str] = (), max_matches: int | None = None,
+    excluded_rule_ids: Sequence[str] = (), max_matches: int | None = None, max_bytes: int | None = P.MAX_CONTENT_BYTES,
 ) -> PassiveScan:
+    """Secrets per source and the badge of each page; texts above ``max_bytes`` are listed unscanned, None scans all."""
     wanted = P.scannable(pages, exclusions)
     rules = R.strict_rules(excluded_rule_ids)
-    local = P.size_gate(P.extract_sources(wanted, P.PASSIVE))
+    local = P.size_gate(P.extract_sources(wanted, P.PASSIVE), max_bytes)
     found, sources = extract.secret_findings(local, rules, max_matches), local
     if fetched is not None:
         refs = P.script_refs(wanted)
         found = found.unionByName(extract.script_findings(refs, fetched, rules, max_matches))
-        sources = P.size_gate(P.attach_scripts(local.drop("n_bytes", "is_too_large"), refs, fetched))
+        sources = P.size_gate(P.attach_scripts(local.drop("n_bytes", "is_too_large"), refs, fetched), max_bytes)
     findings = materialize(found, "findings")
     return PassiveScan(
         sources, findings, aggregate.page_status(findings, wanted), aggregate.retain_sources(sources, findings))
@@ -60,17 +61,17 @@ class FullScan:
 
 def full_scan(
     pages: DataFrame, fetched: DataFrame | None = None, registry: DataFrame | None = None,
-    parameters: Sequence[str] = R.DEFAULT_PARAMETERS, guess_source_maps: bool = False,
+    parameters: Sequence[str] = R.DEFAULT_PARAMETERS, guess_source_maps: bool = False, max_bytes: int | None = P.MAX_CONTENT_BYTES,
 ) -> FullScan:
     """Everything the on-demand report shows, for every page of a corpus."""
     rules = R.full_rules(parameters)
-    sources = P.decode_sources(P.drop_too_large(P.extract_sources(pages, P.FULL)))
+    sources = P.decode_sources(P.drop_too_large(P.extract_sources(pages, P.FULL), max_bytes))
     found = extract.occurrences(sources, rules)
     if fetched is not None:
         refs = P.script_refs(pages)
         found = found.unionByName(extract.script_occurrences(refs, fetched, rules))
         scripts = P.attach_scripts(sources.where(F.lit(False)), refs, fetched)
-        sources = sources.unionByName(P.decode_sources(P.drop_too_large(scripts)))
+        sources = sources.unionByName(P.decode_sources(P.drop_too_large(scripts, max_bytes)))
     found = materialize(found, "occurrences")
 
     if fetched is not None:

@@ -34,13 +34,15 @@ CORPORA = {
             || '<SCRIPT data-src="/no.js" title="a>b">g()</SCRIPT >'
             || '<!-- <script src="/gone.js"></script> --><noscript><script>h()</script></noscript>' AS html
         FROM <pages>""",
-    # What a crawler recorded for the first of those scripts.
+    # What a crawler recorded for the first of those scripts: each twice, and a probe.
     "fetched_scripts": """
-        SELECT DISTINCT regexp_replace(url, '^(https?://[^/?#]*).*$', '%s1') || '/static/app' || (page_id % 7) || '.js' AS url,
+        WITH own AS (SELECT DISTINCT regexp_replace(url, '^(https?://[^/?#]*).*$', '%s1') || '/static/app' || (page_id % 7) || '.js' AS url,
             'GET' AS method, CASE WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status,
             'text/javascript' AS content_type, CAST(NULL AS BIGINT) AS content_length,
             CASE WHEN page_id % 7 = 5 THEN '' ELSE 'load("/chunk/' || (page_id % 7) || '.js");' END AS body
-        FROM <pages>""",
+        FROM <pages>)
+        SELECT * FROM own UNION ALL SELECT * FROM own
+        UNION ALL SELECT url, 'HEAD', status, content_type, content_length, '' FROM own""",
     "api_scripts": f"""
         SELECT o_orderkey AS page_id, 'https://shop.example.com/' AS url,
             'https://cdn.example.com/o' || o_orderkey || '.js' AS source, 1 AS source_ord,
@@ -62,7 +64,7 @@ CORPORA = {
             ELSE '/*! lib-' || p_partkey || ' v' || (p_partkey % 9) || '.2.0 */' END AS content
         FROM <part>""",
     "fetched_maps": """
-        SELECT 'https://cdn.example.com/js/' || p_partkey || '.js.map' AS url, 'HEAD' AS method,
+        WITH own AS (SELECT 'https://cdn.example.com/js/' || p_partkey || '.js.map' AS url, 'GET' AS method,
             CASE WHEN p_partkey % 11 = 3 THEN 404 ELSE 200 END AS status,
             CASE WHEN p_partkey % 5 = 0 THEN 'Text/HTML; charset=utf-8' WHEN p_partkey % 5 = 1 THEN NULL
                 ELSE 'application/json' END AS content_type,
@@ -75,7 +77,9 @@ CORPORA = {
         UNION ALL SELECT 'https://cdn.example.com/lib/b.js', 'GET', 200, 'text/javascript', CAST(NULL AS BIGINT), 'shared'
         FROM <region> WHERE r_regionkey = 0
         UNION ALL SELECT 'https://cdn.example.com/js/src/ui/d.js', 'GET', 404, 'text/html', CAST(NULL AS BIGINT), 'gone'
-        FROM <region> WHERE r_regionkey = 0""",
+        FROM <region> WHERE r_regionkey = 0)
+        SELECT * FROM own UNION ALL SELECT * FROM own
+        UNION ALL SELECT url, 'HEAD', status, content_type, content_length, '' FROM own""",
     "web_scripts": f"""
         SELECT c_custkey AS page_id, 'https://www.shop.co.uk/' AS url, 'Inline Script #1' AS source, 1 AS source_ord,
             CASE c_custkey % 6
@@ -114,11 +118,13 @@ CORPORA = {
             ELSE '{"buildId":"b' || (page_id % 10) || '","assetPrefix":""}' END || '</script></html>' AS html
         FROM <pages>""",
     "fetched_manifests": """
-        SELECT 'https://cdn.example.com/_next/static/b' || n_nationkey || '/_buildManifest.js' AS url, 'GET' AS method,
+        WITH own AS (SELECT 'https://cdn.example.com/_next/static/b' || n_nationkey || '/_buildManifest.js' AS url, 'GET' AS method,
             CASE WHEN n_nationkey % 4 = 3 THEN 500 ELSE 200 END AS status, 'text/javascript' AS content_type,
             CAST(NULL AS BIGINT) AS content_length,
             'self.__BUILD_MANIFEST={"/":["a.js"],"/n' || n_nationkey || '" : [],"/_app":[],"/p/[...slug]":[],"/x/[[...y]]":[],"sortedPages":["/","/q"]}' AS body
-        FROM <nation>""",
+        FROM <nation>)
+        SELECT * FROM own UNION ALL SELECT * FROM own
+        UNION ALL SELECT url, 'HEAD', status, content_type, content_length, '' FROM own""",
     "nav_events": """
         SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS tab_id, CAST(event_id % 3 AS INT) AS frame_id,
             CASE event_id % 4 WHEN 0 THEN 'https://chromewebstore.google.com/x' WHEN 1 THEN 'about:blank'
@@ -139,7 +145,7 @@ CORPORA = {
 def corpus_sql(name: str, table: str = "{}", group: str = "\\") -> str:
     """SQL of a corpus; ``table`` formats table names, ``group`` begins a group reference."""
     text = CORPORA[name].replace("'%s1'", f"'{group}1'")
-    return re.sub(r"<([a-z]+)>(?=\s|$)", lambda m: table.format(m.group(1)), text)
+    return re.sub(r"<([a-z]+)>(?=[\s)]|$)", lambda m: table.format(m.group(1)), text)
 
 
 def corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -26,11 +26,11 @@ EXTERNAL_ORD, LAST_ORD = 1 << 20, 1 << 30
 
 # Scripts are found the way an HTML parser finds them: comments and elements
 # whose content is plain text are stepped over, the first close tag ends a
-# script, and a script that is never closed runs to the end.
+# script, and what is never closed runs to the end, so no part is read twice.
 _ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
 _SCRIPTS = (
-    r"(?is)<!--.*?-->"
-    r"|<(style|textarea|title|xmp|iframe|noembed|noframes|noscript)\b" + _ATTRS + r">.*?</\1(?=[\s/>])"
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    r"|<(style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>])" + _ATTRS + r">.*?(?:</\1(?=[\s/>])|\z)"
     r"|<script(?=[\s/>])" + _ATTRS + r">.*?(?:</script(?=[\s/>])[^>]*>|\z)"
 )
 _ONE_SCRIPT = r"(?is)^<script(?=[\s/>])" + _ATTRS + r">(.*?)(?:</script(?=[\s/>])[^>]*>|\z)"
@@ -169,13 +169,26 @@ def usable_response(status: Column, body: Column) -> Column:
     return status.between(200, 299) & (F.coalesce(body, F.lit("")) != "")
 
 
+def latest_response(fetched: DataFrame, method: str = "GET") -> DataFrame:
+    """One observation per URL: the newest usable one of a method, else the newest of it.
+
+    Crawls see a URL again and probe it with HEAD; only one record may stand for
+    it.  Tables without a method or a time count as of that method and of one time.
+    """
+    own = fetched.where(F.upper("method") == method) if "method" in fetched.columns else fetched
+    times = [F.col(c) for c in ("fetched_at", "ts") if c in fetched.columns][:1]
+    place = F.struct(usable_response(F.col("status"), F.col("body")).alias("usable"), *times, "status", "body")
+    rest = [c for c in fetched.columns if c != "url"]
+    return own.groupBy("url").agg(F.max_by(F.struct(*rest), place).alias("_row")).select("url", "_row.*")
+
+
 def attach_scripts(sources: DataFrame, refs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Add the bodies of external scripts that were fetched with success.
 
     Every page gets its own copy of a script.  To find what popular scripts
     hold, ``extract.script_findings`` scans each of them once instead.
     """
-    bodies = fetched.where(usable_response(F.col("status"), F.col("body"))).select(
+    bodies = latest_response(fetched).where(usable_response(F.col("status"), F.col("body"))).select(
         F.col("url").alias("script_url"), F.col("body").alias("content"))
     scripts = refs.join(bodies, "script_url").select(
         "page_id", "url", F.col("script_url").alias("source"), F.lit("external").alias("kind"),
@@ -183,16 +196,17 @@ def attach_scripts(sources: DataFrame, refs: DataFrame, fetched: DataFrame) -> D
     return sources.unionByName(scripts)
 
 
-def size_gate(sources: DataFrame, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
-    """Flag texts that are too large to scan; they stay listed."""
+def size_gate(sources: DataFrame, max_bytes: int | None = MAX_CONTENT_BYTES) -> DataFrame:
+    """Flag texts that are too large to scan; they stay listed.  None scans all."""
     size = F.octet_length("content").cast("bigint")
-    return sources.withColumn("n_bytes", size).withColumn("is_too_large", F.octet_length("content") > max_bytes)
+    large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
+    return sources.withColumn("n_bytes", size).withColumn("is_too_large", large)
 
 
-def drop_too_large(sources: DataFrame, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
-    """The full scan forgets texts that are too large, or empty."""
-    small = F.octet_length("content") <= max_bytes
-    return sources.where((F.coalesce(F.col("content"), F.lit("")) != "") & small)
+def drop_too_large(sources: DataFrame, max_bytes: int | None = MAX_CONTENT_BYTES) -> DataFrame:
+    """The full scan forgets texts that are too large, or empty.  None forgets the empty only."""
+    filled = sources.where(F.coalesce(F.col("content"), F.lit("")) != "")
+    return filled if max_bytes is None else filled.where(F.octet_length("content") <= max_bytes)
 
 
 def decode_sources(sources: DataFrame) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagesieve.operators.extract import secret_findings
+from pagesieve.operators.extract import sanitize_findings, secret_findings
 from pagesieve.operators.store import DEBOUNCE_MS, passive_key, upsert_results
 from pagesieve.rules import strict_rules
 from pagesieve.schemas import PAGES
-from pagesieve.sources.pages import extract_sources, scannable, size_gate
+from pagesieve.sources.pages import MAX_CONTENT_BYTES, extract_sources, scannable, size_gate
+from pagesieve.sources.sinks import safe_findings
 
 LATENESS = "10 minutes"
 
@@ -25,9 +27,10 @@ def stream_pages(spark: SparkSession, folder: str, glob: str = "*.parquet", file
 
 def scan_stream(
     pages: DataFrame, exclusions: Sequence[str] = (), excluded_rule_ids: Sequence[str] = (),
+    max_bytes: int | None = MAX_CONTENT_BYTES,
 ) -> DataFrame:
     """Findings of arriving pages.  No state is kept, so it runs in append mode."""
-    sources = size_gate(extract_sources(scannable(pages, exclusions)))
+    sources = size_gate(extract_sources(scannable(pages, exclusions)), max_bytes)
     return secret_findings(sources, strict_rules(excluded_rule_ids))
 
 
@@ -36,6 +39,9 @@ def debounce_stream(
 ) -> DataFrame:
     """The last event of each burst: a session closes after ``gap_ms`` of silence.
 
+    A burst comes out once the watermark has passed it; a stream that ends needs
+    a closing event (``closing_event``) to let the last ones out.
+
     A session window also takes in an event exactly one gap later, which the
     debounce does not, so windows are a microsecond shorter than the gap.
     """
@@ -46,6 +52,13 @@ def debounce_stream(
     return bursts.select(key, "_last.*")
 
 
+def closing_event(events: DataFrame, gap_ms: int = DEBOUNCE_MS, lateness: str = LATENESS) -> DataFrame:
+    """An event without a key, late enough to close every burst of a table of events that ends."""
+    after = F.max("ts") + F.expr(f"INTERVAL {lateness}") + F.make_interval(secs=F.lit(gap_ms / 1000 + 1))
+    rest = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c != "ts"]
+    return events.agg(after.alias("ts")).where("ts IS NOT NULL").select("ts", *rest).select(events.columns)
+
+
 def first_scans(pages: DataFrame, keys: Sequence[str] = ("tab_id", "url"), lateness: str = LATENESS) -> DataFrame:
     """Each (tab, url) once; what the stream may forget, the store still knows."""
     return pages.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
@@ -65,13 +78,17 @@ def run_scan(pages: DataFrame, findings_path: str, results_path: str, checkpoint
              excluded_rule_ids: Sequence[str] = (), once: bool = True) -> StreamingQuery:
     """Scan a stream of pages into a findings table and a log of results.
 
-    Each batch overwrites its own ``batch_id`` folder, so a batch that runs
-    again after a failure replaces what it wrote and adds nothing twice.
+    Each batch overwrites its own ``run`` and ``batch_id`` folder, so a batch that
+    runs again after a failure replaces what it wrote and adds nothing twice.  The
+    run is named by the checkpoint: batches of another checkpoint stay.  Findings
+    are sanitised and hold a hash in place of the secret.
     """
+    run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, batch_id: int) -> None:
         wanted = scannable(batch)
-        target = f"batch_id={batch_id}"
-        found = scan_stream(wanted, excluded_rule_ids=excluded_rule_ids)
+        target = f"run={run}/batch_id={batch_id}"
+        found = safe_findings(sanitize_findings(scan_stream(wanted, excluded_rule_ids=excluded_rule_ids)))
         found.write.mode("overwrite").parquet(f"{findings_path}/{target}")
         # The findings just written are read back instead of scanned for again.
         stored = batch.sparkSession.read.schema(found.schema).parquet(f"{findings_path}/{target}")
@@ -83,5 +100,5 @@ def run_scan(pages: DataFrame, findings_path: str, results_path: str, checkpoint
 
 def current_results(spark: SparkSession, results_path: str) -> DataFrame:
     """Newest result of each URL in the log."""
-    log = spark.read.parquet(results_path).drop("batch_id")
+    log = spark.read.parquet(results_path).drop("run", "batch_id")
     return upsert_results(log, log.where(F.lit(False)))
