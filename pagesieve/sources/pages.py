@@ -27,13 +27,14 @@ EXTERNAL_ORD, LAST_ORD = 1 << 20, 1 << 30
 # Scripts are found the way an HTML parser finds them: comments and elements
 # whose content is plain text are stepped over, the first close tag ends a
 # script, and what is never closed runs to the end, so no part is read twice.
-_ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
+_ATTRS = r"""((?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+)"""
 _SCRIPTS = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
-    r"|<(style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>])" + _ATTRS + r">.*?(?:</\1(?=[\s/>])|\z)"
-    r"|<script(?=[\s/>])" + _ATTRS + r">.*?(?:</script(?=[\s/>])[^>]*>|\z)"
+    r"|<(style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</\1(?=[\s/>])|\z)|\z)"
+    r"|<script(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</script(?=[\s/>])[^>]*>|\z)|\z)"
 )
-_ONE_SCRIPT = r"(?is)^<script(?=[\s/>])" + _ATTRS + r">(.*?)(?:</script(?=[\s/>])[^>]*>|\z)"
+_OPENED = r"(?is)^<script(?=[\s/>])" + _ATTRS + ">"
+_ONE_SCRIPT = _OPENED + r"(.*?)(?:</script(?=[\s/>])[^>]*>|\z)"
 _ATTR = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?"""
 
 
@@ -87,7 +88,8 @@ def _script_tags(html: Column) -> Column:
     """Array of (attributes, body) of the script elements in document order."""
     def tags(text: Column) -> Column:
         elements = F.regexp_extract_all(text, F.lit(_SCRIPTS), F.lit(0))
-        scripts = F.filter(elements, lambda e: F.lower(F.substring(e, 1, 7)) == "<script")
+        # A tag that is not closed itself is no element.
+        scripts = F.filter(elements, lambda e: (F.lower(F.substring(e, 1, 7)) == "<script") & e.rlike(_OPENED))
         return F.transform(scripts, lambda e: F.struct(
             F.regexp_extract(e, _ONE_SCRIPT, 1).alias("attrs"),
             F.regexp_extract(e, _ONE_SCRIPT, 2).alias("body")))
