@@ -33,9 +33,9 @@ from pagesieve.llm.components import connected_components
 SHINGLE_WORDS = 5
 PERCENT = 75
 #: Minimum hashes that bring classes together into groups.
-HASHES = 4
+HASHES = 12
 #: Counters of token frequencies, and the parts in which they are added up.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 PARTS = 64
 #: Members whose tokens are united at a time.
 UNION_MEMBERS = 32
@@ -71,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
     """Set size, id and minimum hashes of each row; and, with ``part``, the token counts of each task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             sizes, ids, mins, pending, held = [], [], [], [], 0
             for _, words in word_hashes(batch.column(2).to_pylist()):
@@ -82,17 +82,18 @@ def features(docs: DataFrame) -> DataFrame:
                 pending.append(tokens & np.uint64(COUNTERS - 1))
                 held += len(tokens)
                 if held > COUNTERS:
-                    counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS)
+                    counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                     pending, held = [], 0
             if pending:
-                counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS)
+                counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
                  pa.array(mins, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["doc_id", "text_key", "n_shingles", "sid", "mins", "part", "counts"])
         step = COUNTERS // PARTS
-        own = [np.minimum(counts[k * step:(k + 1) * step], 65535).astype("<u2").tobytes() for k in range(PARTS)]
+        shrink = zstandard.ZstdCompressor(level=1).compress
+        own = [shrink(counts[k * step:(k + 1) * step].astype("<u4").tobytes()) for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()),
              pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(own, pa.binary())],
@@ -108,7 +109,7 @@ def token_ranks(found: DataFrame) -> np.ndarray:
         total = None
         for batch in batches:
             for counts in batch.column(1):
-                own = np.frombuffer(counts.as_py(), "<u2").astype(np.int64)
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), "<u4").astype(np.int64)
                 total = own if total is None else total + own
         part = batch.column(0)[:1]
         yield pa.RecordBatch.from_arrays([part, pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
@@ -120,7 +121,7 @@ def token_ranks(found: DataFrame) -> np.ndarray:
         counts[row.part] = np.frombuffer(row.counts, np.int64)
     order = np.argsort(counts.ravel(), kind="stable")
     ranks = np.empty(COUNTERS, np.uint16)
-    ranks[order] = np.arange(COUNTERS) >> 4
+    ranks[order] = np.arange(COUNTERS) // (COUNTERS >> 16)
     return ranks
 
 
@@ -210,26 +211,39 @@ def _within(a: str, b: str, percent: int) -> str:
 
 
 def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each class with the smallest of those that share a minimum hash with it."""
+    """(a, b): each class with the most central of those that share a minimum hash with it.
+
+    Copies of a text with different changes resemble the text more than each other.
+    The text shares its minimum hashes with more of them than any copy does, so the
+    class that meets the most others, counted over all hashes, is the one to compare with.
+    """
     keyed = classes.select("sid", "n", F.posexplode("mins").alias("k", "least"))
-    lead = (keyed.groupBy("k", "least").agg(F.min(F.struct("sid", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
-            .where("size > 1").select("k", "least", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m")))
-    return (keyed.join(lead, ["k", "least"]).where("sid <> b").where(_within("n", "m", percent))
+    sizes = keyed.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(keyed.join(sizes, ["k", "least"]), "met")
+    central = met.groupBy("sid").agg(F.sum("size").alias("met"))
+    lead = (met.join(central, "sid").groupBy("k", "least").agg(F.max(F.struct("met", "sid", "n")).alias("lead"))
+            .select("k", "least", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m")))
+    return (met.join(lead, ["k", "least"]).where("sid <> b").where(_within("n", "m", percent))
             .select(F.col("sid").alias("a"), "b").distinct())
 
 
 def crossing_pairs(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(a, b, a_grp, b_grp): similar classes of different groups, by the token-group matrix over ``grouped`` (sid, grp, rep, n)."""
     matrix = prefixes(docs, grouped, ranks, percent)
-    cells = matrix.select("sid", "grp", "n", F.explode("tokens").alias("token"))
+    cells = matrix.select("sid", "grp", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = (cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
               .where("low <> high").select("token"))
     rows = materialize(cells.join(bounded(materialize(shared, "tokens")), "token"), "matrix")
-    columns = rows.select("token", F.col("grp").alias("other")).distinct()
-    spans = grouped.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = (rows.join(columns, "token").where("grp < other").select("sid", "grp", "n", "other").distinct()
-           .join(spans, "other").where(f"100 * most >= {percent} * n AND 100 * n >= {percent} * least"))
-    met = materialize(met.select("sid", "grp", "n", "other"), "met")
+    # What stands behind the first token that two sets share bounds their overlap, which
+    # similar sets need for their sizes; a cell keeps the sizes and the best bound of its group.
+    whole = 100 + percent
+    columns = rows.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr(f"{whole} * (n - pos) - {percent} * n")).alias("reach"))
+    met = (rows.join(columns, "token")
+           .where(f"grp < other AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least AND reach >= {percent} * n "
+                  f"AND {whole} * (n - pos) >= {percent} * (n + greatest(least, {percent} * n / 100))")
+           .select("sid", "grp", "n", "other").distinct())
+    met = materialize(met, "met")
 
     # the members of the groups that were met, in parts of bounded size, and all sets that are needed
     members = grouped.join(met.select(F.col("other").alias("grp")).distinct(), "grp").select(
