@@ -1,14 +1,15 @@
 """Near duplicates by Jaccard similarity of word shingles, with a token-group matrix.
 
 Equal shingle sets become one class. Classes that share a minimum hash are
-compared with one of them, and those found similar form groups; groups are the
-columns of the token-group matrix. Its rows are the tokens of the members'
-prefixes: under an order of all tokens by frequency, two sets of the wanted
-similarity share one of their first quarter of tokens. A set and a group meet
-only in such a token. The union of the group's tokens then bounds how much of
-the set any member can hold, groups within the bound are opened, and their
-members compared exactly. No similar pair of different groups is missed, and
-inside a group only the links that hold it together are needed for components.
+compared with the most central of them, and those found similar are one component
+so far. Classes of one centre, similar or not, form the groups of the token-group
+matrix, in chunks of bounded size. Its rows are the tokens of the members' prefixes:
+under an order of all tokens by frequency, two sets of the wanted similarity share
+one of their first quarter of tokens. Two chunks meet only in such a token, and only
+if they hold classes that aren't in one component yet. The union of a chunk's tokens
+then bounds how much of a set any member can hold, chunks within the bound are
+opened, and their members compared exactly. No similar pair of different components
+is missed; of the others only the links that hold components together are needed.
 
 Frequencies come from a fixed number of counters over hashed tokens. They only
 order tokens, so sharing a counter costs time, never a link: boilerplate and
@@ -37,8 +38,8 @@ HASHES = 12
 #: Counters of token frequencies, and the parts in which they are added up.
 COUNTERS = 1 << 22
 PARTS = 64
-#: Members whose tokens are united at a time.
-UNION_MEMBERS = 32
+#: Classes of one centre whose tokens are united and that are compared together.
+CHUNK_CLASSES = 128
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(HASHES)]
 
 
@@ -126,9 +127,9 @@ def token_ranks(found: DataFrame) -> np.ndarray:
 
 
 def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, grp, text) of the documents that stand for the ``wanted`` classes (sid, grp, rep); texts may differ from them."""
-    keys = bounded(wanted.select("sid", "grp", F.col("rep").alias("rep")))
-    return docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "grp", "text")
+    """(sid, text) of the documents that stand for the ``wanted`` classes (sid, rep); texts may differ from them."""
+    keys = bounded(wanted.select("sid", "rep"))
+    return docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
 
 
 def packed(text: str) -> bytes:
@@ -151,7 +152,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, out, sets, texts = batch.column(0).to_pylist(), [], [], batch.column(2).to_pylist()
+            sids, out, sets, texts = batch.column(0).to_pylist(), [], [], batch.column(1).to_pylist()
             for at, words in word_hashes(texts):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 if len(tokens) and set_id(tokens) == sids[at]:
@@ -159,20 +160,19 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(packed(texts[at]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["sid", "tokens"])
 
-    found = materialize(_of(docs, wanted.withColumn("grp", F.lit(0))).mapInArrow(read, "sid long, tokens binary"), "sets")
+    found = materialize(_of(docs, wanted).mapInArrow(read, "sid long, tokens binary"), "sets")
     # repeated rows may stand for one class
     return found if found.count() <= wanted.count() else materialize(found.dropDuplicates(["sid"]), "sets")
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(sid, grp, n, tokens): the rarest tokens of each class, of which similar sets share one."""
+    """(sid, tokens): the rarest tokens of each class, of which similar sets share one."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, out, sizes, sets, grps = batch.column(0).to_pylist(), [], [], [], []
-            own = batch.column(1).to_pylist()
-            for at, words in word_hashes(batch.column(2).to_pylist()):
+            sids, out, sets = batch.column(0).to_pylist(), [], []
+            for at, words in word_hashes(batch.column(1).to_pylist()):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 if not len(tokens) or set_id(tokens) != sids[at]:
                     continue
@@ -180,14 +180,10 @@ def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int
                 n = len(tokens)
                 first = np.argsort(rank, kind="stable")[:n + 1 + -percent * n // 100]
                 out.append(sids[at])
-                grps.append(own[at])
-                sizes.append(n)
                 sets.append(tokens[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.int64()), pa.array(grps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                ["sid", "grp", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "tokens"])
 
-    return materialize(_of(docs, wanted).mapInArrow(read, "sid long, grp long, n long, tokens array<long>"), "prefixes")
+    return materialize(_of(docs, wanted).mapInArrow(read, "sid long, tokens array<long>"), "prefixes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     # only the sets move that have to meet: those of the first sides, and those of the second
     pairs = bounded(pairs)
-    left = sets.join(pairs, sets.sid == pairs.a).select("a", "b", F.col("tokens").alias("x"))
+    left = sets.withColumnRenamed("sid", "a").join(pairs, "a").select("a", "b", F.col("tokens").alias("x"))
     ends = pairs.select(F.col("b").alias("sid")).distinct()
     right = sets.join(bounded(materialize(ends, "ends")), "sid", "left_semi").select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -210,8 +206,8 @@ def _within(a: str, b: str, percent: int) -> str:
     return f"100 * {a} >= {percent} * {b} AND 100 * {b} >= {percent} * {a}"
 
 
-def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each class with the most central of those that share a minimum hash with it.
+def central_pairs(classes: DataFrame) -> DataFrame:
+    """(a, n, b, m, met): each class with the most central of those that share a minimum hash with it, itself perhaps.
 
     Copies of a text with different changes resemble the text more than each other.
     The text shares its minimum hashes with more of them than any copy does, so the
@@ -222,64 +218,96 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = materialize(keyed.join(sizes, ["k", "least"]), "met")
     central = met.groupBy("sid").agg(F.sum("size").alias("met"))
     lead = (met.join(central, "sid").groupBy("k", "least").agg(F.max(F.struct("met", "sid", "n")).alias("lead"))
-            .select("k", "least", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m")))
-    return (met.join(lead, ["k", "least"]).where("sid <> b").where(_within("n", "m", percent))
-            .select(F.col("sid").alias("a"), "b").distinct())
-
-
-def crossing_pairs(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a, b, a_grp, b_grp): similar classes of different groups, by the token-group matrix over ``grouped`` (sid, grp, rep, n)."""
-    matrix = prefixes(docs, grouped, ranks, percent)
-    cells = matrix.select("sid", "grp", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = (cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
-              .where("low <> high").select("token"))
-    rows = materialize(cells.join(bounded(materialize(shared, "tokens")), "token"), "matrix")
+            .select("k", "least", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m"), F.col("lead.met").alias("met")))
+    return met.join(lead, ["k", "least"]).select(F.col("sid").alias("a"), "n", "b", "m", "met").distinct()
+
+
+def star_pairs(central: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the pairs of ``central_pairs`` that can be similar by their sizes."""
+    return central.where("a <> b").where(_within("n", "m", percent)).select("a", "b")
+
+
+def chunked(grouped: DataFrame, central: DataFrame) -> DataFrame:
+    """``grouped`` (sid and more) with ``chunk``: classes of one centre, in chunks of bounded size."""
+    homes = central.groupBy(F.col("a").alias("sid")).agg(F.max(F.struct("met", "b")).alias("best")).select("sid", F.col("best.b").alias("home"))
+    placed = grouped.join(homes, "sid", "left").withColumn("home", F.coalesce("home", "sid"))
+    parts = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1)))
+    return placed.join(parts, "home", "left").withColumn("chunk", F.xxhash64("home", part)).drop("home", "parts")
+
+
+def _links(percent: int):
+    """Links between the groups of two chunks' classes, each pair of groups once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def link(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = [unpacked(x) for x in right["own_tokens"]]
+        groups = np.array(right["own_grp"])
+        found: set[tuple[int, int]] = set()
+        if sets:
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            union = distinct(flat)
+            for grp, packed_set in zip(left["grp"].to_pylist(), left["tokens"]):
+                own = unpacked(packed_set)
+                if 100 * overlap(own, union) < percent * len(own):
+                    continue  # the union holds too little of it for any member
+                first, end = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+                counts = end - first
+                hits = np.arange(int(counts.sum())) + np.repeat(first - np.cumsum(counts) + counts, counts)
+                both = np.bincount(owner[hits], minlength=len(sets))
+                near = (100 * both >= percent * (len(own) + sizes - both)) & (groups != grp)
+                found.update((min(grp, g), max(grp, g)) for g in groups[near].tolist())
+        return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
+
+    return link
+
+
+def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(a, b): groups that similar classes link, by the token-group matrix over ``grouped`` (sid, grp, rep, n, chunk)."""
+    cells = prefixes(docs, grouped, ranks, percent).select("sid", F.posexplode("tokens").alias("pos", "token"))
+    cells = cells.join(bounded(grouped.select("sid", "grp", "n", "chunk")), "sid").drop("sid")
+    shared = (cells.groupBy("token").agg(
+        F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+        .where("low <> high AND first <> last").select("token"))
     # What stands behind the first token that two sets share bounds their overlap, which
-    # similar sets need for their sizes; a cell keeps the sizes and the best bound of its group.
+    # similar sets need for their sizes; a cell keeps the sizes and the best bound of its chunk.
     whole = 100 + percent
-    columns = rows.groupBy("token", F.col("grp").alias("other")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr(f"{whole} * (n - pos) - {percent} * n")).alias("reach"))
-    met = (rows.join(columns, "token")
-           .where(f"grp < other AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least AND reach >= {percent} * n "
-                  f"AND {whole} * (n - pos) >= {percent} * (n + greatest(least, {percent} * n / 100))")
-           .select("sid", "grp", "n", "other").distinct())
-    met = materialize(met, "met")
-
-    # the members of the groups that were met, in parts of bounded size, and all sets that are needed
-    members = grouped.join(met.select(F.col("other").alias("grp")).distinct(), "grp").select(
-        F.col("grp").alias("other"), F.col("sid").alias("member"), F.col("n").alias("size"))
-    per_group = members.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / UNION_MEMBERS).alias("parts"))
-    members = materialize(
-        members.join(per_group, "other").withColumn("part", F.pmod(F.xxhash64("member"), "parts")).drop("parts"), "members")
-    needed = met.select("sid").union(members.select("member")).distinct().join(sets.select("sid"), "sid", "left_anti")
-    more = token_sets(docs, materialize(needed.join(grouped, "sid").select("sid", "rep"), "needed"))
-    every = sets.union(more)
-
-    def unite(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(x) for batch in batches for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()),
-             pa.array([distinct(np.concatenate(parts)).tobytes()], pa.binary())], ["other", "part", "held"])
-
-    own = bounded(members)
-    unions = (every.join(own, own.member == every.sid).select("other", "part", "tokens")
-              .groupBy("other", "part").applyInArrow(unite, "other long, part long, held binary"))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for tokens, held in zip(batch.column(5), batch.column(6)):
-                tokens = unpacked(tokens)
-                keep.append(100 * overlap(tokens, np.frombuffer(held.as_buffer(), np.uint64)) >= percent * len(tokens))
-            yield batch.select(["sid", "grp", "n", "other", "part"]).filter(pa.array(keep, pa.bool_()))
-
-    opened = (every.join(bounded(met), "sid").join(unions, "other")
-              .select("sid", "grp", "n", "other", "part", "tokens", "held")
-              .mapInArrow(bound, "sid long, grp long, n long, other long, part long"))
-    pairs = (opened.join(members, ["other", "part"]).where(_within("n", "size", percent))
-             .select(F.col("sid").alias("a"), F.col("member").alias("b"), F.col("grp").alias("a_grp"), F.col("other").alias("b_grp")))
-    pairs = materialize(pairs, "pairs")
-    return pairs.join(verified(materialize(pairs.select("a", "b").distinct(), "opened"), every, percent), ["a", "b"])
+    matrix = materialize(
+        cells.join(bounded(materialize(shared, "tokens")), "token").groupBy("token", "chunk").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("low"), F.max("grp").alias("high"),
+            F.max(F.expr(f"{whole} * (n - pos) - {percent} * n")).alias("reach")), "matrix")
+    x, y = matrix.alias("x"), matrix.alias("y")
+    met = (x.join(y, F.col("x.token") == F.col("y.token")).where(
+        f"x.chunk < y.chunk AND 100 * x.most >= {percent} * y.least AND 100 * y.most >= {percent} * x.least "
+        f"AND x.reach >= {percent} * greatest(y.least, {percent} * x.least / 100) "
+        f"AND y.reach >= {percent} * greatest(x.least, {percent} * y.least / 100) "
+        "AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)")
+        .select(F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2")).distinct())
+    counted = grouped.groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("size"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("sid").alias("one"))
+    inside = counted.where("low <> high").select(F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
+    met = materialize(met.union(inside), "met")
+
+    # pairs of single classes are compared as such, the others chunk by chunk
+    sizes = counted.select("chunk", "size", "one", F.col("low").alias("grp"))
+    sized = materialize(
+        met.join(sizes.toDF("c1", "s1", "a", "g1"), "c1").join(sizes.toDF("c2", "s2", "b", "g2"), "c2"), "sized")
+    single, several = sized.where("s1 = 1 AND s2 = 1"), sized.where("s1 > 1 OR s2 > 1").select("c1", "c2")
+    used = met.select(F.col("c1").alias("chunk")).union(met.select("c2")).distinct()
+    needed = grouped.join(used, "chunk", "left_semi").join(sets.select("sid"), "sid", "left_anti").select("sid", "rep")
+    every = sets.union(token_sets(docs, materialize(needed, "needed")))
+
+    pairs = materialize(single.select("a", "b", "g1", "g2"), "pairs")
+    alone = pairs.join(verified(pairs.select("a", "b"), every, percent), ["a", "b"]).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
+    members = every.join(bounded(grouped.select("sid", "grp", "chunk")), "sid").select("chunk", "grp", "tokens")
+    several = bounded(several)
+    left = members.withColumnRenamed("chunk", "c1").join(several, "c1").select("c1", "c2", "grp", "tokens")
+    right = members.withColumnRenamed("chunk", "c2").join(several, "c2").select(
+        F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("grp").alias("own_grp"), F.col("tokens").alias("own_tokens"))
+    return alone.union(left.groupBy("c1", "c2").cogroup(right.groupBy("d1", "d2")).applyInArrow(_links(percent), "a long, b long"))
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -297,15 +325,15 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(
         rows.where("sid IS NOT NULL").groupBy("sid").agg(
             F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("mins").alias("mins")), "classes")
-    stars = materialize(star_pairs(classes, percent), "stars")
+    central = materialize(central_pairs(classes), "central")
+    stars = materialize(star_pairs(central, percent), "stars")
     active = stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct()
     sets = token_sets(docs, materialize(active.join(classes, "sid").select("sid", "rep"), "active"))
     groups = connected_components(verified(stars, sets, percent))
-    grouped = materialize(
-        classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
-        .select("sid", F.coalesce("label", "sid").alias("grp"), "rep", "n"), "groups")
-    links = crossing_pairs(docs, grouped, sets, token_ranks(found), percent)
-    merged = connected_components(links.select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b")))
+    grouped = (classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
+               .select("sid", F.coalesce("label", "sid").alias("grp"), "rep", "n"))
+    grouped = materialize(chunked(grouped, central), "groups")
+    merged = connected_components(crossing_links(docs, grouped, sets, token_ranks(found), percent))
     named = grouped.join(merged.withColumnRenamed("node", "grp"), "grp", "left").select(
         "sid", "rep", F.coalesce("label", "grp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -68,10 +68,11 @@ def test_components_against_brute_force(docs, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain(dict(enumerate(texts)))
 
 
-def test_matrix_alone_finds_every_link(docs, monkeypatch):
-    """Without groups of several classes the matrix has to find all links."""
-    monkeypatch.setattr(J, "star_pairs", lambda classes, percent: classes.select(
-        classes.sid.alias("a"), classes.sid.alias("b")).limit(0))
+@pytest.mark.parametrize("size", [128, 3])
+def test_matrix_alone_finds_every_link(docs, monkeypatch, size):
+    """Without stars the matrix has to find all links, in chunks of any size."""
+    monkeypatch.setattr(J, "CHUNK_CLASSES", size)
+    monkeypatch.setattr(J, "star_pairs", lambda central, percent: central.select("a", "b").limit(0))
     texts = corpus(3)
     rows = J.components(docs(texts)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain(dict(enumerate(texts)))
