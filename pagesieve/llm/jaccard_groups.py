@@ -39,7 +39,7 @@ HASHES = 12
 COUNTERS = 1 << 22
 PARTS = 64
 #: Classes of one centre whose tokens are united and that are compared together.
-CHUNK_CLASSES = 128
+CHUNK_CLASSES = 32
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(HASHES)]
 
 
