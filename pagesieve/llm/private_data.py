@@ -1,11 +1,15 @@
 """Personal data: four fixed kinds, and more identifiers by bootstrapping from their contexts.
 
-E-mail addresses, IPv4 addresses, card and phone numbers are the seeds. What
-stands before an identifier-like value after a cue (``contact:``, ``id =``,
-``ref #``) is a lexical pattern. Patterns and the values found in them make a
-graph. Spark scores it in turns: a pattern by the share of its values that are
-trusted, a value by the patterns it occurs in. Patterns of high confidence and
-enough different trusted values then mark the unseen values in their places.
+E-mail addresses, IPv4 addresses, card and phone numbers are the seeds. The one
+to three words or marks before an identifier-like value, and the one after it,
+are its lexical patterns (``call me at``, ``contact :``), if a word is among
+them. Patterns and the values found in them make a graph. Spark scores it in
+turns: a pattern by the share of its values that are trusted, a value by the
+patterns it occurs in. Patterns of high confidence and enough different trusted
+values then mark the unseen values in their places.
+
+Identifier-like is every seed, every unbroken value of at least five characters
+with a digit or an at sign, and every run of seven to nineteen digits in groups.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import materialize
+from pagesieve.llm.common import bounded, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that patterns find.
@@ -34,13 +38,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A cue and, behind it, a value of at least five characters.
-_CUE = re.compile(r"""([:=#])[ \t]*["'(<]?([^\s"'()<>,;/][^\s"'()<>,;]{4,})""")
-#: One or two words right before a cue.
-_BEFORE = re.compile(r"(?:([^\W\d_]+)[ \t]+)?([^\W\d_]{2,})[ \t]*\Z")
-#: Characters in front of a cue that may belong to its words.
-_CUE_REACH = 80
-
+#: What no unbroken value holds.
+_UNBROKEN = re.compile(r"""[^\s"'()<>,;|\[\]{}]+""")
+#: A cue that is glued to its value (``id=AB-77123``); not the groups of an address in hexadecimal.
+_GLUED = re.compile(r"[^\W\d_]{2,}(?:[=#]|:(?![0-9A-Fa-f]{1,4}:))|[:=#*]+")
+#: Digits in groups, as in cards and phones.
+_GROUPS = re.compile(r"""(?<![^\s"'()<>,;|\[\]{}:=#])[+(]{0,2}[0-9]++(?:[\x20().-]{1,2}+[0-9]++)+""")
+_LAST_GROUP = re.compile(r"[\x20().-]+[0-9]+\Z")
+_NEXT = re.compile(r"\s*(\w+|[^\w\s])")
+BEFORE = 3
+#: Longer patterns are named by their hash.
+_LONG = 120
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the e-mail pattern, found from their at signs so that long runs cost no square."""
@@ -86,57 +94,108 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, FOUND)[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def cued_values(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(pattern, value, start, end, whether a fixed kind lies in it), with patterns of one and of two words."""
-    k = 0
-    for m in _CUE.finditer(text):
-        start, end = m.span(2)
-        while end > start and text[end - 1] in ".!?:":
-            end -= 1
-        value = text[start:end]
-        if len(value) < 5 or not any(c.isdigit() or c == "@" for c in value):
-            continue
-        while k < len(base) and base[k][2] <= start:
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is of a fixed kind) of the identifier-like values, in order."""
+    seeds = sorted({(s, e) for s, _, e in base})
+    found = set()
+    if _DIGIT.search(text):
+        for m in _GROUPS.finditer(text):
+            value, after = m.group(), text[m.end():m.end() + 1]
+            if after == "@" or after == "_" or after.isalnum():
+                value = _LAST_GROUP.sub("", value)
+            if " " in value and 7 <= sum(c.isdigit() for c in value) <= 19:
+                found.add((m.start(), m.start() + len(value)))
+    if found or "@" in text or any(c.isdigit() for c in text):
+        for m in _UNBROKEN.finditer(text):
+            value = m.group()
+            if len(value) < 5 or not _identifying(value):
+                continue
+            start, end = m.span()
+            while end > start and text[end - 1] in ".!?:":
+                end -= 1
+            last = next((k for k in range(end - 1, start - 1, -1) if text[k] == "@" or text[k].isdigit()), start)
+            while (cue := _GLUED.match(text, start, end)) and end - cue.end() >= 5 and cue.end() <= last:
+                start = cue.end()
+            if end - start >= 5 and text[start] != "/":
+                found.add((start, end))
+    out, k, reach = [(s, e, True) for s, e in seeds], 0, -1
+    for start, end in sorted(found):
+        while k < len(seeds) and seeds[k][0] < end:
+            reach = max(reach, seeds[k][1])
             k += 1
-        words = _BEFORE.search(text[max(0, m.start() - _CUE_REACH):m.start()])
-        if not words:
-            continue
-        seed = any(s < end and e > start for s, _, e in base[k:k + 4])
-        cue = f"{words.group(2).lower()} {m.group(1)}"
-        yield cue, value, start, end, seed
-        if words.group(1):
-            yield f"{words.group(1).lower()} {cue}", value, start, end, seed
+        if reach <= start:
+            out.append((start, end, False))
+    return sorted(out)
+
+
+def _identifying(value: str) -> bool:
+    return "@" in value or any(c.isdigit() for c in value)
+
+
+def _words_before(text: str, end: int) -> list[str]:
+    """Up to three words or marks right before a place, the nearest first."""
+    out: list[str] = []
+    while len(out) < BEFORE:
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            start -= 1
+        start -= start == end
+        if start < 0:
+            break
+        out.append(text[start:end].lower())
+        end = start
+    return out
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns in which a span stands; its place in them is ``_``."""
+    before, after = _words_before(text, start), _NEXT.match(text, end)
+    out = [[*reversed(before[:n]), "_"] for n in range(1, len(before) + 1)]
+    if after:
+        out.append(["_", after.group(1).lower()])
+    named = [" ".join(words) for words in out if any(c.isalpha() for word in words for c in word)]
+    return [x if len(x) <= _LONG else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in named]
+
+
+def placed_values(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[list[str], str, int, int, bool]]:
+    """(patterns, value, start, end, whether of a fixed kind) of every identifier-like value that has a context."""
+    for start, end, seed in instances(text, base):
+        patterns = contexts(text, start, end)
+        if patterns:
+            yield patterns, text[start:end], start, end, seed
 
 
 _SCAN = ("row long, doc_id long, base array<struct<start: int, kind: int, end: int>>, base_sha256 string, "
-         "cued array<struct<pattern: string, value: string, start: int, end: int, seed: boolean>>")
+         "placed array<struct<patterns: array<string>, value: string, start: int, end: int, seed: boolean>>")
 _BASE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_CUED_TYPE = pa.list_(pa.struct([
-    ("pattern", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
+_PLACED_TYPE = pa.list_(pa.struct([
+    ("patterns", pa.list_(pa.string())), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Fixed kinds and cued values of every text."""
+    """Fixed kinds and identifier-like values of every text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, sha, cued = [], [], []
+            base, sha, placed = [], [], []
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 sha.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-                cued.append([dict(zip(("pattern", "value", "start", "end", "seed"), x)) for x in cued_values(text, spans)])
+                placed.append([dict(zip(("patterns", "value", "start", "end", "seed"), x)) for x in placed_values(text, spans)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(base, _BASE_TYPE), pa.array(sha, pa.string()), pa.array(cued, _CUED_TYPE)],
-                ["row", "doc_id", "base", "base_sha256", "cued"])
+                [batch.column(0), batch.column(1), pa.array(base, _BASE_TYPE), pa.array(sha, pa.string()), pa.array(placed, _PLACED_TYPE)],
+                ["row", "doc_id", "base", "base_sha256", "placed"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(read, _SCAN)
 
 
-def trusted_patterns(cued: DataFrame, turns: int = TURNS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def trusted_patterns(placed: DataFrame, turns: int = TURNS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, score, trusted) of high-confidence patterns over occurrences (pattern, value, seed)."""
-    edges = materialize(cued.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    edges = materialize(placed.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     scored = edges.withColumn("trust", F.col("seed").cast("double"))
     for turn in range(turns):
         patterns = scored.groupBy("pattern").agg(
@@ -144,8 +203,9 @@ def trusted_patterns(cued: DataFrame, turns: int = TURNS, confidence: float = CO
         patterns = patterns.where((F.col("score") > 0) & (F.col("trusted") >= support))
         if turn == turns - 1:
             break
-        # a value is as good as the best pattern that it occurs in; seeds stay sure
-        best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("score").alias("reached"))
+        # a value is as good as the best sure pattern that it occurs in, so that doubtful ones don't lift themselves; seeds stay sure
+        patterns = bounded(materialize(patterns.where(F.col("score") >= confidence), "patterns"))
+        best = edges.where("NOT seed").join(patterns, "pattern").groupBy("value").agg(F.max("score").alias("reached"))
         scored = materialize(
             edges.join(best, "value", "left")
             .withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))).drop("reached"),
@@ -161,16 +221,17 @@ def private_spans(
     Returns (doc_id, base_sha256, base, spans): spans are (start, kind, end) in code
     points, ``base`` those of the fixed kinds. Null texts count as empty and have no
     spans; repeated rows give repeated results; a null doc_id stays null. Without
-    cues that seeds share there are no patterns, and only the fixed kinds are
-    reported. An empty table gives no rows.
+    contexts that seeds share there are no patterns, and only the fixed kinds are
+    reported. A value in groups and a group of it may both be reported. An empty
+    table gives no rows.
     """
     scanned = materialize(scan(docs), "scan")
-    cued = scanned.select("row", F.explode("cued").alias("c")).select("row", "c.*")
-    trusted = trusted_patterns(cued, turns, confidence, support)
-    found = (cued.where("NOT seed").join(trusted.select("pattern"), "pattern", "left_semi")
+    placed = scanned.select("row", F.explode("placed").alias("p")).select("row", "p.*").withColumn("pattern", F.explode("patterns"))
+    trusted = materialize(trusted_patterns(placed, turns, confidence, support).select("pattern"), "trusted")
+    found = (placed.where("NOT seed").join(bounded(trusted), "pattern", "left_semi")
              .select("row", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("span"))
              .groupBy("row").agg(F.collect_set("span").alias("found")))
-    both = scanned.drop("cued").join(found, "row", "left")
+    both = scanned.drop("placed").join(found, "row", "left")
     return both.select(
         "doc_id", "base_sha256", "base",
         F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(_SPANS)))).alias("spans"))
