@@ -8,6 +8,10 @@ similarity of the weighted shingles decides. A window that shares too few
 shingles with all items together to be similar to one is not fingerprinted;
 that bound loses nothing.
 
+The radius holds for texts without repeated shingles: a repeated one moves many
+bits at once. Pairs of which either side repeats a shingle are therefore compared
+exactly, by the items that hold a window's shingles, whatever their fingerprints.
+
 Items go to the tasks in parts of bounded size; a large benchmark takes more
 passes over the documents, not more memory.
 """
@@ -46,6 +50,15 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1)
 
 
+def _repeating(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of the windows of a size hold a shingle more than once."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    again = np.full(len(hashes), len(hashes) + size)
+    again[order[same]] = order[same + 1]
+    return np.minimum.accumulate(again[::-1])[::-1][starts] < starts + size
+
+
 class Items:
     """The benchmark items of one part, indexed."""
 
@@ -60,9 +73,19 @@ class Items:
         prints = [fingerprints(_signs(h).astype(np.int64).T @ c) for h, c in self.bags]
         self.prints = np.array(prints, np.uint8).reshape(-1, BLOCKS)
         self.shingles = np.unique(np.concatenate([h for h, _ in self.bags])) if self.bags else np.zeros(0, np.uint64)
+        self.totals = np.array([int(c.sum()) for _, c in self.bags], np.int64)
+        self.repeating = np.array([bool((c > 1).any()) for _, c in self.bags], bool)
+        # of each shingle in order: the items that hold it, and how often
+        sizes = [len(h) for h, _ in self.bags]
+        held = np.concatenate([h for h, _ in self.bags]) if self.bags else np.zeros(0, np.uint64)
+        order = np.argsort(held, kind="stable")
+        self.holders = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.times = (np.concatenate([c for _, c in self.bags]) if self.bags else np.zeros(0, np.int64))[order]
+        self.first = np.append(np.searchsorted(held[order], self.shingles), len(held))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.lengths = sorted(set(self.words))
+        self.length_of = np.array(self.words, np.int64)
         # per length: the items, and for each block and value of it which of them differ by few enough bits there
         self.of_length = {n: np.flatnonzero(np.array(self.words) == n) for n in self.lengths}
         values = np.arange(256, dtype=np.uint8)[None, :, None]
@@ -88,6 +111,20 @@ class Items:
         apart = np.bitwise_count(self.prints[item] ^ prints[at]).sum(axis=1)
         return at[apart <= self.radius], item[apart <= self.radius]
 
+    def alike(self, length: int, own: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[int, float]]:
+        """(item, similarity) of the items of a length that are similar to a bag of shingles, exactly."""
+        known = self.known(own)
+        at, n_at, total = np.searchsorted(self.shingles, own[known]), n[known], int(n.sum())
+        sizes = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        item, both = self.holders[place], np.minimum(self.times[place], np.repeat(n_at, sizes))
+        fit = self.length_of[item] == length
+        item, back = np.unique(item[fit], return_inverse=True)
+        both = np.bincount(back, both[fit], len(item)).astype(np.int64)
+        found = both / (total + self.totals[item] - both)
+        keep = found >= similarity
+        yield from zip(item[keep].tolist(), found[keep].tolist())
+
     def matches(self, words: np.ndarray, similarity: float) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, end) of every similar window of a document."""
         hashes, counts = {}, {}
@@ -111,8 +148,18 @@ class Items:
                 part = hashes[k][run[0]:run[-1] + m]
                 sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(part), axis=0, dtype=np.int32)])
                 prints = fingerprints(sums[run - run[0] + m] - sums[run - run[0]])
+                repeating = _repeating(part, run - run[0], m)
+                every = bool(self.repeating[self.of_length[length]].any())
+                for at in np.flatnonzero(repeating | every).tolist():
+                    start = int(run[at])
+                    bag = np.unique(hashes[k][start:start + m], return_counts=True)
+                    for i, found in self.alike(length, *bag, similarity):
+                        if repeating[at] or self.repeating[i]:
+                            yield i, found, start, start + window
                 last = -1
                 for at, i in zip(*(x.tolist() for x in self.candidates(length, prints))):
+                    if repeating[at] or self.repeating[i]:
+                        continue
                     start = int(run[at])
                     if start != last:
                         last, (own, n) = start, np.unique(hashes[k][start:start + m], return_counts=True)

@@ -50,6 +50,30 @@ def test_against_brute_force(spark, docs):
     assert kept == set(range(len(texts))) - {d for d, _ in expected}
 
 
+def test_repeated_words_against_brute_force(spark, docs):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def runs(n, size, word):
+        return [*rng.choices(vocabulary, k=n), *[word] * size]
+
+    items = {0: runs(120, 19, "-"), 1: runs(99, 14, "|"), 2: runs(60, 40, "_"), 3: rng.choices(vocabulary, k=113), 4: ["ha"] * 30}
+    texts = [["x", *items[0][:120], *["="] * 19, "y"], [*items[1][:99], *["x"] * 14], [*items[2][:60], *["_"] * 30, *["."] * 10],
+             items[3], [*items[3][:100], *["*"] * 13], ["ha"] * 100, [*["ha"] * 27, "ho"] * 2, items[0], [*items[2][20:], *items[2][:20]]]
+    for k in range(40):
+        words = list(items[k % 4])
+        at, n = rng.randrange(len(words)), rng.randrange(3, 20)
+        words[at:at + n] = [rng.choice("-|_=")] * len(words[at:at + n])
+        texts.append([*rng.choices(vocabulary, k=20), *words])
+    texts = [" ".join(words) for words in texts]
+    items = {i: " ".join(words) for i, words in items.items()}
+    benchmark = spark.createDataFrame([*items.items()], "item_id long, text string")
+    expected = plain(dict(enumerate(texts)), items)
+    found = {(r.doc_id, r.item_id): r.similarity for r in D.matches(docs(texts), benchmark).collect()}
+    assert (0, 0) in expected and (1, 1) in expected
+    assert found == pytest.approx(expected)
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.matches(docs(["a b c"]), none).count() == 0
