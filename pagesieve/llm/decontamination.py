@@ -187,6 +187,11 @@ def matches(
     items match nothing; fewer than five words make one shingle. Repeated rows
     give repeated results. An empty table on either side gives no rows.
     """
+    return _keyed_matches(docs, benchmark, similarity, radius, part_bytes).drop("text_key")
+
+
+def _keyed_matches(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, part_bytes: int) -> DataFrame:
+    """The rows of matches(), and ``text_key``, a hash of the document's text."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // part_bytes) + 1
 
@@ -198,7 +203,7 @@ def matches(
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Items([i for i, _ in shared.value], [t for _, t in shared.value], radius)
             for batch in batches:
-                ids, out = batch.column(0).to_pylist(), []
+                ids, keys, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
                 for at, words in word_hashes(batch.column(1).to_pylist()):
                     best: dict[int, list] = {}
                     for i, found, start, end in index.matches(words, similarity):
@@ -206,14 +211,14 @@ def matches(
                         row[3] += 1
                         if (-found, start) < (-row[0], row[1]):
                             row[:3] = found, start, end
-                    out += [(ids[at], index.ids[i], *row) for i, row in best.items()]
-                columns = list(zip(*out)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                    out += [(ids[at], index.ids[i], *row, keys[at]) for i, row in best.items()]
+                columns = list(zip(*out)) or [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    ["doc_id", "item_id", "similarity", "start_word", "end_word", "n_windows"])
+                    ["doc_id", "item_id", "similarity", "start_word", "end_word", "n_windows", "text_key"])
 
-        return docs.select("doc_id", "text").mapInArrow(find, MATCHES)
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(find, MATCHES + ", text_key long")
 
     return reduce(DataFrame.unionByName, map(one, range(parts)))
 
@@ -221,7 +226,10 @@ def matches(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no passage like a benchmark item, with all their columns.
 
-    A null doc_id is kept: it can't be told which of such rows matched.
+    A row is known by its doc_id, null or not, and a hash of its text: of rows that
+    share an id only those go whose own text holds a passage.
     """
-    found = matches(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, docs.doc_id == found.leaked_id, "left_anti")
+    found = _keyed_matches(docs, benchmark, similarity, RADIUS, PART_BYTES).select(
+        F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_key")).distinct()
+    return docs.join(
+        found, docs.doc_id.eqNullSafe(found.leaked_id) & (F.xxhash64(docs.text) == found.leaked_key), "left_anti")

@@ -74,6 +74,15 @@ def test_repeated_words_against_brute_force(spark, docs):
     assert found == pytest.approx(expected)
 
 
+def test_null_and_repeated_ids(spark, docs):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item), (None, "clean"), (7, item), (7, "clean too"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {(r.doc_id, r.text) for r in D.decontaminate(table, benchmark).collect()}
+    assert kept == {(None, "clean"), (7, "clean too"), (None, None)}
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.matches(docs(["a b c"]), none).count() == 0
