@@ -28,6 +28,25 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows of ``df``, written in the given order, with ``at``: their place in it, from 0.
+
+    Spark sorts by ranges, so no task holds more than one of them; only a count for
+    each range comes to the driver. ``order`` should tell all rows apart, else equal
+    ones fall into one range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(ranged, name)
+    counts = sorted(rows.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    starts, total = [], 0
+    for part, count in counts:
+        starts.append((part, total - (part << 33)))
+        total += count
+    moved = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    placed = rows.join(moved, F.shiftright("at", 33) == F.col("_part"))
+    return placed.withColumn("at", F.col("at") + F.col("_start")).drop("_part", "_start")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits over 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

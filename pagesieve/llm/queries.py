@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, jaccard_groups, line_dedup, neighbours, packing, private_data, quality, resharding, toxicity, warc
+from pagesieve.llm import decontamination, jaccard_groups, line_dedup, merkle, neighbours, packing, private_data, quality, resharding, toxicity, warc
 from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,60 @@ def op3_recurrent_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, network).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle tree over all documents, and whether each, as found later, still leads to its root."""
+    docs = spark.read.parquet(_path(folder, "documents"))
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    later = {"text": F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))}
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", later)
+    folded = merkle.fold(F.coalesce("later_leaf", "leaf"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(leaf_levels: int = 8, group_levels: int = 4) -> str:
+    """Levels unrolled: 8^8 documents a language and 8^4 languages."""
+    def level(k: int, source: str) -> str:
+        """Nodes with what flanks them; and their parents, which a tree of one node lacks."""
+        return f"""
+{source}f{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {source}{k}),
+{source}{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+    FROM {source}f{k} GROUP BY g, pos // 8),"""
+
+    def step(before: str, after: str, source: str, k: int, at: str) -> str:
+        return f"""
+{after} AS (SELECT p.* REPLACE (
+    CASE WHEN f.n = 1 THEN folded ELSE sha256(f.l || folded || f.r) END AS folded, proof || f.l || f.r AS proof)
+    FROM {before} p JOIN {source}f{k} f ON f.g = {'p.g' if source == 'a' else '0'} AND f.pos = {at} // {8 ** k}),"""
+
+    def hashed(text: str) -> str:
+        parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT), lambda c, b: {byte}, 4294967295), 4294967295)"
+    leaves = "".join(level(k, "a") for k in range(leaf_levels))
+    groups = "".join(level(k, "b") for k in range(group_levels))
+    steps = "".join(step(f"p{k}", f"p{k + 1}", "a", k, "p.pos") for k in range(leaf_levels))
+    steps += "".join(step(f"p{leaf_levels + k}", f"p{leaf_levels + k + 1}", "b", k, "p.g") for k in range(group_levels))
+    return f"""
+WITH d AS (SELECT doc_id, {hashed('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {hashed(lowered)} ELSE {hashed('text')} END AS folded,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM documents),
+p0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, '' AS proof FROM d),
+a0 AS (SELECT g, pos, h FROM p0),{leaves}
+b0 AS (SELECT 0 AS g, g AS pos, h FROM a{leaf_levels}),{groups}{steps}
+root AS (SELECT h AS root FROM b{group_levels})
+SELECT doc_id, p.h AS leaf, a.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p{leaf_levels + group_levels} p JOIN a{leaf_levels} a ON a.g = p.g CROSS JOIN root
+"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()
