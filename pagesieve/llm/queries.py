@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import decontamination, jaccard_groups, line_dedup, merkle, neighbours, packing, private_data, quality, resharding, toxicity, warc
+from pagesieve.llm import decontamination, jaccard_groups, languages, line_dedup, merkle, neighbours, packing, private_data, quality, resharding, toxicity, warc
 from pagesieve.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,11 @@ FROM p{leaf_levels + group_levels} p JOIN a{leaf_levels} a ON a.g = p.g CROSS JO
 
 
 ORACLE["op13_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_cross_parsing_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    docs = spark.read.parquet(_path(folder, "documents"))
+    return languages.predicted(docs, languages.fit(docs)).select(
+        "doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
