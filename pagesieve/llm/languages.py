@@ -47,19 +47,31 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame) -> dict[str, list[str]]:
     """Excerpts of labelled texts for each language, in hash order.
 
-    Which rows and where in them depends on the text's hash only. At most
-    ``SAMPLE_ROWS`` rows of ``EXCERPT`` characters come to the driver for each language.
+    At most ``SAMPLE_ROWS`` rows of ``EXCERPT`` characters come to the driver for each
+    language. Rows are counted first, and of a language with many only a share by
+    hash is ranked; one that has too few in its share, as where a few rows are
+    repeated over and over, is ranked whole.
     """
     labelled = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    key = F.xxhash64("text")
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    key = F.xxhash64("text", "doc_id")
     start = F.pmod(key, F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))).cast("int") + 1
     cut = labelled.select("lang", key.alias("key"), F.substring("text", start, F.lit(EXCERPT)).alias("excerpt"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "excerpt"))
-    rows = cut.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).collect()
-    out: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.place)):
-        out.setdefault(row.lang, []).append(row.excerpt)
-    return out
+
+    def first(rows: DataFrame) -> dict[str, list[str]]:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "excerpt"))
+        out: dict[str, list[str]] = {}
+        for row in sorted(rows.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).collect(), key=lambda r: (r.lang, r.place)):
+            out.setdefault(row.lang, []).append(row.excerpt)
+        return out
+
+    parts = [(name, float(min(1, 4 * SAMPLE_ROWS / n))) for name, n in counts.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, share double"))
+    out = first(cut.join(shares, "lang").where((F.col("key") / float(1 << 64) + 0.5) < F.col("share")).drop("share"))
+    few = [name for name, n in counts.items() if len(out.get(name, ())) < min(n, SAMPLE_ROWS)]
+    if few:
+        out |= first(cut.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in few], "lang string")), "lang", "left_semi"))
+    return dict(sorted(out.items()))
 
 
 def alphabet(texts: Iterable[str]) -> dict[int, int]:
