@@ -2,14 +2,20 @@
 
 Equal shingle sets become one class. Classes that share a minimum hash are
 compared with the most central of them, and those found similar are one component
-so far. Classes of one centre, similar or not, form the groups of the token-group
-matrix, in chunks of bounded size. Its rows are the tokens of the members' prefixes:
-under an order of all tokens by frequency, two sets of the wanted similarity share
-one of their first quarter of tokens. Two chunks meet only in such a token, and only
-if they hold classes that aren't in one component yet. The union of a chunk's tokens
-then bounds how much of a set any member can hold, chunks within the bound are
-opened, and their members compared exactly. No similar pair of different components
-is missed; of the others only the links that hold components together are needed.
+so far. Under an order of all tokens by frequency, two sets of the wanted similarity
+share one of their first quarter of tokens, the earlier the more alike they are in
+size. Only classes that share such a token with one of another component go on. In
+homes of many of them, the classes of one centre, some then stand for the component
+that leads the home and are compared with the rest, in proportion to their number.
+
+What is left of a home, similar or not, forms groups of the token-group matrix,
+in chunks of bounded size. Its rows are the tokens of the members' prefixes. Two
+chunks meet only in such a token, and only if they hold classes that aren't in one
+component yet. What is sent along is a signature of each class, counts of its tokens
+in cells. The union of a chunk's signatures bounds how much of a set any member can
+hold, chunks within the bound are opened, members within it by their own signature
+are compared exactly. No similar pair of different components is missed; of the
+others only the links that hold components together are needed.
 
 Frequencies come from a fixed number of counters over hashed tokens. They only
 order tokens, so sharing a counter costs time, never a link: boilerplate and
@@ -18,14 +24,14 @@ popular passages come last in the order and do not bring documents together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.llm.common import _mix, bounded, distinct, materialize, shingles, word_hashes
@@ -40,6 +46,8 @@ COUNTERS = 1 << 22
 PARTS = 64
 #: Classes of one centre whose tokens are united and that are compared together.
 CHUNK_CLASSES = 32
+#: Classes that stand for the leading group of a large home in a turn, and the turns.
+STANDING, TURNS = 16, 2
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(HASHES)]
 
 
@@ -126,10 +134,11 @@ def token_ranks(found: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text) of the documents that stand for the ``wanted`` classes (sid, rep); texts may differ from them."""
-    keys = bounded(wanted.select("sid", "rep"))
-    return docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
+def _of(docs: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """(sid, text, more) of the documents that stand for the ``wanted`` classes (sid, one, more), by id and text: ids may be null or repeated."""
+    keys = bounded(wanted.select("sid", F.col("one.text_key").alias("key"), F.col("one.doc_id").alias("id"), *more))
+    texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+    return texts.join(keys, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("sid", "text", *more)
 
 
 def packed(text: str) -> bytes:
@@ -147,31 +156,47 @@ def unpacked(value: pa.BinaryScalar) -> np.ndarray:
     return _unpacked(value.as_py())
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the ``wanted`` classes (sid, rep), packed."""
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each of about as many cells as there are tokens, by their low bits."""
+    cells = 1 << max(6, min(20, int(len(tokens)).bit_length()))
+    return np.minimum(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def _read_classes(docs: DataFrame, wanted: DataFrame, pack: Callable[[str, np.ndarray], bytes], name: str) -> DataFrame:
+    """(sid, name): what ``pack`` makes of the text and tokens of each of the ``wanted`` classes (sid, one)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, out, sets, texts = batch.column(0).to_pylist(), [], [], batch.column(1).to_pylist()
+            sids, out, made, texts = batch.column(0).to_pylist(), [], [], batch.column(1).to_pylist()
             for at, words in word_hashes(texts):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 if len(tokens) and set_id(tokens) == sids[at]:
                     out.append(sids[at])
-                    sets.append(packed(texts[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["sid", "tokens"])
+                    made.append(pack(texts[at], tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(made, pa.binary())], ["sid", name])
 
-    found = materialize(_of(docs, wanted).mapInArrow(read, "sid long, tokens binary"), "sets")
+    found = materialize(_of(docs, wanted).mapInArrow(read, f"sid long, {name} binary"), name)
     # repeated rows may stand for one class
-    return found if found.count() <= wanted.count() else materialize(found.dropDuplicates(["sid"]), "sets")
+    return found if found.count() <= wanted.count() else materialize(found.dropDuplicates(["sid"]), name)
+
+
+def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, tokens) of the ``wanted`` classes (sid, one), packed."""
+    return _read_classes(docs, wanted, lambda text, tokens: packed(text), "tokens")
+
+
+def signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, cells) of the ``wanted`` classes (sid, one): their signatures, compressed."""
+    return _read_classes(docs, wanted, lambda text, tokens: zstandard.ZstdCompressor(level=1).compress(signature(tokens).tobytes()), "cells")
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(sid, tokens): the rarest tokens of each class, of which similar sets share one."""
+    """(sid, grp, n, home, tokens): the rarest tokens of each of the ``wanted`` classes, of which similar sets share one."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, out, sets = batch.column(0).to_pylist(), [], []
+            sids, keep, sets = batch.column(0).to_pylist(), [], []
             for at, words in word_hashes(batch.column(1).to_pylist()):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 if not len(tokens) or set_id(tokens) != sids[at]:
@@ -179,11 +204,14 @@ def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int
                 rank = shared.value[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 n = len(tokens)
                 first = np.argsort(rank, kind="stable")[:n + 1 + -percent * n // 100]
-                out.append(sids[at])
+                keep.append(at)
                 sets.append(tokens[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "tokens"])
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(own.column(k) for k in ("sid", "grp", "n", "home")), pa.array(sets, pa.list_(pa.int64()))], ["sid", "grp", "n", "home", "tokens"])
 
-    return materialize(_of(docs, wanted).mapInArrow(read, "sid long, tokens array<long>"), "prefixes")
+    texts = _of(docs, wanted, "grp", "n", "home")
+    return materialize(texts.mapInArrow(read, "sid long, grp long, n long, home long, tokens array<long>"), "prefixes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -214,12 +242,13 @@ def central_pairs(classes: DataFrame) -> DataFrame:
     class that meets the most others, counted over all hashes, is the one to compare with.
     """
     keyed = classes.select("sid", "n", F.posexplode("mins").alias("k", "least"))
-    sizes = keyed.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialize(keyed.join(sizes, ["k", "least"]), "met")
+    # the joined sides are written first, so that a minimum hash of many classes is broadcast to them or its join split
+    sizes = materialize(keyed.groupBy("k", "least").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    met = materialize(keyed.join(bounded(sizes), ["k", "least"]), "met")
     central = met.groupBy("sid").agg(F.sum("size").alias("met"))
     lead = (met.join(central, "sid").groupBy("k", "least").agg(F.max(F.struct("met", "sid", "n")).alias("lead"))
             .select("k", "least", F.col("lead.sid").alias("b"), F.col("lead.n").alias("m"), F.col("lead.met").alias("met")))
-    return met.join(lead, ["k", "least"]).select(F.col("sid").alias("a"), "n", "b", "m", "met").distinct()
+    return met.join(bounded(materialize(lead, "lead")), ["k", "least"]).select(F.col("sid").alias("a"), "n", "b", "m", "met").distinct()
 
 
 def star_pairs(central: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,58 +256,155 @@ def star_pairs(central: DataFrame, percent: int = PERCENT) -> DataFrame:
     return central.where("a <> b").where(_within("n", "m", percent)).select("a", "b")
 
 
-def chunked(grouped: DataFrame, central: DataFrame) -> DataFrame:
-    """``grouped`` (sid and more) with ``chunk``: classes of one centre, in chunks of bounded size."""
-    homes = central.groupBy(F.col("a").alias("sid")).agg(F.max(F.struct("met", "b")).alias("best")).select("sid", F.col("best.b").alias("home"))
-    placed = grouped.join(homes, "sid", "left").withColumn("home", F.coalesce("home", "sid"))
-    parts = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES).alias("parts")).where("parts > 1")
+def live_cells(cells: DataFrame, turns: int = 2, percent: int = PERCENT) -> DataFrame:
+    """The ``cells`` (sid, token, pos, n, grp, ...) through which a class can be similar to one of another group.
+
+    What stands behind the first token that two sets share bounds their overlap, which
+    similar sets need for their sizes. So a class whose cell comes late needs a
+    small partner: the cell stays where a class of another group is at hand in the
+    token, in the class's own range of sizes or a neighbouring one, that is small enough.
+    """
+    whole = 100 + percent
+    near = cells.groupBy("token").agg(F.min("n").alias("least"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    near = bounded(materialize(near.select("token", "least"), "tokens"))
+    reaches = f"{whole} * (n - pos) >= {percent} * (n + least)"
+    live = materialize(cells.join(near, "token").where(reaches).drop("least"), "cells")
+    for _ in range(turns):
+        ranged = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+        own = ranged.groupBy("token", "size").agg(F.min("n").alias("least"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        around = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")
+        near = (own.select("token", around, "least", "low", "high").groupBy("token", "size")
+                .agg(F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high"))
+        live = materialize(ranged.join(bounded(materialize(near.drop("low", "high"), "tokens")), ["token", "size"])
+                           .where(reaches).drop("least", "size"), "cells")
+    return live
+
+
+def homes_of(central: DataFrame) -> DataFrame:
+    """(sid, home): the most central class that each meets."""
+    return central.groupBy(F.col("a").alias("sid")).agg(F.max(F.struct("met", "b")).alias("best")).select("sid", F.col("best.b").alias("home"))
+
+
+def leading(classes: DataFrame) -> DataFrame:
+    """(home, lead): the group that has most of the ``classes`` (home, grp) of a home, where they are many."""
+    sizes = classes.groupBy("home", "grp").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.groupBy("home").agg(F.max(F.struct("n", "grp")).alias("most"), F.sum("n").alias("n"))
+    return found.where(F.col("n") > CHUNK_CLASSES).select("home", F.col("most.grp").alias("lead"))
+
+
+def standing_pairs(classes: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b, g1, g2): in each large home, the classes outside the leading group with a few that stand for that group.
+
+    Copies with many changes are often not similar to the text they come from, but to
+    some other copy. So a large home becomes few groups by work in proportion to its classes.
+    """
+    leads = bounded(materialize(leading(classes), "leads"))
+    placed = materialize(classes.join(leads, "home"), "placed")
+    rank = F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("sid", F.lit(turn)), "sid"))
+    stand = placed.where("grp = lead").withColumn("rank", rank).where(F.col("rank") <= STANDING)
+    stand = bounded(materialize(stand.select("home", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g2")), "stand"))
+    return (placed.where("grp <> lead").join(stand, "home").where(_within("n", "m", percent))
+            .select(F.col("sid").alias("a"), "b", F.col("grp").alias("g1"), "g2"))
+
+
+def chunked(classes: DataFrame) -> DataFrame:
+    """``classes`` (sid, grp, home, more) with ``chunk``: those of one home, in chunks of bounded size, the leading group's apart."""
+    placed = classes.join(bounded(materialize(leading(classes), "leads")), "home", "left").withColumn("own", F.coalesce(F.col("grp") == F.col("lead"), F.lit(False)))
+    parts = placed.groupBy("home", "own").agg(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES).alias("parts"))
+    parts = bounded(materialize(parts.where("parts > 1"), "parts"))
     part = F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1)))
-    return placed.join(parts, "home", "left").withColumn("chunk", F.xxhash64("home", part)).drop("home", "parts")
-
-
-def _links(percent: int):
-    """Links between the groups of two chunks' classes, each pair of groups once."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def link(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = [unpacked(x) for x in right["own_tokens"]]
-        groups = np.array(right["own_grp"])
-        found: set[tuple[int, int]] = set()
-        if sets:
-            sizes = np.array([len(x) for x in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            union = distinct(flat)
-            for grp, packed_set in zip(left["grp"].to_pylist(), left["tokens"]):
-                own = unpacked(packed_set)
-                if 100 * overlap(own, union) < percent * len(own):
-                    continue  # the union holds too little of it for any member
-                first, end = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-                counts = end - first
-                hits = np.arange(int(counts.sum())) + np.repeat(first - np.cumsum(counts) + counts, counts)
-                both = np.bincount(owner[hits], minlength=len(sets))
-                near = (100 * both >= percent * (len(own) + sizes - both)) & (groups != grp)
-                found.update((min(grp, g), max(grp, g)) for g in groups[near].tolist())
-        return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
-
-    return link
+    return placed.join(parts, ["home", "own"], "left").withColumn("chunk", F.xxhash64("home", "own", part)).drop("home", "own", "lead", "parts")
+
+
+def _candidates(percent: int):
+    """Pairs of classes of two chunks and different groups that can be similar by their signatures."""
+    names = ("a", "b", "g1", "g2")
+    schema = pa.schema([(name, pa.int64()) for name in names])
+
+    def by_cells(table: pa.Table) -> dict[int, tuple]:
+        """For each count of cells: ids, groups, sizes and signatures."""
+        out: dict[int, list] = {}
+        for row in zip(*(column.to_pylist() for column in table.columns[2:])):
+            cells = np.frombuffer(zstandard.ZstdDecompressor().decompress(row[3]), np.uint8)
+            out.setdefault(len(cells), []).append((*row[:3], cells))
+        return {k: (*(np.array(x, np.int64) for x in list(zip(*rows))[:3]), np.array([r[3] for r in rows])) for k, rows in out.items()}
+
+    def folded(cells: np.ndarray, k: int) -> np.ndarray:
+        """Signatures over half as many cells, if k is that."""
+        cells = cells.astype(np.int32)
+        return cells if cells.shape[1] == k else cells[:, :k] + cells[:, k:]
+
+    def pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        ours, theirs = by_cells(left), by_cells(right)
+        for k1, (sid1, grp1, n1, cells1) in ours.items():
+            for k2 in (k1 // 2, k1, 2 * k1):
+                if k2 not in theirs:
+                    continue
+                sid2, grp2, n2, cells2 = theirs[k2]
+                x, y = folded(cells1, min(k1, k2)), folded(cells2, min(k1, k2))
+                union = y.max(0)
+                for i in range(len(sid1)):
+                    # the union of the chunk bounds what any member can share: it is opened only if that is enough
+                    if 100 * np.minimum(x[i], union).sum() < percent * n1[i]:
+                        continue
+                    both = np.minimum(x[i], y).sum(1)
+                    near = (100 * both >= percent * (n1[i] + n2 - both)) & (grp2 != grp1[i]) & (sid2 != sid1[i])
+                    found.append((np.full(near.sum(), sid1[i]), sid2[near], np.full(near.sum(), grp1[i]), grp2[near]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        if key[0].as_py() == key[1].as_py():
+            # within a chunk each pair once
+            once = columns[0] < columns[1]
+            columns = [x[once] for x in columns]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=schema)
+
+    return pairs
+
+
+def _also(docs: DataFrame, sets: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sets`` with those of the ``wanted`` classes (sid) that it lacks."""
+    lacking = materialize(wanted.distinct().join(sets.select("sid"), "sid", "left_anti"), "lacking")
+    if lacking.isEmpty():
+        return sets
+    return sets.union(token_sets(docs, materialize(classes.select("sid", "one").join(bounded(lacking), "sid"), "needed")))
+
+
+def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (grp, more) with the groups named anew that ``links`` (a, b) bring together."""
+    merged = connected_components(links).select(F.col("node").alias("grp"), "label")
+    return rows.join(bounded(merged), "grp", "left").withColumn("grp", F.coalesce("label", "grp")).drop("label")
 
 
 def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a, b): groups that similar classes link, by the token-group matrix over ``grouped`` (sid, grp, rep, n, chunk)."""
-    cells = prefixes(docs, grouped, ranks, percent).select("sid", F.posexplode("tokens").alias("pos", "token"))
-    cells = cells.join(bounded(grouped.select("sid", "grp", "n", "chunk")), "sid").drop("sid")
-    shared = (cells.groupBy("token").agg(
-        F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
-        .where("low <> high AND first <> last").select("token"))
-    # What stands behind the first token that two sets share bounds their overlap, which
-    # similar sets need for their sizes; a cell keeps the sizes and the best bound of its chunk.
+    """(a, b): groups that similar classes link, by the token-group matrix over ``grouped`` (sid, grp, one, n, home)."""
+    cells = prefixes(docs, grouped, ranks, percent).select("sid", "grp", "n", "home", F.posexplode("tokens").alias("pos", "token"))
+    cells = live_cells(cells, percent=percent)
+    found = []
+    for turn in range(TURNS):
+        pairs = materialize(standing_pairs(cells.select("sid", "grp", "n", "home").distinct(), turn, percent), "standing")
+        if pairs.isEmpty():
+            break
+        sets = _also(docs, sets, grouped, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
+        links = pairs.join(verified(pairs.select("a", "b"), sets, percent), ["a", "b"]).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
+        links = materialize(links.distinct(), "links")
+        found.append(links)
+        cells = live_cells(_regrouped(cells, links), 1, percent)
+    return _union([*found, _matrix_links(docs, cells, grouped, sets, percent)])
+
+
+def _union(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, links)
+
+
+def _matrix_links(docs: DataFrame, cells: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the groups that classes with the live ``cells`` link."""
+    placed = materialize(chunked(cells.select("sid", "grp", "n", "home").distinct()), "chunks")
+    cells = cells.drop("grp", "n", "home").join(bounded(placed), "sid")
+    # a cell of the matrix keeps the sizes and the best bound of its chunk
     whole = 100 + percent
-    matrix = materialize(
-        cells.join(bounded(materialize(shared, "tokens")), "token").groupBy("token", "chunk").agg(
-            F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("low"), F.max("grp").alias("high"),
-            F.max(F.expr(f"{whole} * (n - pos) - {percent} * n")).alias("reach")), "matrix")
+    matrix = materialize(cells.groupBy("token", "chunk").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("low"), F.max("grp").alias("high"),
+        F.max(F.expr(f"{whole} * (n - pos) - {percent} * n")).alias("reach")), "matrix")
     x, y = matrix.alias("x"), matrix.alias("y")
     met = (x.join(y, F.col("x.token") == F.col("y.token")).where(
         f"x.chunk < y.chunk AND 100 * x.most >= {percent} * y.least AND 100 * y.most >= {percent} * x.least "
@@ -286,28 +412,23 @@ def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks:
         f"AND y.reach >= {percent} * greatest(x.least, {percent} * y.least / 100) "
         "AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)")
         .select(F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2")).distinct())
-    counted = grouped.groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("size"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("sid").alias("one"))
+    counted = placed.groupBy("chunk").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
     inside = counted.where("low <> high").select(F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
     met = materialize(met.union(inside), "met")
 
-    # pairs of single classes are compared as such, the others chunk by chunk
-    sizes = counted.select("chunk", "size", "one", F.col("low").alias("grp"))
-    sized = materialize(
-        met.join(sizes.toDF("c1", "s1", "a", "g1"), "c1").join(sizes.toDF("c2", "s2", "b", "g2"), "c2"), "sized")
-    single, several = sized.where("s1 = 1 AND s2 = 1"), sized.where("s1 > 1 OR s2 > 1").select("c1", "c2")
-    used = met.select(F.col("c1").alias("chunk")).union(met.select("c2")).distinct()
-    needed = grouped.join(used, "chunk", "left_semi").join(sets.select("sid"), "sid", "left_anti").select("sid", "rep")
-    every = sets.union(token_sets(docs, materialize(needed, "needed")))
-
-    pairs = materialize(single.select("a", "b", "g1", "g2"), "pairs")
-    alone = pairs.join(verified(pairs.select("a", "b"), every, percent), ["a", "b"]).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
-    members = every.join(bounded(grouped.select("sid", "grp", "chunk")), "sid").select("chunk", "grp", "tokens")
-    several = bounded(several)
-    left = members.withColumnRenamed("chunk", "c1").join(several, "c1").select("c1", "c2", "grp", "tokens")
-    right = members.withColumnRenamed("chunk", "c2").join(several, "c2").select(
-        F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("grp").alias("own_grp"), F.col("tokens").alias("own_tokens"))
-    return alone.union(left.groupBy("c1", "c2").cogroup(right.groupBy("d1", "d2")).applyInArrow(_links(percent), "a long, b long"))
+    # signatures bound what members share; only those that can be similar are compared
+    used = materialize(met.select(F.col("c1").alias("chunk")).union(met.select("c2")).distinct(), "used")
+    members = placed.join(bounded(used), "chunk", "left_semi")
+    known = signatures(docs, materialize(members.select("sid").join(grouped.select("sid", "one"), "sid"), "needed"))
+    members = materialize(known.join(bounded(members.select("sid", "grp", "n", "chunk")), "sid"), "members")
+    met = bounded(met)
+    own = ["sid", "grp", "n", "cells"]
+    left = members.withColumnRenamed("chunk", "c1").join(met, "c1").select("c1", "c2", *own)
+    right = members.withColumnRenamed("chunk", "c2").join(met, "c2").select("c1", "c2", *own).toDF("d1", "d2", *(f"own_{name}" for name in own))
+    near = left.groupBy("c1", "c2").cogroup(right.groupBy("d1", "d2")).applyInArrow(_candidates(percent), "a long, b long, g1 long, g2 long")
+    near = materialize(near, "near")
+    sets = _also(docs, sets, grouped, near.select(F.col("a").alias("sid")).union(near.select("b")))
+    return near.join(verified(near.select("a", "b"), sets, percent), ["a", "b"]).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -324,15 +445,17 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = found.where("part IS NULL").drop("part", "counts")
     classes = materialize(
         rows.where("sid IS NOT NULL").groupBy("sid").agg(
-            F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("mins").alias("mins")), "classes")
+            F.min("doc_id").alias("rep"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.any_value("n_shingles").alias("n"),
+            F.any_value("mins").alias("mins")), "classes")
     central = materialize(central_pairs(classes), "central")
     stars = materialize(star_pairs(central, percent), "stars")
     active = stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct()
-    sets = token_sets(docs, materialize(active.join(classes, "sid").select("sid", "rep"), "active"))
+    sets = token_sets(docs, materialize(active.join(classes, "sid").select("sid", "one"), "active"))
     groups = connected_components(verified(stars, sets, percent))
     grouped = (classes.join(groups.withColumnRenamed("node", "sid"), "sid", "left")
-               .select("sid", F.coalesce("label", "sid").alias("grp"), "rep", "n"))
-    grouped = materialize(chunked(grouped, central), "groups")
+               .select("sid", F.coalesce("label", "sid").alias("grp"), "rep", "one", "n"))
+    grouped = grouped.join(homes_of(central), "sid", "left").withColumn("home", F.coalesce("home", "sid"))
+    grouped = materialize(grouped, "groups")
     merged = connected_components(crossing_links(docs, grouped, sets, token_ranks(found), percent))
     named = grouped.join(merged.withColumnRenamed("node", "grp"), "grp", "left").select(
         "sid", "rep", F.coalesce("label", "grp").alias("label"))

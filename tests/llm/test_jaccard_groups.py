@@ -105,3 +105,24 @@ def test_overlap():
     for n, m in ((0, 5), (7, 0), (30, 40)):
         a, b = (np.unique(rng.integers(0, 60, k)).astype(np.uint64) for k in (n, m))
         assert J.overlap(a, b) == len(set(a.tolist()) & set(b.tolist()))
+
+
+def test_signatures_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    for n in (1, 40, 500):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for m in (1, n // 2 + 1, n):
+            other = np.unique(np.concatenate([own[:m], rng.integers(0, 1 << 63, n, dtype=np.uint64)]))[:4 * n // 3 + 1]
+            x, y = J.signature(own).astype(int), J.signature(other).astype(int)
+            k = min(len(x), len(y))
+            x, y = (c if len(c) == k else c[:k] + c[k:] for c in (x, y))
+            assert np.minimum(x, y).sum() >= J.overlap(own, other)
+
+
+def test_rows_with_null_or_repeated_ids_are_read_once(spark):
+    rows = [(None if i % 2 else 7, " ".join(f"w{i * 7 + k}" for k in range(9))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = J.features(table).where("part IS NULL")
+    classes = found.groupBy("sid").agg(J.F.min(J.F.struct("text_key", "doc_id")).alias("one"))
+    assert J._of(table, classes).count() == 60
+    assert {r.component_id for r in J.components(table).collect()} == {None, 7}
