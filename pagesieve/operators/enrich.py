@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pagesieve import rules as R
 from pagesieve.functions.text import let
 from pagesieve.functions.urls import normalize_url, resolve_url, url_host, url_origin
-from pagesieve.sources.pages import latest_response, usable_response
+from pagesieve.sources.pages import has_next_data, latest_response, next_data, usable_response
 
 # Sizes in bytes a probed source map may state.
 MAP_MIN_BYTES, MAP_MAX_BYTES = 50, 50 * 1024 * 1024
@@ -54,7 +54,15 @@ def looks_like_map(status: Column, content_type: Column, content_length: Column)
 
 
 def validate_maps(guesses: DataFrame, fetched: DataFrame) -> DataFrame:
-    good = fetched.where(
+    """Guesses whose newest probe looks like a source map.
+
+    A probe is a HEAD request; a URL that was never probed is judged by its newest
+    GET.  A newer answer withdraws an older one.
+    """
+    probes = latest_response(fetched, "HEAD")
+    if "method" in fetched.columns:
+        probes = probes.unionByName(latest_response(fetched).join(probes.select("url"), "url", "left_anti"))
+    good = probes.where(
         looks_like_map(F.col("status"), F.col("content_type"), F.col("content_length"))
     ).select(F.col("url").alias("map_url"))
     return guesses.join(good, "map_url", "left_semi").select("page_id", "map_url")
@@ -78,14 +86,14 @@ def merge_maps(found: DataFrame, valid: DataFrame) -> DataFrame:
     return found.unionByName(rows, allowMissingColumns=True)
 
 
-_NEXT_DATA = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>'
-
-
 def next_manifests(pages: DataFrame) -> DataFrame:
     """Build id and manifest URL of pages that carry Next.js data."""
-    tagged = pages.where(F.col("html").contains('<script id="__NEXT_DATA__"')).select(
-        "page_id", "url", F.regexp_extract("html", _NEXT_DATA, 1).alias("_json"))
-    data = tagged.select("page_id", "url", F.try_parse_json("_json").alias("_data"))
+    return manifests_of(pages.where(has_next_data(F.col("html"))).select("page_id", "url", next_data(F.col("html")).alias("content")))
+
+
+def manifests_of(build_data: DataFrame) -> DataFrame:
+    """Build id and manifest URL from the build data of pages (``page_id``, ``url``, ``content``)."""
+    data = build_data.select("page_id", "url", F.try_parse_json("content").alias("_data"))
 
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get("_data", path, "variant"))

@@ -18,7 +18,16 @@ from pagesieve.functions.text import (
 )
 from pagesieve.functions.urls import base_domain, current_hostname, resolve_url, url_host
 from pagesieve.operators.match import clean_group, entropy_filter, scan
-from pagesieve.sources.pages import EXTERNAL_ORD, decode_sources, drop_too_large, size_gate, latest_response, usable_response
+from pagesieve.sources.addressed import Addressed
+from pagesieve.sources.pages import (
+    EXTERNAL_ORD,
+    MAX_CONTENT_BYTES,
+    decode_sources,
+    drop_too_large,
+    latest_response,
+    size_gate,
+    usable_response,
+)
 
 # One more than the nominal thousand: the count is compared after it is raised.
 PASSIVE_MATCH_CAP = 1001
@@ -65,17 +74,40 @@ def _to_pages(matches: DataFrame, refs: DataFrame) -> DataFrame:
 
 def script_findings(
     refs: DataFrame, fetched: DataFrame, rules: Sequence[R.Rule] | None = None, max_matches: int | None = None,
+    max_bytes: int | None = MAX_CONTENT_BYTES,
 ) -> DataFrame:
     """What ``secret_findings`` gives for attached scripts, at less cost.
 
     Popular scripts belong to very many pages.  Each is scanned once and only
     its findings, which are few and small, are joined to the pages.
     """
-    texts = size_gate(_texts_of(refs, fetched))
+    texts = size_gate(_texts_of(refs, fetched), max_bytes)
     matches = entropy_filter(scan(texts, R.strict_rules() if rules is None else rules, max_matches))
     return _as_findings(texts, _to_pages(matches, refs))
 
 
+def addressed_findings(found: Addressed, rules: Sequence[R.Rule] | None = None, max_matches: int | None = None) -> DataFrame:
+    """What ``secret_findings`` gives for all sources of a job; each different script is scanned once."""
+    rules = R.strict_rules() if rules is None else rules
+    pages = entropy_filter(scan(found.documents, rules, max_matches))
+    places = found.places.where(~F.col("is_too_large"))
+    scripts = entropy_filter(scan(_scanned_texts(found.texts, places), rules, max_matches)).join(places, "digest")
+    return _as_findings(found.documents, pages).unionByName(_as_findings(found.places, scripts))
+
+
+def addressed_occurrences(found: Addressed, rules: Sequence[R.Rule]) -> DataFrame:
+    """What ``occurrences`` gives for all sources of a job; each different script is scanned once."""
+    pages = clean_group(scan(found.documents.select("page_id", "url", "source", "source_ord", "content"), rules))
+    scripts = clean_group(scan(_scanned_texts(found.texts, found.places), rules))
+    places = found.places.select("digest", "page_id", "url", "source", "source_ord")
+    return _validated(pages).unionByName(_validated(scripts.join(places, "digest")))
+
+
+def _scanned_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(digest, content) of the texts that stand at some of the ``places``."""
+    return texts.select("digest", "content").join(places.select("digest").distinct(), "digest", "left_semi")
+
+
 def _related(finding: Column, url: Column) -> Column:
     host = url_host(url)
     current, base = current_hostname(host), base_domain(host)
@@ -95,9 +127,11 @@ def occurrences(sources: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
     return _validated(clean_group(scan(sources.select(*keep), rules)))
 
 
-def script_occurrences(refs: DataFrame, fetched: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
+def script_occurrences(
+    refs: DataFrame, fetched: DataFrame, rules: Sequence[R.Rule], max_bytes: int | None = MAX_CONTENT_BYTES,
+) -> DataFrame:
     """What ``occurrences`` gives for attached scripts; each is scanned once."""
-    texts = decode_sources(drop_too_large(_texts_of(refs, fetched)))
+    texts = decode_sources(drop_too_large(_texts_of(refs, fetched), max_bytes))
     return _validated(_to_pages(clean_group(scan(texts, rules)), refs))
 
 

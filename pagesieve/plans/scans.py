@@ -10,20 +10,9 @@ from pyspark.sql import functions as F
 
 from pagesieve import rules as R
 from pagesieve.operators import aggregate, enrich, extract
-from pagesieve.session import shared_dir
 from pagesieve.sources import pages as P
 from pagesieve.sources import sinks
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several steps read, and read it back.
-
-    Without this each reader would scan the texts again; a written table also
-    survives the loss of an executor.
-    """
-    path = f"{shared_dir(df.sparkSession, name)}/table"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pagesieve.sources.addressed import address, materialize
 
 
 @dataclass(frozen=True)
@@ -38,18 +27,18 @@ def passive_scan(
     pages: DataFrame, fetched: DataFrame | None = None, exclusions: Sequence[str] = (),
     excluded_rule_ids: Sequence[str] = (), max_matches: int | None = None, max_bytes: int | None = P.MAX_CONTENT_BYTES,
 ) -> PassiveScan:
-    """Secrets per source and the badge of each page; texts above ``max_bytes`` are listed unscanned, None scans all."""
+    """Secrets per source and the badge of each page; texts above ``max_bytes`` are listed unscanned, None scans all.
+
+    Pages are walked once, each different script is scanned once, and texts are
+    joined to places only where ``sources`` or ``retained`` are read.
+    """
     wanted = P.scannable(pages, exclusions)
-    rules = R.strict_rules(excluded_rule_ids)
-    local = P.size_gate(P.extract_sources(wanted, P.PASSIVE), max_bytes)
-    found, sources = extract.secret_findings(local, rules, max_matches), local
-    if fetched is not None:
-        refs = P.script_refs(wanted)
-        found = found.unionByName(extract.script_findings(refs, fetched, rules, max_matches))
-        sources = P.size_gate(P.attach_scripts(local.drop("n_bytes", "is_too_large"), refs, fetched), max_bytes)
-    findings = materialize(found, "findings")
+    held = address(wanted, fetched, P.PASSIVE, max_bytes)
+    findings = materialize(extract.addressed_findings(held, R.strict_rules(excluded_rule_ids), max_matches), "findings")
+    kept = held.with_text(aggregate.retain_sources(held.places, findings))
     return PassiveScan(
-        sources, findings, aggregate.page_status(findings, wanted), aggregate.retain_sources(sources, findings))
+        held.sources(), findings, aggregate.page_status(findings, wanted),
+        aggregate.retain_sources(held.documents, findings).unionByName(kept))
 
 
 @dataclass(frozen=True)
@@ -65,31 +54,28 @@ def full_scan(
 ) -> FullScan:
     """Everything the on-demand report shows, for every page of a corpus."""
     rules = R.full_rules(parameters)
-    sources = P.decode_sources(P.drop_too_large(P.extract_sources(pages, P.FULL), max_bytes))
-    found = extract.occurrences(sources, rules)
-    if fetched is not None:
-        refs = P.script_refs(pages)
-        found = found.unionByName(extract.script_occurrences(refs, fetched, rules))
-        scripts = P.attach_scripts(sources.where(F.lit(False)), refs, fetched)
-        sources = sources.unionByName(P.decode_sources(P.drop_too_large(scripts, max_bytes)))
-    found = materialize(found, "occurrences")
+    held = address(pages, fetched, P.FULL, max_bytes)
+    found = materialize(extract.addressed_occurrences(held, rules), "occurrences")
 
+    manifests = enrich.manifests_of(held.build_data)
     if fetched is not None:
         if guess_source_maps:
             known = found.where(F.col("category") == R.SOURCE_MAPS)
-            valid = enrich.validate_maps(enrich.guess_maps(sources, known), fetched)
+            valid = enrich.validate_maps(enrich.guess_maps(held.places, known), fetched)
             found = enrich.merge_maps(found, valid)
-        manifests = enrich.next_manifests(pages)
         found = enrich.merge_routes(found, manifests, enrich.next_routes(manifests, fetched))
     if registry is not None:
         packages = found.where(F.col("category") == R.NPM_PACKAGES)
         found = found.unionByName(enrich.dependency_confusion(packages, registry).select(*found.columns))
-    found = found.where(F.col("category") != R.NPM_PACKAGES)
+    found = materialize(found.where(F.col("category") != R.NPM_PACKAGES), "found")
 
-    kept = aggregate.retain_sources(sources, found, P.FULL).select("page_id", "source", "content")
+    # hashes stand for the texts of scripts until it is known which are shown
+    marked = aggregate.retain_sources(held.places.withColumn("content", F.col("digest")).drop("digest"), found, P.FULL)
+    kept = held.with_text(marked.withColumnRenamed("content", "digest")).unionByName(aggregate.retain_sources(held.documents, found, P.FULL))
+    kept = kept.select("page_id", "source", "content")
     if fetched is not None:
         kept = kept.unionByName(enrich.manifest_sources(manifests, fetched))
-    return FullScan(sources, found, sinks.page_reports(pages, found, kept))
+    return FullScan(held.sources(), found, sinks.page_reports(pages, found, kept))
 
 
 @dataclass(frozen=True)

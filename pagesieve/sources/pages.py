@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ _SCRIPTS = (
     r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
     r"|<(style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</\1(?=[\s/>])|\z)|\z)"
     r"|<script(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</script(?=[\s/>])[^>]*>|\z)|\z)"
+    r"|<base(?=[\s/>])" + _ATTRS + r"(?:>|\z)"
 )
 _OPENED = r"(?is)^<script(?=[\s/>])" + _ATTRS + ">"
 _ONE_SCRIPT = _OPENED + r"(.*?)(?:</script(?=[\s/>])[^>]*>|\z)"
@@ -84,21 +85,39 @@ def main_frame(nav_events: DataFrame, exclusions: Sequence[str] = ()) -> DataFra
     return scannable(nav_events.where(F.col("frame_id") == 0), exclusions)
 
 
+def _elements(html: Column) -> Column:
+    """Array of the elements of a page that matter here, in document order, in one walk."""
+    low = F.lower(html)
+    return F.when(low.contains("<script") | low.contains("<base"), F.regexp_extract_all(html, F.lit(_SCRIPTS), F.lit(0)))
+
+
+def _scripts_of(elements: Column) -> Column:
+    """Array of (attributes, body) of the script elements among ``elements``."""
+    # A tag that is not closed itself is no element.
+    scripts = F.filter(elements, lambda e: (F.lower(F.substring(e, 1, 7)) == "<script") & e.rlike(_OPENED))
+    return F.transform(scripts, lambda e: F.struct(
+        F.regexp_extract(e, _ONE_SCRIPT, 1).alias("attrs"),
+        F.regexp_extract(e, _ONE_SCRIPT, 2).alias("body")))
+
+
 def _script_tags(html: Column) -> Column:
     """Array of (attributes, body) of the script elements in document order."""
-    def tags(text: Column) -> Column:
-        elements = F.regexp_extract_all(text, F.lit(_SCRIPTS), F.lit(0))
-        # A tag that is not closed itself is no element.
-        scripts = F.filter(elements, lambda e: (F.lower(F.substring(e, 1, 7)) == "<script") & e.rlike(_OPENED))
-        return F.transform(scripts, lambda e: F.struct(
-            F.regexp_extract(e, _ONE_SCRIPT, 1).alias("attrs"),
-            F.regexp_extract(e, _ONE_SCRIPT, 2).alias("body")))
+    return F.when(F.lower(html).contains("<script"), let(_elements(html), _scripts_of))
+
 
-    return F.when(F.lower(html).contains("<script"), tags(html))
+def _base_of(elements: Column) -> Column:
+    """The first ``href`` of a base element among ``elements``, null when there is none."""
+    tags = F.filter(elements, lambda e: (F.lower(F.substring(e, 1, 5)) == "<base") & e.endswith(">"))
+    hrefs = F.transform(tags, lambda e: _attribute(F.regexp_extract(e, r"(?is)^<base(?=[\s/>])" + _ATTRS + ">", 1), "href"))
+    return F.get(F.filter(hrefs, lambda href: href.isNotNull()), F.lit(0))
 
 
 def _src(attrs: Column) -> Column:
-    """Value of the first ``src`` attribute, null when there is none."""
+    return _attribute(attrs, "src")
+
+
+def _attribute(attrs: Column, name: str) -> Column:
+    """Value of the first attribute of a name, null when there is none."""
     names = F.transform(F.regexp_extract_all(attrs, F.lit(_ATTR), F.lit(1)), F.lower)
     values = F.zip_with(
         F.regexp_extract_all(attrs, F.lit(_ATTR), F.lit(2)),
@@ -107,33 +126,22 @@ def _src(attrs: Column) -> Column:
             F.regexp_extract_all(attrs, F.lit(_ATTR), F.lit(4)),
             lambda a, b: F.concat(a, b)),
         lambda a, b: F.concat(a, b))
-    at = F.array_position(names, "src").cast("int")
+    at = F.array_position(names, name).cast("int")
     found = let(at, lambda i: F.when(i > 0, F.element_at(values, F.greatest(i, F.lit(1)))))
-    return F.when(F.lower(attrs).contains("src"), decode_entities(found))
+    return F.when(F.lower(attrs).contains(name), decode_entities(found))
 
 
-def base_url(html: Column, url: Column) -> Column:
-    """Base for relative links: the first ``<base href>``, else the page itself."""
-    tag = F.regexp_extract(html, r"""(?is)<base\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    href = F.regexp_replace(tag, r"""^["']|["']\z""", "")
-    has_base = F.lower(html).contains("<base")
-    return F.when(has_base & (href != ""), F.coalesce(resolve_url(href, url), url)).otherwise(url)
+def _based(href: Column, url: Column) -> Column:
+    return F.when(F.coalesce(href, F.lit("")) != "", F.coalesce(resolve_url(href, url), url)).otherwise(url)
 
 
-def extract_sources(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = True) -> DataFrame:
-    """One row for the HTML of a page and one for each inline script.
+def base_url(html: Column, url: Column) -> Column:
+    """Base for relative links: the first ``<base href>``, else the page itself."""
+    href = F.when(F.lower(html).contains("<base"), let(_elements(html), _base_of))
+    return _based(href, url)
 
-    The passive scan counts a script with an empty ``src`` as inline, the full
-    scan counts only scripts without the attribute.  The HTML still holds the
-    inline scripts, so both report a match: that is intended.
-    """
-    html = F.col("html")
-    if mode == FULL and add_doctype:
-        html = with_doctype(html)
-    pages = spread(pages, ["page_id"])
-    # The order of the scan: passive begins with the page, full ends with it.
-    html_ord = 0 if mode == PASSIVE else LAST_ORD
 
+def _inline_scripts(mode: str) -> Callable[[Column], Column]:
     def inline(tags: Column) -> Column:
         def is_inline(tag: Column) -> Column:
             src = _src(tag["attrs"])
@@ -146,12 +154,69 @@ def extract_sources(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = T
             (i + F.lit(1)).alias("source_ord"),
             tag["body"].alias("content")))
 
-    page_row = F.array(F.struct(
+    return inline
+
+
+def _page_row(mode: str, add_doctype: bool) -> Column:
+    """The page itself; the passive scan begins with it, the full one ends with it."""
+    html = with_doctype(F.col("html")) if mode == FULL and add_doctype else F.col("html")
+    return F.array(F.struct(
         F.lit(HTML_SOURCE[mode]).alias("source"), F.lit("html").alias("kind"),
-        F.lit(html_ord).alias("source_ord"), html.alias("content")))
-    scripts = let(_script_tags(F.col("html")), inline)
+        F.lit(0 if mode == PASSIVE else LAST_ORD).alias("source_ord"), html.alias("content")))
+
+
+def extract_sources(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = True) -> DataFrame:
+    """One row for the HTML of a page and one for each inline script.
+
+    The passive scan counts a script with an empty ``src`` as inline, the full
+    scan counts only scripts without the attribute.  The HTML still holds the
+    inline scripts, so both report a match: that is intended.
+    """
+    page_row = _page_row(mode, add_doctype)
+    scripts = let(_script_tags(F.col("html")), _inline_scripts(mode))
     rows = F.concat(page_row, F.coalesce(scripts, F.slice(page_row, 1, 0)))
-    return pages.select("page_id", "url", F.inline(rows))
+    return spread(pages, ["page_id"]).select("page_id", "url", F.inline(rows))
+
+
+def parse_pages(pages: DataFrame, mode: str = PASSIVE, add_doctype: bool = True) -> DataFrame:
+    """Everything a job needs of its pages, in one walk over each.
+
+    Rows are the sources as ``extract_sources`` gives them, of kind ``ref`` the
+    absolute URLs of external scripts as ``script_refs`` does (in ``content``), and of kind
+    ``next`` the build data of the page (full mode only).
+    """
+    def refs(els: Column) -> Column:
+        found = F.filter(F.transform(_scripts_of(els), lambda t: _src(t["attrs"])), lambda s: F.coalesce(s, F.lit("")) != "")
+        return let(_base_of(els), lambda base: F.transform(found, lambda src, i: F.struct(
+            base.alias("source"), F.lit("ref").alias("kind"), i.alias("source_ord"), src.alias("content"))))
+
+    def parsed(els: Column) -> Column:
+        return F.concat(_inline_scripts(mode)(_scripts_of(els)), refs(els))
+
+    page_row = _page_row(mode, add_doctype)
+    none = F.slice(page_row, 1, 0)
+    data = F.array(F.struct(
+        F.lit(None).cast("string").alias("source"), F.lit("next").alias("kind"), F.lit(0).alias("source_ord"),
+        next_data(F.col("html")).alias("content"))) if mode == FULL else none
+    rows = F.concat(page_row, F.coalesce(let(_elements(F.col("html")), parsed), none), F.when(has_next_data(F.col("html")), data).otherwise(none))
+    found = spread(pages, ["page_id"]).select("page_id", "url", F.inline(rows))
+    is_ref = F.col("kind") == "ref"
+    target = resolve_url(F.col("content"), _based(F.col("source"), F.col("url")), keep_fragment=True)
+    return found.withColumn("content", F.when(is_ref, target).otherwise(F.col("content"))).withColumn(
+        "source", F.when(~is_ref, F.col("source"))).where(~is_ref | F.col("content").isNotNull())
+
+
+# The element in which a page carries its build data.
+_NEXT_TAG = '<script id="__NEXT_DATA__"'
+_NEXT_DATA = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>'
+
+
+def has_next_data(html: Column) -> Column:
+    return F.coalesce(html.contains(_NEXT_TAG), F.lit(False))
+
+
+def next_data(html: Column) -> Column:
+    return F.regexp_extract(html, _NEXT_DATA, 1)
 
 
 def script_refs(pages: DataFrame) -> DataFrame:
@@ -179,9 +244,12 @@ def latest_response(fetched: DataFrame, method: str = "GET") -> DataFrame:
     """
     own = fetched.where(F.upper("method") == method) if "method" in fetched.columns else fetched
     times = [F.col(c) for c in ("fetched_at", "ts") if c in fetched.columns][:1]
-    place = F.struct(usable_response(F.col("status"), F.col("body")).alias("usable"), *times, "status", "body")
+    place = [usable_response(F.col("status"), F.col("body")).alias("_usable"), *times, F.col("status"), F.col("body")]
+    # One struct is both the order and the row, so that a body is moved once.
+    named = ["_usable", *[c for c in ("fetched_at", "ts") if c in fetched.columns][:1], "status", "body"]
     rest = [c for c in fetched.columns if c != "url"]
-    return own.groupBy("url").agg(F.max_by(F.struct(*rest), place).alias("_row")).select("url", "_row.*")
+    newest = F.max(F.struct(*place, *[F.col(c) for c in rest if c not in named])).alias("_row")
+    return own.groupBy("url").agg(newest).select("url", *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def attach_scripts(sources: DataFrame, refs: DataFrame, fetched: DataFrame) -> DataFrame:
