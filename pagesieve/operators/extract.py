@@ -170,7 +170,11 @@ def endpoints(sources: DataFrame, rule_ids: Sequence[str] | None = None) -> Data
 
 def source_maps(sources: DataFrame) -> DataFrame:
     """Source map references, with the absolute URL where the source has one."""
-    found = occurrences(sources, R.category_rules(R.SOURCE_MAPS))
+    return with_map_urls(occurrences(sources, R.category_rules(R.SOURCE_MAPS)))
+
+
+def with_map_urls(found: DataFrame) -> DataFrame:
+    """Source map findings with the URL of the map."""
     absolute = resolve_url(F.col("display_key"), F.col("source"))
     return found.withColumn("map_url", F.coalesce(
         F.when(F.col("source").startswith("http"), absolute), F.col("display_key")))

@@ -16,10 +16,11 @@ from pagesieve.operators import extract as E
 from pagesieve.operators import match as M
 from pagesieve.operators import store as S
 from pagesieve.plans import oracle as O
-from pagesieve.plans.scans import materialize
+from pagesieve.plans.scans import full_scan, passive_scan, rebuild
 from pagesieve.session import shared_dir
 from pagesieve.sources import pages as P
 from pagesieve.sources import sinks as K
+from pagesieve.sources.addressed import address, materialize
 from pagesieve.sources.corpora import corpus
 from pagesieve.sources.layout import spread
 from pagesieve.streaming import jobs
@@ -423,6 +424,81 @@ def _(spark, folder):
     return E.occurrences(_page_sources(spark, folder), R.full_rules())
 
 
+# -- jobs ---------------------------------------------------------------------
+
+def _job_sources(mode: str, pages: str) -> str:
+    return f"""{O.sources(pages, mode)}
+    UNION ALL SELECT r.page_id, r.url, script_url, 'external', ref_ord + {1 << 20}, body
+    FROM ({O.script_refs(pages)}) r JOIN ({O.responses('job_fetched')}) f ON f.url = script_url
+    WHERE status BETWEEN 200 AND 299 AND body <> ''"""
+
+
+_JOB_PAGES = O.corpus("job_pages")
+_JOB_WANTED = f"SELECT * FROM ({_JOB_PAGES}) WHERE {_SCANNABLE}"
+_JOB_LISTED = f"WITH listed AS MATERIALIZED ({_job_sources('passive', _JOB_WANTED)})"
+_JOB_FOUND = O.secret_findings("SELECT * FROM listed", R.strict_rules())
+
+
+@query("job_passive_scan", f'{_JOB_LISTED} SELECT page_id, id, secret, source, is_source_too_large, line, "column" FROM ({_JOB_FOUND})')
+def _(spark, folder):
+    job = passive_scan(corpus(spark, folder, "job_pages"), corpus(spark, folder, "job_fetched"))
+    return job.findings.select("page_id", "id", "secret", "source", "is_source_too_large", "line", "column")
+
+
+@query("job_passive_pages", f"""
+    {_JOB_LISTED}, found AS MATERIALIZED (SELECT page_id, source FROM ({_JOB_FOUND}))
+    SELECT page_id, url, n_findings, CASE WHEN n_findings > 0 THEN 'found' ELSE 'clean' END AS status, coalesce(n_sources, 0) AS n_sources,
+        coalesce(n_chars, 0) AS n_chars
+    FROM (SELECT p.page_id, p.url, count(f.source) AS n_findings FROM ({_JOB_WANTED}) p LEFT JOIN found f USING (page_id) GROUP BY ALL)
+    LEFT JOIN (SELECT page_id, count(*) AS n_sources, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM listed
+        WHERE CASE WHEN kind = 'external' THEN (page_id, source) IN (SELECT (page_id, source) FROM found)
+            ELSE page_id IN (SELECT page_id FROM found) END GROUP BY page_id) USING (page_id)""")
+def _(spark, folder):
+    job = passive_scan(corpus(spark, folder, "job_pages"), corpus(spark, folder, "job_fetched"))
+    kept = job.retained.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("content")).alias("n_chars"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sources", "n_chars")]
+    return job.status.join(kept, "page_id", "left").select("page_id", "url", "n_findings", "status", *counts)
+
+
+_JOB_DECODED = f"""SELECT * REPLACE (regexp_replace(regexp_replace(replace(replace(replace(content, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+    '&amp;?', '&', 'g'), '(?:\\\\u0067|%67|&#103;)hp_', 'ghp_', 'g') AS content) FROM ({_job_sources("full", _JOB_PAGES)}) WHERE content <> ''"""
+_JOB_MANIFESTS = f"""SELECT page_id, 'https://cdn.example.com/_next/static/b' || (page_id % 10) || '/_buildManifest.js' AS manifest_url
+    FROM pages WHERE page_id % 6 = 1"""
+_JOB_ROUTES = f"""SELECT DISTINCT manifest_url, unnest(regexp_extract_all(body, '"(/[^"]*)"[ ]*:', 1)) AS route
+    FROM ({O.responses('job_fetched')}) f JOIN ({_JOB_MANIFESTS}) m ON f.url = m.manifest_url WHERE status = 200"""
+
+
+@query("job_full_scan", f"""
+    WITH decoded AS MATERIALIZED ({_JOB_DECODED}),
+    found AS MATERIALIZED (SELECT page_id, category, display_key, source, rule_id, "index", secret_length, line, "column"
+        FROM ({O.occurrences("SELECT * FROM decoded", R.full_rules())}))
+    SELECT * FROM found WHERE category <> '{R.NPM_PACKAGES}'
+    UNION ALL SELECT * REPLACE ('Dependency Confusion' AS category) FROM found WHERE category = '{R.NPM_PACKAGES}'
+        AND display_key IN (SELECT package FROM ({O.corpus('job_registry')}) WHERE status = 404)
+    UNION ALL SELECT DISTINCT r.page_id, 'Source Maps', f.url, 'Heuristic (Guessed)', 'guessed-source-map', 0, 0, 0, 0
+        FROM ({O.script_refs(_JOB_PAGES)}) r JOIN ({O.responses('job_fetched', 'HEAD')}) f ON f.url = script_url || '.map'
+    UNION ALL SELECT DISTINCT m.page_id, 'Endpoints', route, manifest_url, NULL, 0, NULL, 1, 1
+        FROM ({_JOB_MANIFESTS}) m JOIN ({_JOB_ROUTES}) r USING (manifest_url)
+        WHERE NOT starts_with(route, '/_') AND NOT contains(route, '[...')
+            AND NOT EXISTS (SELECT 1 FROM found e WHERE e.category = 'Endpoints' AND e.page_id = m.page_id AND e.display_key = route)""")
+def _(spark, folder):
+    job = full_scan(corpus(spark, folder, "job_pages"), corpus(spark, folder, "job_fetched"), corpus(spark, folder, "job_registry"),
+                    guess_source_maps=True)
+    return job.occurrences.select("page_id", "category", "display_key", "source", "rule_id", "index", "secret_length", "line", "column")
+
+
+@query("job_rebuild", f"""
+    WITH maps AS (SELECT DISTINCT script_url || '.map' AS map_url, page_id % 7 AS k FROM ({O.script_refs(_JOB_PAGES)})
+        WHERE contains(script_url, '/static/app') AND page_id % 7 NOT IN (3, 5))
+    SELECT map_url, 'src/a.js' AS source_path, 'code ' || k AS content, 'embedded' AS origin FROM maps WHERE k < 3
+    UNION ALL SELECT map_url, 'rebuild.error.log', 'Error: the source map was not fetched', 'error' FROM maps WHERE k >= 3""")
+def _(spark, folder):
+    fetched = corpus(spark, folder, "job_fetched")
+    held = address(corpus(spark, folder, "job_pages"), fetched, P.FULL)
+    named = E.with_map_urls(E.addressed_occurrences(held, R.category_rules(R.SOURCE_MAPS)))
+    return rebuild(named.select("map_url"), fetched).files
+
+
 # -- enrichment ---------------------------------------------------------------
 
 def _npm(spark: SparkSession, folder: str) -> DataFrame:

@@ -141,6 +141,30 @@ CORPORA = {
         FROM <orders>""",
 }
 
+# A site for whole jobs: pages with a secret hidden by some encoding and build data, and what was fetched for them.
+CORPORA["job_pages"] = f"""
+    SELECT page_id, url, html || '<script>var k = "' || CASE page_id % 4 WHEN 0 THEN {_BS} || 'u0067' WHEN 1 THEN '%67'
+            WHEN 2 THEN '&#103;' ELSE 'g' END || 'hp_' || substr(md5({_key('page_id')}) || md5({_key('page_id')} || 'x'), 1, 36) || '";</script>'
+        || CASE page_id % 6 WHEN 1 THEN '<script id="__NEXT_DATA__" type="application/json">{{"buildId":"b' || (page_id % 10)
+            || '","assetPrefix":"https://cdn.example.com/"}}</script>' ELSE '' END AS html
+    FROM ({CORPORA['site_pages']})"""
+_SITES = """(SELECT DISTINCT regexp_replace(url, '^(https?://[^/?#]*).*$', '%s1') AS site, page_id % 7 AS k FROM <pages>)"""
+CORPORA["job_fetched"] = f"""
+    WITH own AS (
+        SELECT site || '/static/app' || k || '.js' AS url, 'GET' AS method, CASE k WHEN 3 THEN 404 ELSE 200 END AS status,
+            'text/javascript' AS content_type, CAST(NULL AS BIGINT) AS content_length,
+            CASE k WHEN 5 THEN '' ELSE 'load("/chunk/' || k || '.js"); t = "%67hp_' || substr(md5({_key('k')}) || md5({_key('k')} || 'z'), 1, 36)
+                || '"; import a from "@corp' || k || '/kit";' || {_NL} || '//# sourceMappingURL=app' || k || '.js.map' END AS body
+        FROM {_SITES}
+        UNION ALL SELECT site || '/static/app' || k || '.js.map', 'GET', 200, 'application/json', CAST(1000 AS BIGINT),
+            '{{"version":3,"sources":["src/a.js","src/lost.js"],"sourcesContent":["code ' || k || '",""]}}'
+        FROM {_SITES} WHERE k < 3)
+    SELECT * FROM own UNION ALL SELECT * FROM own
+    UNION ALL SELECT url, 'HEAD', status, content_type, content_length, '' FROM own
+    UNION ALL SELECT url, method, status, content_type, content_length, body FROM ({CORPORA['fetched_manifests']})"""
+CORPORA["job_registry"] = """
+    SELECT DISTINCT '@corp' || (page_id % 7) || '/kit' AS package, CASE WHEN page_id % 7 IN (0, 2, 3) THEN 404 ELSE 200 END AS status FROM <pages>"""
+
 
 def corpus_sql(name: str, table: str = "{}", group: str = "\\") -> str:
     """SQL of a corpus; ``table`` formats table names, ``group`` begins a group reference."""
