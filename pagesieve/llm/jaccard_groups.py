@@ -46,6 +46,8 @@ COUNTERS = 1 << 22
 PARTS = 64
 #: Classes of one centre whose tokens are united and that are compared together.
 CHUNK_CLASSES = 32
+#: Rows of a table of tokens alone that may be sent to every executor: 32 MB.
+BROADCAST_TOKENS = 1 << 22
 #: Classes that stand for the leading group of a large home in a turn, and the turns.
 STANDING, TURNS = 16, 2
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(HASHES)]
@@ -191,7 +193,7 @@ def signatures(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(sid, grp, n, home, tokens): the rarest tokens of each of the ``wanted`` classes, of which similar sets share one."""
+    """(sid, grp, tokens): the rarest tokens of each of the ``wanted`` classes, of which similar sets share one."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +210,9 @@ def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int
                 sets.append(tokens[first].view(np.int64))
             own = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(own.column(k) for k in ("sid", "grp", "n", "home")), pa.array(sets, pa.list_(pa.int64()))], ["sid", "grp", "n", "home", "tokens"])
+                [own.column("sid"), own.column("grp"), pa.array(sets, pa.list_(pa.int64()))], ["sid", "grp", "tokens"])
 
-    texts = _of(docs, wanted, "grp", "n", "home")
-    return materialize(texts.mapInArrow(read, "sid long, grp long, n long, home long, tokens array<long>"), "prefixes")
+    return materialize(_of(docs, wanted, "grp").mapInArrow(read, "sid long, grp long, tokens array<long>"), "prefixes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -256,6 +257,18 @@ def star_pairs(central: DataFrame, percent: int = PERCENT) -> DataFrame:
     return central.where("a <> b").where(_within("n", "m", percent)).select("a", "b")
 
 
+def shared_cells(found: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The cells (sid, token, pos, n, grp, home) of prefixes ``found`` whose tokens classes of several groups hold.
+
+    Nearly all cells go here, so they are moved with their class and place only.
+    """
+    cells = found.select("sid", "grp", F.posexplode("tokens").alias("pos", "token"))
+    shared = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
+    shared = bounded(materialize(shared, "tokens"), BROADCAST_TOKENS)
+    kept = materialize(cells.select("sid", "pos", "token").join(shared, "token", "left_semi"), "cells")
+    return kept.join(bounded(grouped.select("sid", "grp", "n", "home")), "sid")
+
+
 def live_cells(cells: DataFrame, turns: int = 2, percent: int = PERCENT) -> DataFrame:
     """The ``cells`` (sid, token, pos, n, grp, ...) through which a class can be similar to one of another group.
 
@@ -265,10 +278,8 @@ def live_cells(cells: DataFrame, turns: int = 2, percent: int = PERCENT) -> Data
     token, in the class's own range of sizes or a neighbouring one, that is small enough.
     """
     whole = 100 + percent
-    near = cells.groupBy("token").agg(F.min("n").alias("least"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    near = bounded(materialize(near.select("token", "least"), "tokens"))
     reaches = f"{whole} * (n - pos) >= {percent} * (n + least)"
-    live = materialize(cells.join(near, "token").where(reaches).drop("least"), "cells")
+    live = cells
     for _ in range(turns):
         ranged = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
         own = ranged.groupBy("token", "size").agg(F.min("n").alias("least"), F.min("grp").alias("low"), F.max("grp").alias("high"))
@@ -377,8 +388,7 @@ def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(a, b): groups that similar classes link, by the token-group matrix over ``grouped`` (sid, grp, one, n, home)."""
-    cells = prefixes(docs, grouped, ranks, percent).select("sid", "grp", "n", "home", F.posexplode("tokens").alias("pos", "token"))
-    cells = live_cells(cells, percent=percent)
+    cells = live_cells(shared_cells(prefixes(docs, grouped, ranks, percent), grouped), 3, percent)
     found = []
     for turn in range(TURNS):
         pairs = materialize(standing_pairs(cells.select("sid", "grp", "n", "home").distinct(), turn, percent), "standing")
