@@ -286,3 +286,42 @@ def test_findings_table_keeps_no_secret(spark, tmp_path):
     K.write_findings(rows, f"{tmp_path}/f")
     stored = spark.read.parquet(f"{tmp_path}/f")
     assert "secret" not in stored.columns and stored.first().secret_hint == "ssss..."
+
+
+def test_jobs_walk_their_pages_once(spark, tmp_path, monkeypatch):
+    """What a job returns reads no page again but for its id and URL, and looks for no tag."""
+    from pagesieve.sources import addressed
+
+    pages, answers = corpus(spark)
+    pages.write.parquet(f"{tmp_path}/pages")
+    pages, walks = spark.read.parquet(f"{tmp_path}/pages"), []
+    parse = addressed.parse_pages
+    monkeypatch.setattr(addressed, "parse_pages", lambda *a, **k: walks.append(1) or parse(*a, **k))
+    passive = passive_scan(pages, answers)
+    full = full_scan(pages, answers, spark.createDataFrame([("@corp/kit", 404)], "package string, status int"), guess_source_maps=True)
+    assert len(walks) == 2
+    for frame in (passive.findings, passive.sources, passive.status, passive.retained, full.sources, full.occurrences, full.reports):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "html:string" not in plan and "<script(?=" not in plan
+
+
+def test_equal_scripts_are_kept_and_scanned_once(spark):
+    from pagesieve.sources.addressed import address
+
+    pages, answers = corpus(spark, 5)
+    again = answers.unionByName(answers.withColumn("url", F.concat(F.lit("https://e.com/js/../js2/"), F.substring_index("url", "/", -1))))
+    held = address(pages, again)
+    assert held.texts.count() == held.texts.select("content").distinct().count()
+    assert held.places.count() == 5 * 4
+    rows = held.sources().select("page_id", "source", "content", "n_bytes").collect()
+    plain = P.size_gate(P.attach_scripts(P.extract_sources(pages), P.script_refs(pages), answers))
+    assert sorted(map(str, rows)) == sorted(map(str, plain.select("page_id", "source", "content", "n_bytes").collect()))
+
+
+def test_a_newer_probe_withdraws_a_guess(spark):
+    rows = [("a", "HEAD", 200, 1), ("a", "HEAD", 404, 2), ("b", "HEAD", 404, 1), ("b", "HEAD", 200, 2), ("c", "GET", 200, 5), ("c", "HEAD", 404, 1), ("d", "GET", 200, 1)]
+    answers = spark.createDataFrame(
+        [(u, m, s, "application/json", 100, "", t) for u, m, s, t in rows],
+        "url string, method string, status int, content_type string, content_length long, body string, fetched_at long")
+    guesses = answers.select(F.lit(1).alias("page_id"), F.col("url").alias("map_url")).distinct()
+    assert {r.map_url for r in J.validate_maps(guesses, answers).collect()} == {"b", "d"}
