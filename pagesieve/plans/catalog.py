@@ -809,6 +809,19 @@ def _(spark, folder):
     return jobs.current_results(spark, f"{root}/results").select("key", "url", "status", "n_findings")
 
 
+@query("t1_t4_job_into_store", f"""
+    {_JOB_LISTED}, found AS MATERIALIZED (SELECT page_id FROM ({_JOB_FOUND}))
+    SELECT 'passive_scan|' || url AS key, url, 'complete' AS status, (SELECT count(*) FROM found f WHERE f.page_id = p.page_id) AS n_findings
+    FROM ({_JOB_WANTED}) p""")
+def _(spark, folder):
+    root = shared_dir(spark, "store")
+    pages = _stream_of(spark, corpus(spark, folder, "job_pages"), "pages")
+    run = jobs.run_scan(
+        pages, f"{root}/findings", f"{root}/results", f"{root}/checkpoint", fetched=corpus(spark, folder, "job_fetched"), max_bytes=None)
+    run.awaitTermination()
+    return jobs.current_results(spark, f"{root}/results").select("key", "url", "status", "n_findings")
+
+
 @query("t2_debounce_stream", f"""
     SELECT event_id, tab_id FROM (
         SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY tab_id ORDER BY ts, event_id) AS follower FROM ({_EVENTS}))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagesieve.operators.extract import sanitize_findings, secret_findings
+from pagesieve.operators.extract import addressed_findings, sanitize_findings, secret_findings
 from pagesieve.operators.store import DEBOUNCE_MS, passive_key, upsert_results
 from pagesieve.rules import strict_rules
 from pagesieve.schemas import PAGES
+from pagesieve.sources.addressed import address
 from pagesieve.sources.pages import MAX_CONTENT_BYTES, extract_sources, scannable, size_gate
 from pagesieve.sources.sinks import safe_findings
 
@@ -75,9 +76,12 @@ def result_rows(findings: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def run_scan(pages: DataFrame, findings_path: str, results_path: str, checkpoint: str,
-             excluded_rule_ids: Sequence[str] = (), once: bool = True) -> StreamingQuery:
-    """Scan a stream of pages into a findings table and a log of results.
+             excluded_rule_ids: Sequence[str] = (), once: bool = True, exclusions: Sequence[str] = (),
+             fetched: DataFrame | None = None, max_bytes: int | None = MAX_CONTENT_BYTES) -> StreamingQuery:
+    """Scan a stream of pages, and the scripts ``fetched`` for them, into a findings table and a log of results.
 
+    A batch is a passive scan of its pages: each page is walked once and each
+    different script of the batch scanned once, whole up to ``max_bytes``.
     Each batch overwrites its own ``run`` and ``batch_id`` folder, so a batch that
     runs again after a failure replaces what it wrote and adds nothing twice.  The
     run is named by the checkpoint: batches of another checkpoint stay.  Findings
@@ -86,9 +90,10 @@ def run_scan(pages: DataFrame, findings_path: str, results_path: str, checkpoint
     run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = scannable(batch)
+        wanted = scannable(batch, exclusions)
         target = f"run={run}/batch_id={batch_id}"
-        found = safe_findings(sanitize_findings(scan_stream(wanted, excluded_rule_ids=excluded_rule_ids)))
+        held = address(wanted, fetched, max_bytes=max_bytes)
+        found = safe_findings(sanitize_findings(addressed_findings(held, strict_rules(excluded_rule_ids))))
         found.write.mode("overwrite").parquet(f"{findings_path}/{target}")
         # The findings just written are read back instead of scanned for again.
         stored = batch.sparkSession.read.schema(found.schema).parquet(f"{findings_path}/{target}")
