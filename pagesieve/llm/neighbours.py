@@ -8,8 +8,8 @@ one, in the order in which they are expected to succeed: from the squared
 distances to the cell walls, sorted, and the order of sets of walls that is
 expected for any query. What all tables hold in visited buckets is ranked exactly.
 
-Buckets are dealt into regions of bounded size; a region's vectors and the
-queries that visit it meet in one task, and only the best of each leave it.
+Buckets are dealt into regions; a region's vectors and the queries that visit it
+meet in blocks of bounded size of both, and only the best of each leave a block.
 Equal vectors are one entry with their smallest ids, of which more could not
 appear in any answer.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from pagesieve.llm.common import materialize
 
-#: Vectors that meet in one task.
+#: Vectors and queries that meet in one task: at most about twice as many of each.
 REGION_VECTORS = 8192
+REGION_QUERIES = 16_384
+#: Vectors, and their bytes, from which the number of visits is fitted; queries among them; the share of neighbours to be met.
+SAMPLE_VECTORS, SAMPLE_BYTES, SAMPLE_QUERIES, AIM = 8192, 32 << 20, 400, 0.97
 
 
 @dataclass(frozen=True)
@@ -114,6 +117,31 @@ def lifted_queries(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)
 
 
+def fitted(sample: np.ndarray, n: int, k: int, params: Tables) -> Tables:
+    """``params`` with no more visits than the nearest of a sample of ``n`` vectors need.
+
+    A query's share of its k nearest among the sample stands for all k: they are
+    as far away as those, or farther where the share is less than one vector. Where
+    vectors lie in clusters few visits do; where they are random all are kept.
+    """
+    few = min(len(sample) - 1, max(1, -(-k * len(sample) // n)))
+    if few < 1:
+        return params
+    asked = np.unique(np.linspace(0, len(sample) - 1, min(SAMPLE_QUERIES, len(sample))).astype(int))
+    scores = sample[asked] @ sample.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+    above, own = lifted(sample, float(np.linalg.norm(sample, axis=1).max())), lifted_queries(sample[asked])
+    first = np.full(best.shape, params.probes)
+    for table in range(params.tables):
+        keys = bucket_keys(above, table, params)[best]
+        for row, wanted, probes in zip(first, keys, probed_keys(own, table, params)):
+            met = probes[None, :] == wanted[:, None]
+            np.minimum(row, np.where(met.any(axis=1), met.argmax(axis=1), params.probes), out=row)
+    needed = int(np.sort(first, axis=None)[int(np.ceil(AIM * first.size)) - 1]) + 1
+    return replace(params, probes=min(params.probes, needed))
+
+
 def usable(vectors: DataFrame, column: str) -> DataFrame:
     """(vec_id, key, vec, norm) of the vectors that take part; key is the same for equal vectors."""
 
@@ -147,6 +175,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
+def inner_products(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of each row with the query; equal rows have equal ones wherever they stand, unlike in a matrix product."""
+    return (matrix * query).sum(axis=1)
+
+
+def _near_best(rough: np.ndarray, k: int, longest: float) -> np.ndarray:
+    """Places that may be among the k best, given scores that are off by rounding; ``longest`` bounds the norms' product."""
+    if len(rough) <= 4 * k:
+        return np.arange(len(rough))
+    least = np.partition(rough, len(rough) - k)[len(rough) - k]
+    return np.flatnonzero(rough >= least - longest * 1e-12)
+
+
 _FOUND = pa.schema([("q_key", pa.binary()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))])
 _FOUND_DDL = "q_key binary, scores array<double>, ids array<long>"
 
@@ -163,6 +204,7 @@ def _meet(k: int, everything: bool):
         members = [vectors["members"][int(i)].as_py() for i in order]
         single = np.array([m[0] for m in members])
         copies = np.flatnonzero(np.array([len(m) for m in members]) > 1)
+        longest = float(np.sqrt((matrix ** 2).sum(axis=1).max()))
         out = []
         for q_key, own, probes in zip(queries["q_key"], _matrix(queries["vec"].combine_chunks()), queries["probes"]):
             if everything:
@@ -174,10 +216,11 @@ def _meet(k: int, everything: bool):
                 if not spans:
                     continue
                 at = np.unique(np.concatenate(spans))
-            scores, ids = matrix[at] @ own, single[at]
+            at = at[_near_best(matrix[at] @ own, k, longest * float(np.linalg.norm(own)))]
+            scores, ids = inner_products(matrix[at], own), single[at]
             more = np.intersect1d(at, copies) if len(copies) else copies
             if len(more):
-                again = matrix[more] @ own
+                again = scores[np.searchsorted(at, more)]
                 scores = np.concatenate([scores, *(np.full(len(members[i]) - 1, s) for i, s in zip(more.tolist(), again))])
                 ids = np.concatenate([ids, *(members[i][1:] for i in more.tolist())])
             scores, ids = _best(scores, ids, k)
@@ -243,12 +286,25 @@ def _search(entries: DataFrame, queries: DataFrame, largest: float, params: Tabl
 
     placed = materialize(entries.select("key", "vec", "members").mapInArrow(
         place, "tbl int, region int, bucket long, key binary, vec array<double>, members array<long>"), "placed")
-    visits = queries.select("q_key", "vec").mapInArrow(visit, "tbl int, region int, q_key binary, vec array<double>, probes array<long>")
-    # a region that came out large is met in several parts, each with all its queries
-    parts = placed.groupBy("tbl", "region").agg(F.ceil(F.count(F.lit(1)) / (2 * REGION_VECTORS)).cast("int").alias("parts"))
-    left = placed.join(parts, ["tbl", "region"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts", "key")
-    right = visits.join(parts, ["tbl", "region"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keys = ["tbl", "region", "part"]
+    visits = materialize(queries.select("q_key", "vec").mapInArrow(
+        visit, "tbl int, region int, q_key binary, vec array<double>, probes array<long>"), "visits")
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("tbl", "region").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).cast("int").alias(name))
+
+    # a region that came out large, or is visited by many, is met in several blocks of vectors and of queries
+    parts = blocks(placed, REGION_VECTORS, "parts").join(blocks(visits, REGION_QUERIES, "turns"), ["tbl", "region"])
+
+    def block(key: str, of: str):
+        return F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    left = placed.join(parts, ["tbl", "region"]).withColumn("part", block("key", "parts")).withColumn("turn", every("turns"))
+    right = visits.join(parts, ["tbl", "region"]).withColumn("turn", block("q_key", "turns")).withColumn("part", every("parts"))
+    left, right = left.drop("parts", "turns", "key"), right.drop("parts", "turns")
+    keys = ["tbl", "region", "part", "turn"]
     met = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_meet(k, everything), _FOUND_DDL)
     return met.groupBy("q_key").applyInArrow(_merge(k), _FOUND_DDL)
 
@@ -275,7 +331,10 @@ def nearest(
         rows.select("vec_id", "key", "vec").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
         .groupBy("key").agg(F.any_value("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("members")), "entries")
     n = entries.count()
-    params = params or Tables.for_rows(n)
+    if params is None:
+        few = max(256, min(SAMPLE_VECTORS, SAMPLE_BYTES // (8 * size["size"])))
+        sample = entries.orderBy(F.xxhash64("key"), "key").limit(few).select("vec").toArrow()
+        params = fitted(_matrix(sample["vec"].combine_chunks()), n, k, Tables.for_rows(n))
     regions = -(-n // REGION_VECTORS)
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("key").alias("q_key")).distinct()
     queries = materialize(

@@ -50,6 +50,70 @@ def test_odd_vectors_copies_and_ties(spark):
     assert all(len(v) == 20 for v in found.values())
 
 
+def test_equal_vectors_of_many_digits_tie(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 64)))]
+    order = rng.permutation(400).tolist()
+    rows = [(order[i], rows[i % 200][1]) for i in range(400)]  # two of each, at any distance in id
+    found, vectors = by_query(N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), dict(rows)
+    for answers in found.values():
+        assert sorted(answers, key=lambda a: (-a[1], a[0])) == answers
+        of = {}
+        for i, score in answers:
+            of.setdefault(tuple(vectors[i]), set()).add(score)
+        assert all(len(scores) == 1 for scores in of.values())
+
+
+def test_inner_products_do_not_depend_on_place():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 64, 65):
+        rows = rng.normal(size=(50, n))
+        doubled = np.concatenate([rows[:7], rows, rows])
+        query = rng.normal(size=n)
+        scores = N.inner_products(doubled, query)
+        assert (scores[7:57] == scores[57:]).all() and (scores[:7] == scores[7:14]).all()
+        assert scores[7] == N.inner_products(rows[:1], query)[0]
+
+
+def test_near_best_keeps_all_that_may_tie():
+    rough = np.concatenate([np.full(50, 1.0), np.full(50, 1.0 - 1e-15), np.zeros(500)])
+    assert N._near_best(rough, 10, 1.0).tolist() == list(range(100))
+
+
+@pytest.mark.parametrize("vectors, queries", [(8, 4), (8, 1 << 14), (1 << 13, 2)])
+def test_blocks_of_vectors_and_queries_find_the_same(spark, monkeypatch, vectors, queries):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    everything = N.Tables(hashes=2, probes=9, width=50.0)
+    whole = by_query(N.nearest(table, every=5, params=everything).collect())
+    monkeypatch.setattr(N, "REGION_VECTORS", vectors)
+    monkeypatch.setattr(N, "REGION_QUERIES", queries)
+    assert by_query(N.nearest(table, every=5, params=everything).collect()) == whole
+    exact = plain(rows, every=5)
+    assert {q: [i for i, _ in a] for q, a in whole.items()} == {q: [i for i, _ in a] for q, a in exact.items()}
+
+
+def test_recall_where_candidates_are_few():
+    """50,000 vectors in clusters: a quarter of them at most is looked at, nine tenths of the nearest are found."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 32))
+    vectors = (centres[rng.integers(0, 400, 50_000)] + 0.25 * rng.normal(size=(50_000, 32))).astype(np.float64)
+    params = N.fitted(vectors[:8192], len(vectors), 20, N.Tables.for_rows(len(vectors)))
+    asked = np.arange(0, len(vectors), 2500)
+    above, own = N.lifted(vectors, np.linalg.norm(vectors, axis=1).max()), N.lifted_queries(vectors[asked])
+    seen = np.zeros((len(asked), len(vectors)), bool)
+    for table in range(params.tables):
+        keys = N.bucket_keys(above, table, params)
+        for row, probes in zip(seen, N.probed_keys(own, table, params)):
+            row |= np.isin(keys, probes)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    assert np.take_along_axis(seen, best, axis=1).mean() >= 0.9
+    assert seen.mean() <= 0.25
+
+
 def test_few_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (3, [1.0])], "vec_id long, embedding array<float>")
     assert {q: [i for i, _ in v] for q, v in by_query(N.nearest(table).collect()).items()} == {0: [20, 1], 20: [0, 1]}
