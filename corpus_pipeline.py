@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.llm import decontamination, jaccard_groups, line_dedup, packing, quality
-from pagesieve.llm.common import materialize
+from pagesieve.llm.common import free_name, materialize
 from pagesieve.llm.queries import tokenizer_path
 
 #: SQL can neither express the classifier nor the tokenizer; tests hold run() to a brute-force version.
@@ -25,8 +25,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of three-line windows are cut out; a document of which nothing is left goes."""
-    cut = line_dedup.dedup_lines(docs).where("_removed_lines = 0 OR trim(text) <> ''")
-    length = F.when(F.col("_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    removed = F.col(free_name("_removed_lines", docs.columns))
+    cut = line_dedup.dedup_lines(docs).where((removed == 0) | (F.trim("text") != ""))
+    length = F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*docs.columns)
 
 
