@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from pagesieve.llm.common import _mix, BLOCK_BYTES, hash_spans, word_spans
+from pagesieve.llm.common import _mix, BLOCK_BYTES, free_name, hash_spans, word_spans
 
-#: Documents the scorer learns from, those of smallest hash of doc_id and text.
-SAMPLE_DOCS = 10_000
+#: Documents the scorer learns from, those of smallest hash of doc_id and text among texts of at most so many bytes.
+SAMPLE_DOCS, SAMPLE_BYTES = 10_000, 32 << 10
 FEATURES = 1 << 12
 GOOD, BAD, NONE = 1, 0, 2
 THRESHOLD = 0.5
@@ -240,6 +240,8 @@ def vote_code(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:
     """Learn from all rows of ``docs`` (doc_id, text), the scorer from a sample of them.
 
+    The votes of every text count. The sample is ``sample`` texts of at most
+    ``SAMPLE_BYTES`` bytes, so what comes to the driver is bounded by bytes.
     A table with no rows, or on which all labellers abstain, gives a scorer that
     accepts what has words.
     """
@@ -247,8 +249,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:
     posterior = expectation_maximisation({r.code: r["count"] for r in counted})
     key = F.xxhash64("doc_id", "text")
     # by the hash alone first, so that texts are only moved for the sample
-    keys = docs.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
-    rows = docs.where(key <= F.lit(keys)).limit(sample).select("text").collect() if keys is not None else []
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
+    keys = short.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+    rows = short.where(key <= F.lit(keys)).limit(sample).select("text").collect() if keys is not None else []
     texts = [r.text for r in rows if r.text and r.text.split()]
     soft = np.array([posterior.get(votes(t), 0.5) for t in texts])
     return QualityModel(posterior, train(texts, soft))
@@ -257,11 +260,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:
 def judge(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
     """``docs`` (doc_id, text and more) with ``_score``, the chance of good quality.
 
-    All rows and columns stay; a null or empty text, or one of white space, scores
-    0. Equal texts score equally.
+    All rows and columns stay, a column ``_score`` too: the new one then takes more
+    underscores. A null or empty text, or one of white space, scores 0. Equal texts
+    score equally.
     """
     model = model or fit(docs)
-    return docs.withColumn("_score", model.score(F.col("text")))
+    return docs.withColumn(free_name("_score", docs.columns), model.score(F.col("text")))
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
