@@ -23,6 +23,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written side for broadcast if its row count is within the bound; beyond it Spark shuffles the join."""
     return F.broadcast(df) if df.count() <= rows else df

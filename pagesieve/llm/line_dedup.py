@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import materialize
+from pagesieve.llm.common import free_name, materialize
 
 WINDOW_LINES = 3
 
@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     ``_removed_lines``. Lines end at a newline. Texts of fewer lines have no window
     and stay, as null and empty texts do; windows of blank lines don't count. Rows
     with equal doc_id and text are one document: all are treated alike. A null
-    doc_id sorts first. Where all lines go, the text is empty.
+    doc_id sorts first. Where all lines go, the text is empty. Where ``docs`` has
+    columns of those two names they stay, and the counts take more underscores.
     """
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_id"), _text_id(F.col("text")).alias("k_text"))
     starts = repeats(docs, lines).select(F.col("doc_id").alias("s_id"), F.col("text_id").alias("s_text"), "starts")
@@ -82,5 +83,5 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
         F.when(found, F.array_join(cut, "\n")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col("row")[c].alias(c)
         for c in docs.columns]
     return both.select(
-        *columns, F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).alias("_lines"),
-        F.when(found, F.size(parts) - F.size(kept)).otherwise(0).alias("_removed_lines"))
+        *columns, F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).alias(free_name("_lines", docs.columns)),
+        F.when(found, F.size(parts) - F.size(kept)).otherwise(0).alias(free_name("_removed_lines", docs.columns)))

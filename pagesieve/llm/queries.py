@@ -53,7 +53,7 @@ def op6_first_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the later copies of repeated three-line windows removed."""
-    done = line_dedup.dedup_lines(spark.read.parquet(_path(folder, "documents")))
+    done = line_dedup.dedup_lines(spark.read.parquet(_path(folder, "documents")).select("doc_id", "text"))
     return done.select(
         "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed_lines").cast("long").alias("n_removed"),
         F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -106,7 +106,7 @@ def op8_bootstrapped_private_data(spark: SparkSession, folder: str) -> DataFrame
 @query
 def op9_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document, and whether it is accepted."""
-    done = quality.judge(spark.read.parquet(_path(folder, "documents")))
+    done = quality.judge(spark.read.parquet(_path(folder, "documents")).select("doc_id", "text"))
     return done.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).alias("accepted"))
 
 
@@ -144,7 +144,7 @@ def op2_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_recurrent_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity of every document."""
-    docs = spark.read.parquet(_path(folder, "documents"))
+    docs = spark.read.parquet(_path(folder, "documents")).select("doc_id", "text")
     network = toxicity.fit(docs, spark.read.parquet(_path(folder, "labels")))
     return toxicity.scored(docs, network).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),

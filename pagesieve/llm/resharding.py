@@ -96,7 +96,10 @@ class Resharded:
     capacities: list[int]
 
 
-_FILE, _ROW = "_metadata.file_path", "_metadata.row_index"
+def _origin(docs: DataFrame) -> tuple[Column, Column]:
+    """File and place in it of each row, also where the table has a column ``_metadata`` of its own."""
+    origin = docs.metadataColumn("_metadata")
+    return origin["file_path"], origin["row_index"]
 
 
 def equal_capacities(total: int, shards: int) -> list[int]:
@@ -106,8 +109,9 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 def _plan(
     docs: DataFrame, size: Column, new_capacities: Callable[[int], Sequence[int]], old_shards: int,
 ) -> tuple[list[Range], int, list[int]]:
-    rows = docs.select(F.col(_FILE).alias("file"), F.col(_ROW).alias("row"), size.cast("long").alias("size"))
-    counts = {r.file: r.n for r in docs.groupBy(F.col(_FILE).alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    in_file, place = _origin(docs)
+    rows = docs.select(in_file.alias("file"), place.alias("row"), size.cast("long").alias("size"))
+    counts = {r.file: r.n for r in docs.groupBy(in_file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}
     block_rows = max(MIN_BLOCK_ROWS, -(-sum(counts.values()) // MAX_BLOCKS))
     block = F.floor(F.col("row") / block_rows)
     blocks = sorted(
@@ -180,10 +184,11 @@ def _placed(docs: DataFrame, ranges: list[Range], *columns: Column) -> DataFrame
     table = spark.createDataFrame(
         [(r.file, r.first, r.end, r.shard, r.slot) for r in ranges],
         "r_file string, r_first long, r_end long, r_shard int, r_slot long")
+    in_file, place = _origin(docs)
+    rows = docs.select(*columns, in_file.alias("r_file"), place.alias("r_row"))
     if len(ranges) <= FILES_IN_FILTER:
         table = F.broadcast(table)
-        docs = docs.where(F.col(_FILE).isin(sorted({r.file for r in ranges})))
-    rows = docs.select(*columns, F.col(_FILE).alias("r_file"), F.col(_ROW).alias("r_row"))
+        rows = rows.where(F.col("r_file").isin(sorted({r.file for r in ranges})))
     on = (F.col("r_row") >= F.col("r_first")) & (F.col("r_row") < F.col("r_end"))
     names = [c for c in rows.columns if c not in ("r_file", "r_row")]
     return (rows.join(table, "r_file").where(on)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from pagesieve.llm.common import BLOCK_BYTES, _mix, bounded, hash_spans, materialize, word_spans
+from pagesieve.llm.common import BLOCK_BYTES, _mix, bounded, free_name, hash_spans, materialize, word_spans
 
 WINDOW, STRIDE = 16, 8
 HIDDEN, PIECE_SIZE, WORD_SIZE, BUCKETS = 8, 16, 8, 4096
@@ -278,11 +278,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS) -> Netwo
 def scored(docs: DataFrame, network: Network | float) -> DataFrame:
     """``docs`` (doc_id, text and more) with ``_score``.
 
-    All rows and columns stay; null texts and texts without words score 0 and equal
-    texts equally. Where only one label is known, all score its share.
+    All rows and columns stay, a column ``_score`` too: the new one then takes more
+    underscores. Null texts and texts without words score 0 and equal texts equally.
+    Where only one label is known, all score its share.
     """
+    name = free_name("_score", docs.columns)
     if isinstance(network, float):
-        return docs.withColumn("_score", F.lit(network))
+        return docs.withColumn(name, F.lit(network))
     shared = docs.sparkSession.sparkContext.broadcast(network.w)
 
     @F.pandas_udf(DoubleType())
@@ -300,4 +302,4 @@ def scored(docs: DataFrame, network: Network | float) -> DataFrame:
             out.append(own.score(block))
             yield pd.Series(np.concatenate(out))
 
-    return docs.withColumn("_score", score("text"))
+    return docs.withColumn(name, score("text"))
