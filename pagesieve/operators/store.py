@@ -72,16 +72,20 @@ def skip_scanned(pages: DataFrame, store: DataFrame, force: bool = False) -> Dat
     return todo.dropDuplicates(keys).join(done, "url", "left_anti").select(*pages.columns)
 
 
-def upsert_results(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Current rows after ``batch``: the newest per key, failed ones removed."""
-    rows = store.unionByName(batch)
+def newest_results(rows: DataFrame) -> DataFrame:
+    """The newest row per key, failed ones too."""
     rest = [c for c in rows.columns if c != "key"]
     # Later states win where two rows carry one time, then more findings; a row
     # without a time is older than any other.
     rank = F.when(F.col("status") == "scanning", 0).otherwise(1)
     place = F.struct(F.coalesce("timestamp_ms", F.lit(-1)), rank, "n_findings", "status")
     newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), place).alias("_row"))
-    return newest.select("key", "_row.*").where(F.col("status") != "failed")
+    return newest.select("key", "_row.*").select(*rows.columns)
+
+
+def upsert_results(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """Current rows after ``batch``: the newest per key, failed ones removed."""
+    return newest_results(store.unionByName(batch)).where(F.col("status") != "failed")
 
 
 def expire_results(store: DataFrame, now_ms: int | Column, max_age_ms: int, prefix: str = PASSIVE_PREFIX) -> DataFrame:

@@ -24,6 +24,7 @@ from pagesieve.sources.addressed import address, materialize
 from pagesieve.sources.corpora import corpus
 from pagesieve.sources.layout import spread
 from pagesieve.streaming import jobs
+from pagesieve.streaming.kept import KeptStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -864,9 +865,42 @@ def _(spark, folder):
     return S.upsert_results(rows.where(half), rows.where(~half)).select("key", "url", "status", "n_findings", "timestamp_ms")
 
 
+@query("t4_kept_store", ORACLE["t4_upsert_results"])
+def _(spark, folder):
+    # In five batches, the third of which comes twice.
+    rows = corpus(spark, folder, "results_store")
+    store = KeptStore(spark, f"{shared_dir(spark, 'kept')}/store", rows.schema, buckets=16)
+    for i in (0, 1, 2, 2, 3, 4):
+        store.upsert(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(5)) == i), "run", i)
+    return store.current().select("key", "url", "status", "n_findings", "timestamp_ms")
+
+
 _AGE = 10_000_000
 
 
+@query("t5_kept_expiry", f"""
+    SELECT key, timestamp_ms FROM ({ORACLE["t4_upsert_results"]})
+    WHERE NOT (starts_with(key, 'passive_scan') AND coalesce({_NOW} - timestamp_ms > {_AGE}, FALSE))""")
+def _(spark, folder):
+    rows = corpus(spark, folder, "results_store")
+    store = KeptStore(spark, f"{shared_dir(spark, 'kept')}/store", rows.schema, buckets=16)
+    store.upsert(rows)
+    store.expire(_NOW, _AGE)
+    return store.current().select("key", "timestamp_ms")
+
+
+@query("t1_t3_job_into_kept_store", ORACLE["t1_t4_job_into_store"])
+def _(spark, folder):
+    # A second stream over the same pages finds all results there and adds none.
+    root = shared_dir(spark, "kept")
+    pages, fetched = corpus(spark, folder, "job_pages"), corpus(spark, folder, "job_fetched")
+    for turn in ("first", "second"):
+        jobs.run_kept_scan(
+            _stream_of(spark, pages, "pages"), f"{root}/findings", f"{root}/store", f"{root}/{turn}", fetched=fetched,
+            max_bytes=None).awaitTermination()
+    return KeptStore(spark, f"{root}/store").current().select("key", "url", "status", "n_findings")
+
+
 @query("t5_expire_results", f"""
     SELECT key, timestamp_ms FROM ({_STORE})
     WHERE NOT (starts_with(key, 'passive_scan') AND coalesce({_NOW} - timestamp_ms > {_AGE}, FALSE))""")

@@ -104,11 +104,16 @@ def safe_findings(findings: DataFrame, keep_raw: bool = False) -> DataFrame:
     return hashed if keep_raw else hashed.drop("secret")
 
 
-def write_findings(findings: DataFrame, path: str, keep_raw: bool = False) -> None:
-    """Append to the findings table, one folder per day of scan and category."""
+def write_findings(findings: DataFrame, path: str, keep_raw: bool = False, run: str | None = None) -> None:
+    """Add to the findings table, one folder per day of scan and category.
+
+    A ``run`` has a folder of its own above these; one that is repeated replaces
+    what it wrote. Without it rows are appended, by a repeated job too.
+    """
     rows = safe_findings(findings, keep_raw)
     if "scan_date" not in rows.columns:
         rows = rows.withColumn("scan_date", F.current_date())
     if "category" not in rows.columns:
         rows = rows.withColumn("category", F.lit(R.SECRETS))
-    rows.write.mode("append").partitionBy("scan_date", "category").parquet(path)
+    target, mode = (path, "append") if run is None else (f"{path}/run={run}", "overwrite")
+    rows.write.mode(mode).partitionBy("scan_date", "category").parquet(target)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagesieve.operators.extract import addressed_findings, sanitize_findings, secret_findings
-from pagesieve.operators.store import DEBOUNCE_MS, passive_key, upsert_results
+from pagesieve.operators.store import DEBOUNCE_MS, PASSIVE_MAX_AGE_MS, passive_key, read_results, skip_scanned, upsert_results
 from pagesieve.rules import strict_rules
 from pagesieve.schemas import PAGES
-from pagesieve.sources.addressed import address
+from pagesieve.sources.addressed import address, materialize
 from pagesieve.sources.pages import MAX_CONTENT_BYTES, extract_sources, scannable, size_gate
 from pagesieve.sources.sinks import safe_findings
+from pagesieve.streaming.kept import KeptStore
 
 LATENESS = "10 minutes"
 
@@ -103,6 +104,41 @@ def run_scan(pages: DataFrame, findings_path: str, results_path: str, checkpoint
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_kept_scan(pages: DataFrame, findings_path: str, store_path: str, checkpoint: str,
+                  excluded_rule_ids: Sequence[str] = (), once: bool = True, exclusions: Sequence[str] = (),
+                  fetched: DataFrame | None = None, max_bytes: int | None = MAX_CONTENT_BYTES,
+                  max_age_ms: int = PASSIVE_MAX_AGE_MS, force: bool = False) -> StreamingQuery:
+    """Scan a stream of pages into a findings table and the kept store of results.
+
+    Pages with a complete result that is not older than ``max_age_ms`` are not
+    scanned again, unless ``force`` is set; each batch reads and rewrites only the
+    buckets of its pages. A batch writes its findings first and the store last, and
+    one the store already holds is passed over, so a batch that runs again changes
+    nothing, wherever it broke off.
+    """
+    run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = KeptStore(spark, store_path)
+        manifest = store.manifest()
+        if manifest.batches.get(run, -1) >= batch_id:
+            return
+        wanted = scannable(batch, exclusions)
+        keys = wanted.select(passive_key(F.col("url")).alias("key"))
+        known = store.current(manifest, store.touched(keys, manifest))
+        fresh = read_results(known, F.unix_millis(F.current_timestamp()), max_age_ms)
+        todo = materialize(skip_scanned(wanted, fresh, force), "todo")
+        held = address(todo, fetched, max_bytes=max_bytes)
+        found = safe_findings(sanitize_findings(addressed_findings(held, strict_rules(excluded_rule_ids))))
+        target = f"{findings_path}/run={run}/batch_id={batch_id}"
+        found.write.mode("overwrite").parquet(target)
+        store.upsert(result_rows(spark.read.schema(found.schema).parquet(target), todo), run, batch_id)
+
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def current_results(spark: SparkSession, results_path: str) -> DataFrame:
     """Newest result of each URL in the log."""
     log = spark.read.parquet(results_path).drop("run", "batch_id")
