@@ -22,6 +22,7 @@ from pagesieve.sources import pages as P
 from pagesieve.sources import sinks as K
 from pagesieve.sources.addressed import address, materialize
 from pagesieve.sources.corpora import corpus
+from pagesieve.sources.exclusions import exclude_by_lines
 from pagesieve.sources.layout import spread
 from pagesieve.streaming import jobs
 from pagesieve.streaming.kept import KeptStore
@@ -129,6 +130,22 @@ def _(spark, folder):
     return P.exclude_urls(P.read_pages(spark, folder), _URL_LIST).select("page_id", "url")
 
 
+_MORE_LINES = ("/[0-9]7$/", "/(/", "   ", "=3")
+
+
+# A list of tens of thousands of lines: hosts made of the words of the documents, and a few others.
+@query("s7_exclusion_lines", """
+    WITH lines AS (SELECT DISTINCT lower(word) || '.example.' AS line
+        FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) UNION ALL SELECT '=3')
+    SELECT page_id, url FROM pages p
+    WHERE NOT regexp_matches(url, '[0-9]7$') AND NOT EXISTS (SELECT 1 FROM lines WHERE contains(lower(p.url), line))""")
+def _(spark, folder):
+    words = _table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    lines = words.select(F.concat("word", F.lit(".EXAMPLE.")).alias("line")).union(
+        spark.createDataFrame([(line,) for line in _MORE_LINES], "line string"))
+    return exclude_by_lines(P.read_pages(spark, folder), lines).select("page_id", "url")
+
+
 _OFF = ("github-pat", "databricks-api-token")
 
 
@@ -949,6 +966,22 @@ def _(spark, folder):
     return S.drop_cancelled(*_scans_and_closings(spark, folder)).select("event_id")
 
 
+_LONG_SCANS = _SCANS.replace("INTERVAL 2 HOUR", "INTERVAL (event_id % 7 * 20) MINUTE")
+
+
+# Scans of up to two hours against every closing of their tab, as streams.
+@query("t8_drop_cancelled_stream", f"""
+    SELECT event_id FROM ({_LONG_SCANS}) s WHERE NOT EXISTS (SELECT 1 FROM events c
+        WHERE c.event_type = 'error' AND c.user_id = s.tab_id AND c.ts BETWEEN started_at AND finished_at)""")
+def _(spark, folder):
+    scans, closed = _scans_and_closings(spark, folder)
+    scans = scans.withColumns({"started_at": F.col("started_at").cast("timestamp"), "finished_at": (
+        F.col("started_at") + F.make_interval(mins=F.col("event_id").cast("int") % 7 * 20)).cast("timestamp")})
+    scans, closed = jobs.with_ends(scans, closed.withColumn("closed_at", F.col("closed_at").cast("timestamp")))
+    kept = jobs.drop_cancelled_stream(_stream_of(spark, scans, "scans"), _stream_of(spark, closed, "closed"), longest="2 hours")
+    return _drain(kept, "uncancelled").select("event_id")
+
+
 @query("t9_evict_tab", f"""
     SELECT DISTINCT tab_id || '|' || url AS key FROM ({O.corpus('nav_events')})
     WHERE tab_id NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0)""")
@@ -964,12 +997,14 @@ _BUDGET = 4000
 @query("t10_budget", f"""
     SELECT page_id, source, CASE WHEN n <= {_BUDGET} THEN length(content) END AS n_chars,
         CASE WHEN n > {_BUDGET} THEN 'QUOTA_EXCEEDED' END AS error
-    FROM ({_PAGE_SOURCES}) JOIN (SELECT page_id, octet_length(encode(to_json(map([source], [content]))::VARCHAR)) - 1 AS n
-        FROM ({_PAGE_SOURCES})) USING (page_id)""")
+    FROM ({_PAGE_SOURCES}) JOIN (SELECT page_id, sum(n) AS n FROM (
+        SELECT page_id, octet_length(encode(to_json(map([source], [content]))::VARCHAR)) - 1 AS n FROM ({_PAGE_SOURCES})
+        UNION ALL SELECT page_id, octet_length(encode(to_json({{'display_key': display_key, 'source': source, 'index': "index"}})::VARCHAR)) + 1
+        FROM ({_PAGE_ENDPOINTS})) GROUP BY page_id) USING (page_id)""")
 def _(spark, folder):
     sources = _page_sources(spark, folder)
-    none = E.occurrences(sources.where(F.lit(False)), _BARE).select("page_id", "display_key", "source", "index")
-    return S.apply_budget(sources, none, _BUDGET).select(
+    found = E.occurrences(sources, _BARE).select("page_id", "display_key", "source", "index")
+    return S.apply_budget(sources, found, _BUDGET).select(
         "page_id", "source", F.length("content").alias("n_chars"), "error")
 
 

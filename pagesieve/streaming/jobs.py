@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +19,7 @@ from pagesieve.sources.sinks import safe_findings
 from pagesieve.streaming.kept import KeptStore
 
 LATENESS = "10 minutes"
+LONGEST_SCAN = "1 hour"
 
 
 def stream_pages(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -66,6 +67,53 @@ def first_scans(pages: DataFrame, keys: Sequence[str] = ("tab_id", "url"), laten
     return pages.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+def _within(longest: str) -> Column:
+    """Scans with both times that took at most ``longest``."""
+    return F.coalesce(F.col("finished_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"), F.lit(False))
+
+
+def drop_cancelled_stream(
+    results: DataFrame, closed: DataFrame, longest: str = LONGEST_SCAN, lateness: str = LATENESS,
+) -> DataFrame:
+    """Results of tabs that were not closed while their scan ran, from a stream of results and one of closings.
+
+    An outer join of both streams: a result waits until the watermark has passed
+    its end and comes out if no closing of its tab lies between its start and that.
+    A closing is kept for as long as a result may still arrive that it cancels,
+    so the state holds what happened within ``longest`` and the lateness, no more.
+    Results that took longer or lack a time are not judged here but are in ``judged_apart``.
+    The batch form knows one closing of each tab, its last; here each one counts.
+    """
+    scans = results.where(_within(longest)).withWatermark("finished_at", lateness)
+    ends = closed.select(F.col("tab_id").alias("_tab"), F.col("closed_at").alias("_closed")).withWatermark("_closed", lateness)
+    during = (
+        (F.col("tab_id") == F.col("_tab")) & (F.col("_closed") >= F.col("started_at")) & (F.col("_closed") <= F.col("finished_at"))
+        & (F.col("_closed") >= F.col("finished_at") - F.expr(f"INTERVAL {longest}")))
+    return scans.join(ends, during, "left").where("_closed IS NULL").select(results.columns)
+
+
+def judged_apart(results: DataFrame, longest: str = LONGEST_SCAN) -> DataFrame:
+    """The results that ``drop_cancelled_stream`` leaves to ``store.drop_cancelled``: overlong ones and those without a time."""
+    return results.where(~_within(longest))
+
+
+def with_ends(results: DataFrame, closed: DataFrame, lateness: str = LATENESS) -> tuple[DataFrame, DataFrame]:
+    """Tables of results and closings that end, each with a last row that lets all others out of the stream.
+
+    The last rows lie beyond each other and beyond the lateness, so they cancel nothing and stay in the state.
+    """
+    last = results.select(F.col("finished_at").alias("at")).union(closed.select("closed_at")).agg(F.max("at").alias("at"))
+    last = last.where("at IS NOT NULL").withColumn("at", F.col("at") + F.expr(f"INTERVAL {lateness}"))
+
+    def row(df: DataFrame, seconds: int, **values: Column) -> DataFrame:
+        at = F.col("at") + F.make_interval(secs=F.lit(seconds))
+        times = ("started_at", "finished_at", "closed_at")
+        return df.unionByName(last.select(*[
+            (at if c in times else values.get(c, F.lit(None))).cast(t).alias(c) for c, t in df.dtypes]))
+
+    return row(results, 1), row(closed, 2, tab_id=F.lit(0))
+
+
 def result_rows(findings: DataFrame, pages: DataFrame) -> DataFrame:
     """Store rows of scanned pages, without findings or with."""
     counts = findings.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_findings"))
