@@ -46,8 +46,6 @@ COUNTERS = 1 << 22
 PARTS = 64
 #: Classes of one centre whose tokens are united and that are compared together.
 CHUNK_CLASSES = 32
-#: Rows of a table of tokens alone that may be sent to every executor: 32 MB.
-BROADCAST_TOKENS = 1 << 22
 #: Classes that stand for the leading group of a large home in a turn, and the turns.
 STANDING, TURNS = 16, 2
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(HASHES)]
@@ -260,11 +258,12 @@ def star_pairs(central: DataFrame, percent: int = PERCENT) -> DataFrame:
 def shared_cells(found: DataFrame, grouped: DataFrame) -> DataFrame:
     """The cells (sid, token, pos, n, grp, home) of prefixes ``found`` whose tokens classes of several groups hold.
 
-    Nearly all cells go here, so they are moved with their class and place only.
+    Nearly all cells go here, so they are moved with their class and place only. The
+    shared tokens grow with the documents: they meet the cells by a merge at every size.
     """
     cells = found.select("sid", "grp", F.posexplode("tokens").alias("pos", "token"))
     shared = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
-    shared = bounded(materialize(shared, "tokens"), BROADCAST_TOKENS)
+    shared = materialize(shared, "tokens").hint("merge")
     kept = materialize(cells.select("sid", "pos", "token").join(shared, "token", "left_semi"), "cells")
     return kept.join(bounded(grouped.select("sid", "grp", "n", "home")), "sid")
 
