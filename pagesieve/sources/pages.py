@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.functions.dialect import to_java
+from pagesieve.functions.patterns import user_pattern
 from pagesieve.functions.text import decode_entities, decode_text, let, with_doctype
 from pagesieve.functions.urls import is_scannable, resolve_url
 from pagesieve.sources.layout import spread
@@ -56,10 +56,10 @@ def exclusion_test(url: Column, patterns: Sequence[str]) -> Column | None:
         # A lone slash opens and closes nothing: the empty regex, which hits all.
         if line.startswith("/") and line.endswith("/"):
             try:
-                re.compile(line[1:-1])
-            except re.error:
+                pattern = user_pattern(line[1:-1])
+            except ValueError:
                 continue
-            tests.append(url.rlike(to_java(line[1:-1])))
+            tests.append(url.rlike(pattern))
         else:
             tests.append(F.lower(url).contains(line.lower()))
     if not tests:
