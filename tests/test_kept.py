@@ -113,3 +113,20 @@ def test_a_repeated_run_replaces_its_findings(spark, tmp_path):
     for run in ("a", "a", "b"):
         K.write_findings(rows, f"{tmp_path}/f", run=run)
     assert sorted(r.run for r in spark.read.parquet(f"{tmp_path}/f").collect()) == ["a", "b"]
+
+
+def test_a_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    arrive(spark, f"{tmp_path}/a/pages.parquet", [(1, "https://a.example/", "<p>", "en")])
+    arrive(spark, f"{tmp_path}/a/pages.parquet", [(2, "https://b.example/", "<p>", "en")])
+    arrive(spark, f"{tmp_path}/a/other.parquet", [(9, "https://z.example/", "<p>", "en")])
+    for k, part in enumerate(sorted((tmp_path / "a" / "pages.parquet").glob("*.parquet"))):
+        (tmp_path / f"b{k}").mkdir()
+        (tmp_path / f"b{k}" / "pages.parquet").write_bytes(part.read_bytes())
+
+    def urls(folder):
+        root = f"{tmp_path}/{folder}-out"
+        pages = jobs.stream_pages(spark, f"{tmp_path}/{folder}", "pages.parquet")
+        jobs.run_scan(pages, f"{root}/findings", f"{root}/results", f"{root}/check").awaitTermination()
+        return [r.url for r in jobs.current_results(spark, f"{root}/results").collect()]
+
+    assert sorted(urls("a")) == sorted(urls("b0") + urls("b1")) == ["https://a.example/", "https://b.example/"]
