@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pagesieve import rules as R
 from pagesieve.functions.text import let
 from pagesieve.functions.urls import normalize_url, resolve_url, url_host, url_origin
+from pagesieve.sources.addressed import materialize
+from pagesieve.sources.layout import TASK_ROWS, tasks_for
 from pagesieve.sources.pages import has_next_data, latest_response, next_data, usable_response
 
 # Sizes in bytes a probed source map may state.
@@ -150,10 +152,15 @@ def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
     Text embedded in the map comes first, then the fetched file; a file whose
     fetch failed is named as missing, one without any record is left out.  A
     map that cannot be used gives one row under ``ERROR_PATH``.
+
+    Bodies are never sent to all executors: both sides of a join are spread over
+    as many tasks as they need, and a file that many maps name over several.
     """
-    fetched = latest_response(fetched)
-    answers = fetched.select(F.col("url").alias("map_url"), "status", "body")
-    files = maps.select("map_url").distinct().join(answers, "map_url", "left")
+    answers = materialize(latest_response(fetched).select("url", "status", "body"), "answers")
+    tasks = max(tasks_for(answers, text=F.col("body")), tasks_for(maps))
+    by_url = answers.repartition(tasks, "url").hint("merge")
+    listed = maps.select("map_url").repartition(tasks, "map_url").distinct()
+    files = listed.join(by_url, listed.map_url == by_url.url, "left")
     ok = F.col("status").between(200, 299)
     parsed = F.when(ok, F.from_json("body", "struct<sources:array<string>,sourcesContent:array<string>>"))
 
@@ -173,25 +180,33 @@ def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
         F.lit(ERROR_PATH).alias("source_path"), reason.alias("content"), F.lit("error").alias("origin")))
 
     def in_map(m: Column) -> Column:
-        kept = F.filter(entries(m), lambda e: e["text"] != "")
-        rows = F.transform(kept, lambda e: F.struct(
-            e["path"].alias("source_path"), e["text"].alias("content"), F.lit("embedded").alias("origin")))
+        rows = F.transform(entries(m), lambda e: F.struct(
+            e["path"].alias("source_path"), e["text"].alias("content"), F.when(e["text"] != "", "embedded").alias("origin")))
         return F.when(m["sources"].isNotNull(), rows).otherwise(error)
 
-    def elsewhere(m: Column) -> Column:
-        return F.transform(F.filter(entries(m), lambda e: e["text"] == ""), lambda e: e["path"])
-
-    embedded = files.select("map_url", F.inline(let(parsed, in_map)))
+    rows = files.select("map_url", F.inline(let(parsed, in_map)))
+    target = resolve_url(F.col("source_path"), F.col("map_url"))
+    rows = materialize(rows.withColumn("_file", F.when(F.col("origin").isNull(), target)), "listed")
+    embedded = rows.where("origin IS NOT NULL").select("map_url", "source_path", "content", "origin")
 
     # Kept apart from the embedded files, which would all meet on a null key.
-    wanted = files.select("map_url", F.explode(let(parsed, elsewhere)).alias("source_path")).withColumn(
-        "_file", resolve_url(F.col("source_path"), F.col("map_url")))
-    bodies = fetched.select(F.col("url").alias("_file"), F.col("status").alias("_status"), F.col("body").alias("_body"))
+    wanted = rows.where("origin IS NULL AND _file IS NOT NULL").select("map_url", "source_path", "_file")
+    asked = wanted.select("_file").distinct().repartition(tasks, "_file")
+    given = by_url.join(asked, by_url.url == asked._file, "left_semi")
+    many = F.ceil(F.count(F.lit(1)) / F.lit(TASK_ROWS // 4)).alias("_parts")
+    popular = F.broadcast(wanted.groupBy("_file").agg(many).where("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    looks = tasks_for(wanted)
+    place = F.pmod(F.xxhash64("map_url", "source_path"), parts).cast("int").alias("_part")
+    wanted = wanted.join(popular, "_file", "left").select("map_url", "source_path", "_file", place).repartition(looks, "_file", "_part")
+    bodies = given.select(F.col("url").alias("_file"), F.col("status").alias("_status"), F.col("body").alias("_body")).join(
+        popular, "_file", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).drop("_parts")
+    bodies = bodies.repartition(looks, "_file", "_part").hint("merge")
     got = F.col("_status").between(200, 299)
     missing = F.concat(
         F.lit("Skipping missing source file: "), F.col("_file"), F.lit(" (Status: "), F.col("_status").cast("string"),
         F.lit(")"))
-    looked_up = wanted.join(bodies, "_file").select(
+    looked_up = wanted.join(bodies, ["_file", "_part"]).select(
         "map_url", "source_path", F.when(got, F.coalesce("_body", F.lit(""))).otherwise(missing).alias("content"),
         F.when(got, "fetched").otherwise("missing").alias("origin"))
     return embedded.unionByName(looked_up)
