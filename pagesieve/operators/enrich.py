@@ -213,7 +213,10 @@ def rebuild_sources(maps: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def source_tree(rebuilt: DataFrame) -> DataFrame:
-    """Folders and files of the rebuilt sources, folders first, then by name."""
+    """Folders and files of the rebuilt sources, folders first, then by name.
+
+    Paths of a map meet once, in as many tasks as there are nodes for.
+    """
     parts = F.split("source_path", "/", -1)
 
     def nodes(p: Column) -> Column:
@@ -222,7 +225,9 @@ def source_tree(rebuilt: DataFrame) -> DataFrame:
             F.array_join(F.slice(p, F.lit(1), n - F.lit(1)), "/").alias("parent"),
             F.element_at(p, n).alias("name"), n.alias("depth"), (n < F.size(p)).alias("inner")))
 
-    rows = rebuilt.select("map_url", F.inline(let(parts, nodes)))
+    tasks = tasks_for(rebuilt, F.size(parts))
+    placed = rebuilt.select("map_url", "source_path").repartition(tasks, "map_url")
+    rows = placed.select("map_url", F.inline(let(parts, nodes)))
     tree = rows.groupBy("map_url", "path", "parent", "name", "depth").agg(F.max("inner").alias("is_folder"))
     siblings = W.partitionBy("map_url", "parent", "depth").orderBy(F.col("is_folder").desc(), "name")
     return tree.withColumn("position", F.row_number().over(siblings))
