@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesieve import rules as R
 from pagesieve.functions.urls import url_host
+from pagesieve.sources.addressed import materialize
 from pagesieve.sources.pages import HTML_SOURCE
 
 _KEY = ("page_id", "category", "display_key")
@@ -19,6 +20,8 @@ _KEY = ("page_id", "category", "display_key")
 _ORDER = ("source_ord", "rule_ord", "match_ord")
 
 OCCURRENCES_PER_PART = 100_000
+# Large groups of which the sizes may be sent to every executor.
+BROADCAST_GROUPS = 1_000_000
 
 
 def _order() -> Column:
@@ -28,9 +31,11 @@ def _order() -> Column:
 def split_large(rows: DataFrame, keys: list[str], spread_by: list[str], per_part: int) -> DataFrame:
     """Number parts so that no (keys, part) holds much more than ``per_part`` rows.
 
-    Groups are counted first; rows of a group within the limit all get part 0.
+    Groups are counted first; rows of a group within the limit all get part 0. Rows
+    are not moved for it unless very many groups are large.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_part)
+    sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_part), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
     parts = F.ceil(F.col("_n") / F.lit(per_part)).cast("bigint")
     numbered = rows.join(sizes, keys, "left")
     part = F.pmod(F.xxhash64(*spread_by), parts).cast("int")

@@ -11,6 +11,7 @@ from pagesieve.operators import enrich as J
 from pagesieve.operators import extract as E
 from pagesieve.operators import store as S
 from pagesieve.plans.scans import full_scan, passive_scan, rebuild
+from pagesieve.sources import layout
 from pagesieve.sources import pages as P
 from pagesieve.sources import sinks as K
 from pagesieve.streaming import jobs
@@ -325,3 +326,30 @@ def test_a_newer_probe_withdraws_a_guess(spark):
         "url string, method string, status int, content_type string, content_length long, body string, fetched_at long")
     guesses = answers.select(F.lit(1).alias("page_id"), F.col("url").alias("map_url")).distinct()
     assert {r.map_url for r in J.validate_maps(guesses, answers).collect()} == {"b", "d"}
+
+
+def test_rebuilding_spreads_rows_over_tasks_by_their_number(spark, monkeypatch):
+    # many maps name one file, one map was fetched over and over, and one has more files than a dump holds
+    def body(k):
+        paths = [f"a/{k}-{i}.js" for i in range(30 if k == 0 else 1)]
+        return json.dumps({"version": 3, "sources": [*paths, "../lib.js"], "sourcesContent": [f"code {p}" for p in paths]})
+
+    maps = spark.createDataFrame([(f"https://x.y/m/{k}.map",) for k in range(60)] * 2, "map_url string")
+    rows = [(f"https://x.y/m/{k}.map", 200, body(k)) for k in range(60)] + [("https://x.y/lib.js", 200, "lib")]
+    rows += [("https://x.y/m/1.map", 200, "")] * 40 + [("https://x.y/m/2.map", 404, f"gone {i}") for i in range(40)]
+    fetched = spark.createDataFrame(rows, "url string, status int, body string")
+    results = []
+    for limit in (layout.TASK_ROWS, 12):
+        monkeypatch.setattr(layout, "TASK_ROWS", limit)
+        monkeypatch.setattr(J, "TASK_ROWS", limit)
+        monkeypatch.setattr(K, "FILES_PER_DUMP", 20)
+        latest = P.latest_response(fetched)
+        rebuilt = J.rebuild_sources(maps, fetched).localCheckpoint()
+        tree, dumps = J.source_tree(rebuilt), K.source_dumps(rebuilt, F.lit("2024-01-01").cast("timestamp"))
+        results.append([sorted(map(tuple, df.collect())) for df in (latest, rebuilt, tree, dumps)])
+        counts = [df.rdd.getNumPartitions() for df in (latest, tree, dumps)]
+    assert results[0] == results[1] and len(results[0][1]) == 60 + 29 + 60
+    assert {r[2] for r in results[0][1] if r[1] == "../lib.js"} == {"lib"}
+    assert sum(r[2] for r in results[0][3]) == 149 and len(results[0][3]) == 61
+    # 141 answers, 298 nodes and 149 files, 12 of them a task
+    assert counts == [12, 25, 13]
