@@ -28,6 +28,8 @@ END_ID = 1
 GROUP_PIECES = 4096
 #: Parts of texts whose ids a worker remembers, about 170 MB.
 CACHE_WORDS = 800_000
+#: How a byte-level vocabulary spells a space.
+_SPACE = "\u0120"
 _DOUBLE_SPACE = re.compile(r"\s ")
 _PIECES = "_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -55,6 +57,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by the part without the space it starts with
 
@@ -63,11 +68,27 @@ class Encoder:
         if len(known) + len(missing) > CACHE_WORDS:
             known.clear()
             missing = list(set(parts))
+        if space and missing:
+            known.update(self._together([part for part in missing if part and not part[-1].isspace()]))
+            missing = [part for part in missing if part not in known]
         found = self.tokenizer.encode_batch_fast([space + part for part in missing], add_special_tokens=False)
         for part, own in zip(missing, found):
             known[part] = np.array(own.ids, "<u4").tobytes()
         return known
 
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts that hold no space, each after one: as one text, cut at the tokens that begin with a space.
+
+        Nothing if the text is not cut into as many pieces as there are parts.
+        """
+        (own,) = self.tokenizer.encode_batch_fast(["".join(" " + part for part in parts)], add_special_tokens=False)
+        ids = np.array(own.ids, "<u4")
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(parts) or not len(cuts) or cuts[0]:
+            return {}
+        data, ends = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
+        return {part: data[start:end] for part, start, end in zip(parts, ends, ends[1:])}
+
     def ids(self, text: str) -> bytes:
         if text[:1] == " " or _DOUBLE_SPACE.search(text):
             parts = text_parts(text)

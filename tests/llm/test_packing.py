@@ -43,6 +43,29 @@ def test_parts_encode_as_the_whole(encoders, text):
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_parts_of_a_text_are_encoded_together(encoders):
+    tokenizer, _ = encoders
+
+    class Counting:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.tokenizer = Counting()
+    words = [f"{w}{i}{end}" for i in range(300) for w in ("ab", "don't", "\nx", "é<|endoftext|>", "'s", "\u00a0c") for end in ("", ".", "\x85")]
+    text = " ".join(w for w in words if not w.endswith("\x85"))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    # the first part and all others
+    assert encoder.tokenizer.texts == 2
+    text = " ".join(words)  # parts that end in white space are encoded by themselves
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder._together(["a", "b"]).keys() == {"a", "b"} and encoder._together([]) == encoder._together(["a b"]) == {}
+
+
+
 def check_packed(rows, texts):
     from tokenizers import Tokenizer
 
