@@ -44,6 +44,8 @@ HASHES = 12
 #: Counters of token frequencies, and the parts in which they are added up.
 COUNTERS = 1 << 22
 PARTS = 64
+#: Texts that a worker holds as strings at a time.
+SLICE_ROWS = 1000
 #: Classes of one centre whose tokens are united and that are compared together.
 CHUNK_CLASSES = 32
 #: Rows of a table of tokens alone that may be sent to every executor: 32 MB.
@@ -75,6 +77,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, few at a time: their texts are held again as Python strings."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 _FEATURES = ("doc_id long, text_key long, n_shingles long, sid long, mins array<long>, part int, counts binary")
 
 
@@ -83,20 +92,15 @@ def features(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            sizes, ids, mins, pending, held = [], [], [], [], 0
+        for batch in _slices(batches):
+            sizes, ids, mins = [], [], []
             for _, words in word_hashes(batch.column(2).to_pylist()):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens) if len(tokens) else None)
                 mins.append([int(_mix(tokens ^ seed).min().view(np.int64)) for seed in _SEEDS] if len(tokens) else None)
-                pending.append(tokens & np.uint64(COUNTERS - 1))
-                held += len(tokens)
-                if held > COUNTERS:
-                    counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                    pending, held = [], 0
-            if pending:
-                counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                # added in place: tables of as many counters beside it would stay in the worker's heap
+                np.add.at(counts, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
@@ -123,16 +127,18 @@ def token_ranks(found: DataFrame) -> np.ndarray:
                 own = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), "<u4").astype(np.int64)
                 total = own if total is None else total + own
         part = batch.column(0)[:1]
-        yield pa.RecordBatch.from_arrays([part, pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+        data = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        yield pa.RecordBatch.from_arrays([part, pa.array([data], pa.binary())], ["part", "counts"])
 
     rows = (found.where("part IS NOT NULL").select("part", "counts").groupBy("part")
             .applyInArrow(add, "part int, counts binary").collect())
     counts = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
     for row in rows:
-        counts[row.part] = np.frombuffer(row.counts, np.int64)
+        counts[row.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.counts), np.int64)
     order = np.argsort(counts.ravel(), kind="stable")
+    del rows, counts
     ranks = np.empty(COUNTERS, np.uint16)
-    ranks[order] = np.arange(COUNTERS) // (COUNTERS >> 16)
+    ranks[order] = np.repeat(np.arange(1 << 16, dtype=np.uint16), COUNTERS >> 16)
     return ranks
 
 
@@ -168,7 +174,7 @@ def _read_classes(docs: DataFrame, wanted: DataFrame, pack: Callable[[str, np.nd
     """(sid, name): what ``pack`` makes of the text and tokens of each of the ``wanted`` classes (sid, one)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sids, out, made, texts = batch.column(0).to_pylist(), [], [], batch.column(1).to_pylist()
             for at, words in word_hashes(texts):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))
@@ -197,7 +203,7 @@ def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sids, keep, sets = batch.column(0).to_pylist(), [], []
             for at, words in word_hashes(batch.column(1).to_pylist()):
                 tokens = distinct(shingles(words, SHINGLE_WORDS))

@@ -126,3 +126,31 @@ def test_rows_with_null_or_repeated_ids_are_read_once(spark):
     classes = found.groupBy("sid").agg(J.F.min(J.F.struct("text_key", "doc_id")).alias("one"))
     assert J._of(table, classes).count() == 60
     assert {r.component_id for r in J.components(table).collect()} == {None, 7}
+
+
+def test_counting_tokens_takes_no_second_table_of_counters(docs):
+    import tracemalloc
+
+    class Plan:
+        """Catches the function that Spark would run over batches."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, read, schema):
+            self.read = read
+            return self
+
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(9999)) for _ in range(3000)) for _ in range(8)]
+    docs(texts)  # column expressions need a session
+    read = J.features(Plan()).read
+    batch = J.pa.RecordBatch.from_arrays([J.pa.array(range(8)), J.pa.array(range(8)), J.pa.array(texts)], ["doc_id", "text_key", "text"])
+    tracemalloc.start()
+    rows, counts = read([batch])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * 4 * J.COUNTERS
+    unpack = J.zstandard.ZstdDecompressor().decompress
+    total = np.concatenate([np.frombuffer(unpack(x.as_py()), "<u4") for x in counts.column("counts")])
+    assert len(total) == J.COUNTERS and total.sum() == sum(x.as_py() for x in rows.column("n_shingles"))
