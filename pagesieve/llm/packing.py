@@ -10,13 +10,13 @@ independently, so the work spreads over tasks and no task sees more than a group
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,11 @@ GROUP_PIECES = 4096
 CACHE_WORDS = 800_000
 #: How a byte-level vocabulary spells a space.
 _SPACE = "\u0120"
-_DOUBLE_SPACE = re.compile(r"\s ")
+_DOUBLE_SPACE = f"^ |[{''.join(c for c in map(chr, range(0x3001)) if c.isspace())}] "
+#: Marks that close a word or sentence.
+_MARKS = ".,;:!?"
+#: Bytes of texts that are split and put together at a time.
+SLICE_BYTES = 8 << 20
 _PIECES = "_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -50,6 +54,18 @@ def text_parts(text: str) -> list[str]:
     return out
 
 
+def pretoken_runs(part: str) -> list[str]:
+    """A part without spaces, cut where the usual split does: around single newlines, and after a letter before closing marks."""
+    lines = part.split("\n")
+    if len(lines) > 1 and not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+        return [part]
+    out: list[str] = []
+    for line in lines:
+        word = line.rstrip(_MARKS)
+        out += [word, line[len(word):], "\n"] if word != line and word[-1:].isascii() and word[-1:].isalpha() else [line, "\n"]
+    return out[:-1]
+
+
 class Encoder:
     """Token ids of whole texts as little-endian bytes, with the ids of parts remembered."""
 
@@ -68,12 +84,20 @@ class Encoder:
         if len(known) + len(missing) > CACHE_WORDS:
             known.clear()
             missing = list(set(parts))
+        broken: dict[str, list[str]] = {}
         if space and missing:
+            broken = {part: cut for part in missing if not part.isalpha() and len(cut := pretoken_runs(part)) > 1}
+            first = {cut[0] for cut in broken.values()}.difference(known)
+            missing = list(first.union(part for part in missing if part not in broken))
             known.update(self._together([part for part in missing if part and not part[-1].isspace()]))
             missing = [part for part in missing if part not in known]
-        found = self.tokenizer.encode_batch_fast([space + part for part in missing], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([space + part for part in missing], add_special_tokens=False) if missing else []
         for part, own in zip(missing, found):
             known[part] = np.array(own.ids, "<u4").tobytes()
+        if broken:
+            rest = self._learn([run for cut in broken.values() for run in cut[1:]], self.known, "")
+            for part, cut in broken.items():
+                known[part] = known[cut[0]] + b"".join(map(rest.__getitem__, cut[1:]))
         return known
 
     def _together(self, parts: list[str]) -> dict[str, bytes]:
@@ -90,12 +114,38 @@ class Encoder:
         return {part: data[start:end] for part, start, end in zip(parts, ends, ends[1:])}
 
     def ids(self, text: str) -> bytes:
-        if text[:1] == " " or _DOUBLE_SPACE.search(text):
-            parts = text_parts(text)
-            return b"".join(map(self._learn(parts, self.known, "").__getitem__, parts))
-        first, *parts = text.split(" ")
-        head = self._learn([first], self.known, "")[first]
-        return head + b"".join(map(self._learn(parts, self.spaced, " ").__getitem__, parts))
+        data, _ = self.encode(pa.array([text]))
+        return data
+
+    def encode(self, texts: pa.StringArray) -> tuple[bytes, np.ndarray]:
+        """The ids of texts one after the other, and where those of each begin and the last end, in bytes.
+
+        Texts are split into parts, and a distinct part is looked up once.
+        """
+        odd = pc.match_substring_regex(texts, _DOUBLE_SPACE).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = [self._spaced_oddly(text.as_py()) if is_odd else self.ids(text.as_py()) for text, is_odd in zip(texts, odd)]
+            return b"".join(own), np.cumsum([0, *map(len, own)])
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.flatten()
+        first = np.zeros(len(words), bool)
+        first[bounds[:-1] - bounds[0]] = True
+        rest = words.filter(pa.array(~first)).dictionary_encode()
+        heads, others = (x.to_numpy(zero_copy_only=False).tolist() for x in (words.filter(pa.array(first)), rest.dictionary))
+        known = list(map(self._learn(others, self.spaced, " ").__getitem__, others))
+        known += map(self._learn(heads, self.known, "").__getitem__, heads)
+        at = np.empty(len(words), np.int64)
+        at[~first] = rest.indices.to_numpy()
+        at[first] = len(others) + np.arange(len(heads))
+        found = pa.array(known, pa.large_binary()).take(pa.array(at))
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[bounds - bounds[0]]
+        return data.to_pybytes()[:ends[-1]] if data else b"", ends
+
+    def _spaced_oddly(self, text: str) -> bytes:
+        parts = text_parts(text)
+        return b"".join(map(self._learn(parts, self.known, "").__getitem__, parts))
 
 
 @cache
@@ -129,16 +179,30 @@ def first_fit_decreasing(lengths: list[int], room: int) -> list[int]:
     return bins
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` (_row, doc_id, text), so many at a time that their texts have about a bounded size."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
     """One row for each piece of each row of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
+        encode = encoder(tokenizer).encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
-            for row, doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
-                ids = ids_of(text or "") + end
+            data, ends = encode(pc.fill_null(batch.column(2), ""))
+            rows, doc_ids = (column.to_pylist() for column in batch.columns[:2])
+            for row, doc_id, first, last in zip(rows, doc_ids, ends.tolist(), ends[1:].tolist()):
+                ids = data[first:last] + end
                 n = len(ids) // 4
                 for start in range(0, n, tokens):
                     piece = ids[4 * start:4 * (start + tokens)]
