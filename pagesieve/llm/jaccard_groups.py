@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import _mix, bounded, distinct, materialize, shingles, word_hashes
+from pagesieve.llm.common import _mix, bounded, distinct, materialize, released, shingles, word_hashes
 from pagesieve.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -271,7 +271,7 @@ def shared_cells(found: DataFrame, grouped: DataFrame) -> DataFrame:
     cells = found.select("sid", "grp", F.posexplode("tokens").alias("pos", "token"))
     shared = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
     shared = bounded(materialize(shared, "tokens"), BROADCAST_TOKENS)
-    kept = materialize(cells.select("sid", "pos", "token").join(shared, "token", "left_semi"), "cells")
+    kept = materialize(cells.select("sid", "pos", "token").join(shared, "token", "left_semi"), "cells", keep=True)
     return kept.join(bounded(grouped.select("sid", "grp", "n", "home")), "sid")
 
 
@@ -282,18 +282,25 @@ def live_cells(cells: DataFrame, turns: int = 2, percent: int = PERCENT) -> Data
     similar sets need for their sizes. So a class whose cell comes late needs a
     small partner: the cell stays where a class of another group is at hand in the
     token, in the class's own range of sizes or a neighbouring one, that is small enough.
+    A turn that leaves more than three quarters is the last.
     """
     whole = 100 + percent
     reaches = f"{whole} * (n - pos) >= {percent} * (n + least)"
-    live = cells
+    live, rows = cells, cells.count()
     for _ in range(turns):
         ranged = live.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
         own = ranged.groupBy("token", "size").agg(F.min("n").alias("least"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-        around = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")
-        near = (own.select("token", around, "least", "low", "high").groupBy("token", "size")
-                .agg(F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high"))
-        live = materialize(ranged.join(bounded(materialize(near.drop("low", "high"), "tokens")), ["token", "size"])
+        # a token has few ranges of sizes, as they grow with the logarithm
+        held = own.groupBy("token").agg(F.collect_list(F.struct("size", "least", "low", "high")).alias("held"))
+        around = "filter(held, x -> abs(x.size - own.size) <= 1)"
+        near = (held.select("token", "held", F.explode("held").alias("own")).withColumn("around", F.expr(around))
+                .where("array_min(around.low) <> array_max(around.high)")
+                .selectExpr("token", "own.size AS size", "array_min(around.least) AS least"))
+        live = materialize(ranged.join(bounded(materialize(near, "tokens")), ["token", "size"])
                            .where(reaches).drop("least", "size"), "cells")
+        before, rows = rows, live.count()
+        if 4 * rows > 3 * before:
+            break
     return live
 
 
@@ -394,7 +401,9 @@ def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(a, b): groups that similar classes link, by the token-group matrix over ``grouped`` (sid, grp, one, n, home)."""
-    cells = live_cells(shared_cells(prefixes(docs, grouped, ranks, percent), grouped), 3, percent)
+    with released(docs.sparkSession):
+        cells = shared_cells(prefixes(docs, grouped, ranks, percent), grouped)
+    cells = live_cells(cells, 3, percent)
     found = []
     for turn in range(TURNS):
         pairs = materialize(standing_pairs(cells.select("sid", "grp", "n", "home").distinct(), turn, percent), "standing")
@@ -459,6 +468,14 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     found = materialize(features(docs), "features")
     rows = found.where("part IS NULL").drop("part", "counts")
+    with released(docs.sparkSession):
+        classed = materialize(_classed(docs, found, rows, percent), "classed", keep=True)
+    return rows.join(classed, "sid", "left").select(
+        "doc_id", "text_key", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _classed(docs: DataFrame, found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(sid, component_id) of the classes of ``rows``, those of the features ``found``."""
     classes = materialize(
         rows.where("sid IS NOT NULL").groupBy("sid").agg(
             F.min("doc_id").alias("rep"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.any_value("n_shingles").alias("n"),
@@ -476,9 +493,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = grouped.join(merged.withColumnRenamed("node", "grp"), "grp", "left").select(
         "sid", "rep", F.coalesce("label", "grp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classed = named.join(smallest, "label").select("sid", "component_id")
-    return rows.join(classed, "sid", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.join(smallest, "label").select("sid", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -487,7 +502,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows with equal doc_id and text are one document and leave one row, unless the
     text is empty. Rows with a null doc_id stay unless another document stands for them.
     """
-    found = materialize(components(docs, percent), "components")
+    with released(docs.sparkSession):
+        found = materialize(components(docs, percent), "components", keep=True)
     gone = found.where("component_id IS NOT NULL AND NOT component_id <=> doc_id").select("doc_id", "text_key").distinct()
     again = (found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1")
              .select("doc_id", "text_key"))

@@ -1,9 +1,11 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
+from pagesieve.llm import common
 from pagesieve.llm import jaccard_groups as J
 from pagesieve.llm.components import connected_components
 from pagesieve.llm.queries import QUERIES
@@ -154,3 +156,23 @@ def test_counting_tokens_takes_no_second_table_of_counters(docs):
     unpack = J.zstandard.ZstdDecompressor().decompress
     total = np.concatenate([np.frombuffer(unpack(x.as_py()), "<u4") for x in counts.column("counts")])
     assert len(total) == J.COUNTERS and total.sum() == sum(x.as_py() for x in rows.column("n_shingles"))
+
+
+def test_tables_of_the_work_are_removed(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark, name: f"{tmp_path}/pagesieve-{name}-{os.urandom(8).hex()}")
+    texts = corpus(4)[:60]
+    rows = J.components(docs(texts))
+    assert sorted(path.name.split("-")[1] for path in tmp_path.glob("pagesieve-*")) == ["classed", "features"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == plain(dict(enumerate(texts)))
+
+
+def test_released_removes_what_is_not_kept(spark):
+    with common.released(spark):
+        with pytest.raises(ValueError), common.released(spark):
+            tables = common.materialize(spark.range(3), "inner"), common.materialize(spark.range(4), "kept", keep=True)
+            inner, kept = (re.sub("^file:(//)?", "", table.inputFiles()[0]) for table in tables)
+            assert os.path.exists(inner) and os.path.exists(kept)
+            raise ValueError
+        assert not os.path.exists(inner) and tables[1].count() == 4
+    assert not os.path.exists(kept)
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
