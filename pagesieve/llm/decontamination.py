@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import _mix, shingles, word_hashes
+from pagesieve.llm.common import _mix, shingles, tidied, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
@@ -218,7 +218,7 @@ def _keyed_matches(docs: DataFrame, benchmark: DataFrame, similarity: float, rad
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     ["doc_id", "item_id", "similarity", "start_word", "end_word", "n_windows", "text_key"])
 
-        return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(find, MATCHES + ", text_key long")
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidied(find), MATCHES + ", text_key long")
 
     return reduce(DataFrame.unionByName, map(one, range(parts)))
 

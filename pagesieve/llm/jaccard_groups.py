@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import _mix, bounded, distinct, materialize, released, shingles, word_hashes
+from pagesieve.llm.common import _mix, bounded, distinct, materialize, released, shingles, tidied, word_hashes
 from pagesieve.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -114,7 +114,7 @@ def features(docs: DataFrame) -> DataFrame:
              pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(own, pa.binary())],
             ["doc_id", "text_key", "n_shingles", "sid", "mins", "part", "counts"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(read, _FEATURES)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidied(read), _FEATURES)
 
 
 def token_ranks(found: DataFrame) -> np.ndarray:
@@ -183,7 +183,7 @@ def _read_classes(docs: DataFrame, wanted: DataFrame, pack: Callable[[str, np.nd
                     made.append(pack(texts[at], tokens))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(made, pa.binary())], ["sid", name])
 
-    found = materialize(_of(docs, wanted).mapInArrow(read, f"sid long, {name} binary"), name)
+    found = materialize(_of(docs, wanted).mapInArrow(tidied(read), f"sid long, {name} binary"), name)
     # repeated rows may stand for one class
     return found if found.count() <= wanted.count() else materialize(found.dropDuplicates(["sid"]), name)
 
@@ -218,7 +218,7 @@ def prefixes(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray, percent: int
             yield pa.RecordBatch.from_arrays(
                 [own.column("sid"), own.column("grp"), pa.array(sets, pa.list_(pa.int64()))], ["sid", "grp", "tokens"])
 
-    return materialize(_of(docs, wanted, "grp").mapInArrow(read, "sid long, grp long, tokens array<long>"), "prefixes")
+    return materialize(_of(docs, wanted, "grp").mapInArrow(tidied(read), "sid long, grp long, tokens array<long>"), "prefixes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     left = sets.withColumnRenamed("sid", "a").join(pairs, "a").select("a", "b", F.col("tokens").alias("x"))
     ends = pairs.select(F.col("b").alias("sid")).distinct()
     right = sets.join(bounded(materialize(ends, "ends")), "sid", "left_semi").select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(test), "a long, b long")
 
 
 def _within(a: str, b: str, percent: int) -> str:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import free_name, materialize
+from pagesieve.llm.common import free_name, materialize, tidied
 
 WINDOW_LINES = 3
 
@@ -48,7 +48,7 @@ def windows(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(hashes, pa.binary()),
                  pa.array(places, pa.int32())], ["doc_id", "text_id", "window", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, text_id binary, window binary, pos int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), "doc_id long, text_id binary, window binary, pos int")
 
 
 def repeats(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.common import materialize
+from pagesieve.llm.common import give_back, materialize
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 #: Pieces a group holds on average; more make less padding and longer tasks.
 GROUP_PIECES = 4096
-#: Parts of texts whose ids a worker remembers, about 170 MB.
+#: Parts of texts whose ids a worker remembers during a task, about 170 MB.
 CACHE_WORDS = 800_000
 #: How a byte-level vocabulary spells a space.
 _SPACE = "\u0120"
@@ -34,7 +34,7 @@ _DOUBLE_SPACE = f"^ |[{''.join(c for c in map(chr, range(0x3001)) if c.isspace()
 #: Marks that close a word or sentence.
 _MARKS = ".,;:!?"
 #: Bytes of texts that are split and put together at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _PIECES = "_row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -113,6 +113,10 @@ class Encoder:
         data, ends = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
         return {part: data[start:end] for part, start, end in zip(parts, ends, ends[1:])}
 
+    def forget(self) -> None:
+        """Drops the ids of parts, so that an idle worker holds the tokenizer only."""
+        self.known, self.spaced = {}, {}
+
     def ids(self, text: str) -> bytes:
         data, _ = self.encode(pa.array([text]))
         return data
@@ -195,7 +199,14 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS) -> Da
     """One row for each piece of each row of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer)
+        try:
+            yield from cut_by(own.encode, batches)
+        finally:
+            own.forget()
+            give_back()
+
+    def cut_by(encode: Callable[[pa.StringArray], tuple[bytes, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in _slices(batches):
             out: list[tuple] = []

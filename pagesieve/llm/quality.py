@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from pagesieve.llm.common import _mix, BLOCK_BYTES, free_name, hash_spans, word_spans
+from pagesieve.llm.common import _mix, BLOCK_BYTES, free_name, give_back, hash_spans, word_spans
 
 #: Documents the scorer learns from, those of smallest hash of doc_id and text among texts of at most so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 10_000, 32 << 10
@@ -225,16 +225,22 @@ class QualityModel:
 
         @F.pandas_udf(DoubleType())
         def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in parts:
-                yield pd.Series(scores(part, weights))
+            try:
+                for part in parts:
+                    yield pd.Series(scores(part, weights))
+            finally:
+                give_back()
 
         return score(text)
 
 
 @F.pandas_udf(IntegerType())
 def vote_code(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(votes).astype("int32")
+    try:
+        for part in parts:
+            yield part.map(votes).astype("int32")
+    finally:
+        give_back()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> QualityModel:

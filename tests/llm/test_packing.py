@@ -141,3 +141,33 @@ def test_nulls_repeats_empty_and_long(spark, docs):
     assert sum(r.length for r in packed if r.doc_id == 0) == 2
     assert sum(r.length for r in packed) == 2 * (1 + 1 + 3 + 3 + next(r.doc_tokens for r in packed if r.doc_id == 4))
     assert packing.pack(rows.limit(0), tokenizer_path()).count() == 0
+
+
+class Plan:
+    """Catches the function that Spark would run over batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, read, schema):
+        self.read = read
+        return self
+
+
+def test_an_idle_worker_holds_no_ids_of_parts(spark, monkeypatch):
+    given_back = []
+    monkeypatch.setattr(packing, "give_back", lambda: given_back.append(1))
+    packing.encoder.cache_clear()
+    read = packing.pieces(Plan(), tokenizer_path()).read
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([5, 6]), pa.array(["one two three", None])], ["_row", "doc_id", "text"])
+    (found,) = read(iter([batch]))
+    own = packing.encoder(tokenizer_path())
+    assert found.column("doc_id").to_pylist() == [5, 6] and not own.known and not own.spaced and given_back == [1]
+    assert own.ids("one two three")
+
+
+def test_few_texts_are_split_at_a_time():
+    texts = pa.array(["x" * 100_000] * 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), texts], ["_row", "doc_id", "text"])
+    sizes = [part.num_rows for part in packing._slices(iter([batch]))]
+    assert sum(sizes) == 100 and max(sizes) <= 21
