@@ -413,7 +413,10 @@ def crossing_links(docs: DataFrame, grouped: DataFrame, sets: DataFrame, ranks:
         links = pairs.join(verified(pairs.select("a", "b"), sets, percent), ["a", "b"]).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
         links = materialize(links.distinct(), "links")
         found.append(links)
-        cells = live_cells(_regrouped(cells, links), 1, percent)
+        if links.isEmpty():
+            continue
+        # written, as the turn reads the cells three times
+        cells = live_cells(materialize(_regrouped(cells, links), "cells"), 1, percent)
     return _union([*found, _matrix_links(docs, cells, grouped, sets, percent)])
 
 

@@ -176,3 +176,27 @@ def test_released_removes_what_is_not_kept(spark):
         assert not os.path.exists(inner) and tables[1].count() == 4
     assert not os.path.exists(kept)
     assert spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
+
+
+def test_cells_are_grouped_anew_once_a_turn(docs, monkeypatch):
+    """A turn reads the cells several times; joining them with their groups each time multiplies that join's rows."""
+    written, given = [], []
+    materialize, live_cells = J.materialize, J.live_cells
+
+    def keeps(df, name, **more):
+        written.append(materialize(df, name, **more))
+        return written[-1]
+
+    def lives(cells, turns, percent):
+        given.append((turns, any(cells is table for table in written)))
+        return live_cells(cells, turns, percent)
+
+    monkeypatch.setattr(J, "materialize", keeps)
+    monkeypatch.setattr(J, "live_cells", lives)
+    monkeypatch.setattr(J, "CHUNK_CLASSES", 3)
+    monkeypatch.setattr(J, "star_pairs", lambda central, percent: central.select("a", "b").limit(0))
+    texts = corpus(3)
+    rows = J.components(docs(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain(dict(enumerate(texts)))
+    again = [one for turns, one in given if turns == 1]
+    assert again and all(again)
